@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelmint.llm.mixing import op1_mixing
+from parcelmint.llm.secrets import op9_secret_scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op9_secret_scans": op9_secret_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
