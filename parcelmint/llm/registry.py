@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parcelmint.llm.langid import op3_language_id
 from parcelmint.llm.mixing import op1_mixing
 from parcelmint.llm.packing import op4_packing
 from parcelmint.llm.secrets import op9_secret_scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op9_secret_scans": op9_secret_scans,
 }
