@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parcelmint.llm.langid import op3_language_id
 from parcelmint.llm.mixing import op1_mixing
+from parcelmint.llm.ngram_join import op10_ngram_jaccard
 from parcelmint.llm.packing import op4_packing
 from parcelmint.llm.secrets import op9_secret_scans
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op9_secret_scans": op9_secret_scans,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
