@@ -10,6 +10,7 @@ from parcelmint.llm.langid import op3_language_id
 from parcelmint.llm.mixing import op1_mixing
 from parcelmint.llm.ngram_join import op10_ngram_jaccard
 from parcelmint.llm.packing import op4_packing
+from parcelmint.llm.quality import op5_quality
 from parcelmint.llm.secrets import op9_secret_scans
 from parcelmint.llm.urls import op6_url_filters
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op6_url_filters": op6_url_filters,
     "op9_secret_scans": op9_secret_scans,
     "op10_ngram_jaccard": op10_ngram_jaccard,
