@@ -115,7 +115,7 @@ def _near(a: str, b: str, percent: int) -> Column:
     return F.lit(100) * F.col(a) >= F.lit(percent) * F.col(b)
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, neighbours: int = 2, list_rows: int = 10_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, neighbours: int = 1, list_rows: int = 10_000) -> DataFrame:
     """One row for each row of docs (doc_id long, text): doc_id, n_shingles, component_id.
 
     Documents link when 100 * intersection >= percent * union of their sets of distinct shingles of so many words;
@@ -134,10 +134,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, neigh
     groups = members.groupBy(*group).agg(F.min("id").alias("g"))
     members = durable(members.join(groups, group).select(*member, "id", "g"))
     heads = members.where("id = g")
-    lists = rows.join(heads.select(F.col("id").alias("doc_id"), *member), ["doc_id", *member], "left_semi").select(F.col("doc_id").alias("g"), "n", F.explode("prefix").alias("shingle")).distinct()
-    lists = durable(lists)
-    shared = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    lists = durable(lists.join(shared, "shingle"))
+    lists = rows.join(heads.select(F.col("id").alias("doc_id"), *member), ["doc_id", *member], "left_semi").select(F.col("doc_id").alias("g"), "n", F.explode("prefix").alias("shingle"))
+    lists = durable(lists.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("rows > 1"))
 
     part = F.pmod(F.xxhash64("g"), F.ceil(F.col("rows") / list_rows)).alias("part")
     within = Window.partitionBy("shingle", "part").orderBy("n", "g")
