@@ -12,6 +12,7 @@ from parcelmint.llm.ngram_join import op10_ngram_jaccard
 from parcelmint.llm.packing import op4_packing
 from parcelmint.llm.quality import op5_quality
 from parcelmint.llm.secrets import op9_secret_scans
+from parcelmint.llm.toxicity import op7_toxicity
 from parcelmint.llm.urls import op6_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op6_url_filters": op6_url_filters,
+    "op7_toxicity": op7_toxicity,
     "op9_secret_scans": op9_secret_scans,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }

@@ -27,13 +27,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(1)
-def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
-    """A number for every byte, A-Z as a-z; and which bytes are white space."""
+def _byte_numbers() -> np.ndarray:
+    """A number for every byte, A-Z as a-z."""
     number = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
     number[65:91] = number[97:123]
-    space = np.zeros(256, bool)
-    space[[32, *range(9, 14)]] = True
-    return number, space
+    return number
+
+
+#: Bytes between words: white space; and all ASCII but letters, digits and the apostrophe.
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+NOT_LETTERS = np.array([c < 128 and not (chr(c).isalnum() or c == 39) for c in range(256)])
 
 
 @functools.lru_cache(2)
@@ -43,27 +46,33 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def shingle_sets(data: np.ndarray, first: np.ndarray, size: np.ndarray, words: int) -> list[np.ndarray]:
-    """For each text data[first : first + size]: the distinct hashes of its runs of `words` words, sorted.
+def words_in(data: np.ndarray, first: np.ndarray, size: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts data[first : first + size], one after another: hash, first byte and end of each, and each text's first word and end.
 
-    Words are runs of bytes other than white space, A-Z lower-cased. A text with fewer words has its whole
-    sequence as one shingle; one without words has none. Unequal shingles have equal hashes with odds of about
-    2**-57 a pair.
+    Words are runs of bytes that are not `between`, A-Z lower-cased.
     """
-    if not len(data):
-        return [np.zeros(0, np.uint64)] * len(size)
-    number, space = _byte_tables()
     n = len(data)
     top = 1 << max(20, (n + 1).bit_length())
-    is_word = ~space[data]
+    is_word = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[first] = True
     edge[first + size] = True
     start = np.flatnonzero(is_word & (edge[:n] | ~np.concatenate([[False], is_word[:-1]])))
     end = np.flatnonzero(is_word & (edge[1:] | ~np.concatenate([is_word[1:], [False]]))) + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(number[data] * _powers(_BASE, top)[:n], dtype=np.uint64)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_numbers()[data] * _powers(_BASE, top)[:n], dtype=np.uint64)])
     word = mixed((sums[end] - sums[start]) * _powers(_INVERSE, top)[start] + (end - start).astype(np.uint64))
-    lo, hi = np.searchsorted(start, first), np.searchsorted(start, first + size)
+    return word, start, end, np.searchsorted(start, first), np.searchsorted(start, first + size)
+
+
+def shingle_sets(data: np.ndarray, first: np.ndarray, size: np.ndarray, words: int) -> list[np.ndarray]:
+    """For each text: the distinct hashes of its runs of `words` words (see words_in), sorted.
+
+    A text with fewer words has its whole sequence as one shingle; one without words has none. Unequal shingles
+    have equal hashes with odds of about 2**-57 a pair.
+    """
+    if not len(data):
+        return [np.zeros(0, np.uint64)] * len(size)
+    word, _, _, lo, hi = words_in(data, first, size)
     runs = word
     for k in range(1, words):
         runs = mixed(runs[:-1] * np.uint64(_BASE) + word[k:]) if len(runs) > 1 else runs[:0]
