@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from parcelmint.llm.langid import op3_language_id
 from parcelmint.llm.mixing import op1_mixing
 from parcelmint.llm.ngram_join import op10_ngram_jaccard
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op9_secret_scans": op9_secret_scans,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
