@@ -9,20 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from parcelmint.llm.langid import op3_language_id
 from parcelmint.llm.mixing import op1_mixing
+from parcelmint.llm.neardup import op8_embedding_neardup
 from parcelmint.llm.ngram_join import op10_ngram_jaccard
 from parcelmint.llm.packing import op4_packing
 from parcelmint.llm.quality import op5_quality
 from parcelmint.llm.secrets import op9_secret_scans
 from parcelmint.llm.toxicity import op7_toxicity
 from parcelmint.llm.urls import op6_url_filters
+from parcelmint.llm.vptree import op2_nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_nearest": op2_nearest,
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op6_url_filters": op6_url_filters,
     "op7_toxicity": op7_toxicity,
+    "op8_embedding_neardup": op8_embedding_neardup,
     "op9_secret_scans": op9_secret_scans,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "pipeline": corpus_pipeline.run,
