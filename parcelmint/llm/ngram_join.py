@@ -63,15 +63,41 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[int, np.ndarray, np.
     return buckets, top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
+def _histogram(s: np.ndarray) -> bytes:
+    """Counts of shingles by the low bits of their hashes, about four to a bucket, 255 for that or more."""
+    buckets = 1 << max(4, (len(s) // 4).bit_length())
+    return np.minimum(np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def _most_common(one: bytes, other: bytes) -> int:
+    """A bound on the shingles that two sets share: the sum of the lesser counts of each bucket."""
+    a, b = sorted((np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)), key=len)
+    if (a == 255).any() or (b == 255).any():
+        return 1 << 62
+    return int(np.minimum(a.astype(np.int64), b.reshape(-1, len(a)).sum(0, dtype=np.int64)).sum())
+
+
+def _plausible(percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, one, other = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "histogram_a", "histogram_b"))
+            common = [min(x, y, _most_common(p, q)) for x, y, p, q in zip(n_a, n_b, one, other)]
+            keep = pa.array([100 * c >= percent * (x + y - c) for c, x, y in zip(common, n_a, n_b)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return run
+
+
 def _prefixes(words: int, percent: int, buckets: int, frequent: np.ndarray, counts: np.ndarray) -> Callable:
-    """For each document: size, two hashes of its set, two of its prefix, and the prefix."""
+    """For each document: size, two hashes of its set, two of its prefix, the prefix, and a histogram of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets in sets_in(batch.column(1), words):
                 sums = np.zeros((4, len(sets)), np.uint64)
-                prefixes = []
+                prefixes, histograms = [], []
                 for i, s in enumerate(sets):
+                    histograms.append(_histogram(s))
                     n = len(s)
                     if not n:
                         prefixes.append(s)
@@ -85,7 +111,7 @@ def _prefixes(words: int, percent: int, buckets: int, frequent: np.ndarray, coun
                     for k, (x, salt) in enumerate(((s, 1), (s, 2), (s[order], 3), (s[order], 4))):
                         sums[k, i] = mixed(x ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).sum(dtype=np.uint64)
                 size = pa.array([len(s) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), size, *(pa.array(x.view(np.int64)) for x in sums), list_array(prefixes)], ["doc_id", "n", "set_a", "set_b", "prefix_a", "prefix_b", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), size, *(pa.array(x.view(np.int64)) for x in sums), list_array(prefixes), pa.array(histograms, pa.binary())], ["doc_id", "n", "set_a", "set_b", "prefix_a", "prefix_b", "prefix", "histogram"])
 
     return run
 
@@ -99,9 +125,10 @@ def _whole_sets(words: int) -> Callable:
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    pairs = durable(pairs)
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity; sets are only made for pairs whose histograms allow it."""
+    of = lambda side: rows.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("histogram").alias(f"histogram_{side}"))
+    pairs = durable(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "histogram_a", "histogram_b").mapInArrow(_plausible(percent), "a long, b long"))
     wanted = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     texts = docs.join(small(wanted), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
     sets = durable(texts.mapInArrow(_whole_sets(words), "doc_id long, shingles array<long>"))
@@ -128,7 +155,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, neigh
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets, frequent, counts = frequent_shingles(docs, words)
-    rows = durable(docs.mapInArrow(_prefixes(words, percent, buckets, frequent, counts), "doc_id long, n int, set_a long, set_b long, prefix_a long, prefix_b long, prefix array<long>"))
+    rows = durable(docs.mapInArrow(_prefixes(words, percent, buckets, frequent, counts), "doc_id long, n int, set_a long, set_b long, prefix_a long, prefix_b long, prefix array<long>, histogram binary"))
     group, member = ["n", "prefix_a", "prefix_b"], ["n", "prefix_a", "prefix_b", "set_a", "set_b"]
     members = rows.where("n > 0 and doc_id is not null").groupBy(*member).agg(F.min("doc_id").alias("id"))
     groups = members.groupBy(*group).agg(F.min("id").alias("g"))
@@ -144,7 +171,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, neigh
     met = met.where(_near("n", "next.n_b", percent)).select(F.col("g").alias("a"), F.col("next.b").alias("b"))
     follow = Window.partitionBy("g", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
     chained = members.select(F.col("id").alias("a"), F.lead("id").over(follow).alias("b")).where("b is not null").union(members.where("id <> g").select("g", "id"))
-    links = _verified(docs, met.union(chained).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), words, percent)
+    links = _verified(docs, rows, met.union(chained).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), words, percent)
     found = components(links)
 
     placed = durable(members.select("id", "g", "n").join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).select("id", "g", "n", "c"))
@@ -162,7 +189,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, neigh
     pairs = pairs.union(split.select(F.col("g").alias("g_a"), "c").join(split.select(F.col("g").alias("g_b"), F.col("c").alias("c_b")), F.expr("g_a = g_b and c < c_b")).select("g_a", "c", "g_b", "c_b"))
     first, second = placed.select(F.col("g").alias("g_a"), "c", F.col("id").alias("a")), placed.select(F.col("g").alias("g_b"), F.col("c").alias("c_b"), F.col("id").alias("b"))
     pairs = pairs.join(first, ["g_a", "c"]).join(second, ["g_b", "c_b"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verified(docs, pairs, words, percent)
+    more = _verified(docs, rows, pairs, words, percent)
     final = components(more.union(found.select("id", "component").where("id <> component")))
     classes = members.join(final, "id", "left").select(*member, F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", *member).join(classes, member, "left")
