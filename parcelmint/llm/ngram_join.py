@@ -5,10 +5,10 @@ their prefixes. Documents with the same prefix and size are one group; groups th
 prefix shingle and pass the size filter are pairs; their members are expanded and verified on whole sets. Documents
 with equal sets are one member.
 
-Only connectivity is asked for, so links are looked for in two rounds. The first verifies neighbours within each
-posting list, a number of pairs linear in the postings, and finds components. The second verifies every
-remaining pair whose members are in different components; pairs within one component are linked already. No
-pair is left out, and a large family of near copies is no quadratic number of pairs.
+Only connectivity is asked for, so links are first looked for in a few linear rounds: every document meets some
+neighbours in its posting lists, which are ordered by chance and anew each time, and components are found. Then
+every remaining pair whose members are in different components is verified; pairs within one component are linked
+already. No pair is left out, and a large family of near copies is no quadratic number of pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from parcelmint.llm.shingles import list_array, mixed, sets_in
 
 #: So many of the most frequent shingles are known to all tasks and come last in the order; which ones they are
 #: changes the work, never the result.
-_FREQUENT = 1 << 18
+_FREQUENT = 1 << 20
 _BUCKET_BYTES = 4_000_000
 
 
@@ -142,12 +142,27 @@ def _near(a: str, b: str, percent: int) -> Column:
     return F.lit(100) * F.col(a) >= F.lit(percent) * F.col(b)
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, neighbours: int = 1, list_rows: int = 10_000) -> DataFrame:
+def _neighbours(in_lists: DataFrame, percent: int, most: int, list_rows: int, salt: int) -> DataFrame:
+    """Pairs (a, b) of ids that follow each other in a posting list, in different components and near in size; at most so many for each a.
+
+    in_lists: (shingle, id, n, c, rows), rows the length of the list.
+    """
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / list_rows)).alias("part")
+    within = Window.partitionBy("shingle", "part").orderBy(F.xxhash64(F.lit(salt), "shingle", "id"), "id")
+    after = [F.lead(c).over(within).alias(f"{c}_b") for c in ("id", "n", "c")]
+    met = in_lists.select("shingle", "id", "n", "c", part).select("id", "n", "c", *after).where((F.col("c") != F.col("c_b")) & _near("n", "n_b", percent) & _near("n_b", "n", percent))
+    met = met.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+    chosen = Window.partitionBy("a").orderBy(F.xxhash64(F.lit(salt), "a", "b"))
+    return met.withColumn("place", F.row_number().over(chosen)).where(F.col("place") <= most).select("a", "b")
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 3, neighbours: int = 4, list_rows: int = 10_000) -> DataFrame:
     """One row for each row of docs (doc_id long, text): doc_id, n_shingles, component_id.
 
     Documents link when 100 * intersection >= percent * union of their sets of distinct shingles of so many words;
-    component_id is the smallest doc_id that links reach. neighbours: how many in a posting list each document
-    meets in the first round. list_rows: longer lists are cut into lists of about so many rows there.
+    component_id is the smallest doc_id that links reach. rounds, neighbours: how many linear rounds there
+    are, and how many others a document meets in each; list_rows: longer posting lists are cut into lists of about so
+    many rows there. None of them changes the result.
 
     Null texts and texts without words have no shingles and link with nothing. Rows that repeat get equal results;
     rows that share a doc_id but not the text may share a component. A null doc_id has no component. No rows give
@@ -164,21 +179,25 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, neigh
     lists = rows.join(heads.select(F.col("id").alias("doc_id"), *member), ["doc_id", *member], "left_semi").select(F.col("doc_id").alias("g"), "n", F.explode("prefix").alias("shingle"))
     lists = durable(lists.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("rows > 1"))
 
-    part = F.pmod(F.xxhash64("g"), F.ceil(F.col("rows") / list_rows)).alias("part")
-    within = Window.partitionBy("shingle", "part").orderBy("n", "g")
-    ahead = [F.struct(F.lead("g", k).over(within).alias("b"), F.lead("n", k).over(within).alias("n_b")) for k in range(1, neighbours + 1)]
-    met = lists.select("shingle", part, "g", "n").withColumn("ahead", F.array(*ahead)).select("g", "n", F.explode("ahead").alias("next"))
-    met = met.where(_near("n", "next.n_b", percent)).select(F.col("g").alias("a"), F.col("next.b").alias("b"))
     follow = Window.partitionBy("g", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
     chained = members.select(F.col("id").alias("a"), F.lead("id").over(follow).alias("b")).where("b is not null").union(members.where("id <> g").select("g", "id"))
-    links = _verified(docs, rows, met.union(chained).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), words, percent)
-    found = components(links)
+    placed, in_lists = members.select("id", "g", "n", F.col("id").alias("c")), lists.select("shingle", "g", "n", F.col("g").alias("id"), F.col("g").alias("c"), "rows")
+    for k in range(rounds):
+        met = _neighbours(in_lists, percent, neighbours, list_rows, k)
+        met = met.union(chained) if k == 0 else met
+        links = _verified(docs, rows, met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), words, percent)
+        links = durable(links)
+        if k and not links.limit(1).count():
+            break
+        found = components(links.union(placed.where("id <> c").select("id", "c")))
+        placed = durable(members.select("id", "g", "n").join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).select("id", "g", "n", "c"))
+        held = placed.groupBy("g", "c").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+        in_lists = lists.select("shingle", "g", "rows").join(held, "g")
+        several = in_lists.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("shingle")
+        in_lists = durable(in_lists.join(several, "shingle", "left_semi"))
 
-    placed = durable(members.select("id", "g", "n").join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).select("id", "g", "n", "c"))
-    in_lists = durable(lists.select("shingle", "g").join(placed.select("g", "n", "c").distinct(), "g").select("shingle", "g", "n", "c"))
     apart = in_lists.groupBy("shingle", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    mixed_lists = apart.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("shingle")
-    apart = durable(apart.join(mixed_lists, "shingle", "left_semi"))
+    apart = durable(apart)
     right = apart.select("shingle", F.col("c").alias("c_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"))
     reach = _near("most", "least_b", percent) & _near("most_b", "least", percent)
     crossing = apart.join(right, "shingle").where((F.col("c") < F.col("c_b")) & reach).select("shingle", "c", "c_b")
@@ -190,7 +209,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, neigh
     first, second = placed.select(F.col("g").alias("g_a"), "c", F.col("id").alias("a")), placed.select(F.col("g").alias("g_b"), F.col("c").alias("c_b"), F.col("id").alias("b"))
     pairs = pairs.join(first, ["g_a", "c"]).join(second, ["g_b", "c_b"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _verified(docs, rows, pairs, words, percent)
-    final = components(more.union(found.select("id", "component").where("id <> component")))
+    final = components(more.union(placed.where("id <> c").select("id", "c")))
     classes = members.join(final, "id", "left").select(*member, F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", *member).join(classes, member, "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
