@@ -126,12 +126,13 @@ def shard_order(mixed: DataFrame, seed: int = 7) -> DataFrame:
 def mixed_documents(docs: DataFrame, mixed: DataFrame, seed: int = 7) -> DataFrame:
     """The rows of docs as often as the mix takes them, with docs' columns; a document that a draw cuts has its first words, and n_chars to match."""
     same = Window.partitionBy("doc_id", "row_hash").orderBy("row_hash")
-    keyed = docs.withColumn("row_hash", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("nth", F.row_number().over(same))
-    draws = mixed.withColumn("nth", F.row_number().over(same)).where("size(draws) > 0").select(F.col("doc_id").alias("id_"), F.col("row_hash").alias("hash_"), F.col("nth").alias("nth_"), "size", "draws")
-    out = keyed.join(draws, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("row_hash") == F.col("hash_")) & (F.col("nth") == F.col("nth_")))
-    out = out.withColumn("draw_", F.explode("draws"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0)), F.lit(1), F.col("draw_.words").cast("int")), "")
-    out = out.withColumn("text", F.when(F.col("draw_.words") < F.col("size"), cut).otherwise(F.col("text")))
+    alike = Window.partitionBy("doc_id", "hash__").orderBy("hash__")
+    keyed = docs.withColumn("hash__", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("nth__", F.row_number().over(alike))
+    draws = mixed.withColumn("nth", F.row_number().over(same)).where("size(draws) > 0")
+    draws = draws.select(F.col("doc_id").alias("drawn_id__"), F.col("row_hash").alias("drawn_hash__"), F.col("nth").alias("drawn_nth__"), F.col("size").alias("size__"), F.explode("draws.words").alias("words__"))
+    out = keyed.join(draws, F.col("doc_id").eqNullSafe(F.col("drawn_id__")) & (F.col("hash__") == F.col("drawn_hash__")) & (F.col("nth__") == F.col("drawn_nth__")))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0)), F.lit(1), F.col("words__").cast("int")), "")
+    out = out.withColumn("text", F.when(F.col("words__") < F.col("size__"), cut).otherwise(F.col("text")))
     kept = [F.col(c) if c != "n_chars" else F.length("text").cast("long").alias("n_chars") for c in docs.columns]
     return out.select(*kept)
 

@@ -25,7 +25,7 @@ from parcelmint.llm.shingles import list_array, mixed, sets_in
 
 #: So many of the most frequent shingles are known to all tasks and come last in the order; which ones they are
 #: changes the work, never the result.
-_FREQUENT = 1 << 20
+_FREQUENT = 1 << 19
 _BUCKET_BYTES = 4_000_000
 
 
@@ -59,8 +59,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[int, np.ndarray, np.
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << 20, max(16, size // _BUCKET_BYTES))
     runs = docs.select("text").mapInArrow(_count_runs(words, buckets), "bucket int, low binary")
-    top = runs.groupBy("bucket").applyInArrow(_count_bucket, "shingle long, n long").orderBy(F.desc("n"), "shingle").limit(_FREQUENT).toPandas().sort_values("shingle")
-    return buckets, top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    top = runs.groupBy("bucket").applyInArrow(_count_bucket, "shingle long, n long").orderBy(F.desc("n"), "shingle").limit(_FREQUENT).toArrow().sort_by("shingle")
+    return buckets, top["shingle"].to_numpy(), top["n"].to_numpy()
 
 
 def _histogram(s: np.ndarray) -> bytes:

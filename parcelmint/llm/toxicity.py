@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, name: str, learn: Column, prior: f
     a = F.lit(prior) * (F.col("toxic") + F.col("clean"))
     odds = lambda k, total: F.log((F.col(k) + a) / (F.lit(total + prior * (n["t"] + n["c"])) - F.col(k) - a))
     bound = odds("toxic", float(n["t"])) - odds("clean", float(n["c"])) - F.lit(deviations) * F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-    top = counts.withColumn("score", bound).where("score > 0").orderBy(F.desc("score"), "token").limit(vocabulary).select("token", "score", "clean").toPandas()
+    top = counts.withColumn("score", bound).where("score > 0").orderBy(F.desc("score"), "token").limit(vocabulary).select("token", "score", "clean").toArrow().to_pandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     scores = top["score"].to_numpy(float)[order]
