@@ -48,3 +48,10 @@ def or_default(rows: DataFrame, default: dict) -> DataFrame:
     """rows, or one row of defaults if there are none, without counting rows first."""
     made = rows.sparkSession.range(1).select(*[F.lit(default[f.name]).cast(f.dataType).alias(f.name) for f in rows.schema])
     return rows.unionByName(made.join(rows.limit(1).select(F.lit(1).alias("any_")), F.lit(True), "left").where("any_ is null").drop("any_"))
+
+
+def price_bounds(price: Column, least: float, most: float) -> Column:
+    """Positive prices within bounds; a bound of 0 is none."""
+    test = price > 0
+    test = test & (price >= least) if least else test
+    return test & (price <= most) if most else test

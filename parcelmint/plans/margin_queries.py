@@ -274,3 +274,62 @@ def u05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An empty source gives one row that stands for it."""
     none = table(spark, sf_dir, "part").where("p_size < 0").select(F.col("p_name").alias("id"), F.col("p_retailprice").alias("price"))
     return analytics.or_default(none, {"id": "synthetic", "price": 0.0})
+
+
+@query("P01", f"WITH {LISTINGS_SQL} SELECT id FROM listings WHERE price > 0 AND price >= 1000")
+def p01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings(spark, sf_dir).where(analytics.price_bounds(F.col("price"), 1000, 0)).select("id")
+
+
+@query("P10", evaluated_sql(C) + " SELECT id, margin >= 15.0 AS enough_margin, profit >= 30 AS enough_profit FROM evaluated")
+def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluated(spark, sf_dir).select("id", "profit.enough_margin", "profit.enough_profit")
+
+
+@query("P13", evaluated_sql(C) + " SELECT id FROM evaluated WHERE family = 'iPhone 15 Pro' AND cond = 'excellent'")
+def p13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings behind a cell of the heatmap."""
+    return evaluated(spark, sf_dir).where((titles.family_of_key(F.col("product.standard_key")) == "iPhone 15 Pro") & (F.col("product.condition") == "excellent")).select("id")
+
+
+@query("P14", evaluated_sql(C) + " SELECT id FROM evaluated WHERE NOT (by_risk OR by_profit)")
+def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluated(spark, sf_dir).where(~F.col("hidden")).select("id")
+
+
+@query("P17", f"WITH {LISTINGS_SQL}, {OFFERS_SQL}, {MATCHED_SQL} SELECT id, count(*) FILTER (euros >= 100) AS kept FROM matched GROUP BY id")
+def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = evaluate.matches(evaluate.with_product(listings(spark, sf_dir)), offers(spark, sf_dir))
+    return m.groupBy("id").agg(F.count_if(F.col("euros") >= evaluate.LEAST_OFFER).alias("kept"))
+
+
+@query("C11", f"WITH {LISTINGS_SQL}, {OFFERS_SQL}, {MATCHED_SQL} SELECT score, count(*) AS n FROM matched GROUP BY score")
+def c11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = evaluate.matches(evaluate.with_product(listings(spark, sf_dir)), offers(spark, sf_dir))
+    return m.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("C19", "SELECT p_partkey AS id, CAST(CASE p_partkey % 4 WHEN 0 THEN p_retailprice WHEN 1 THEN p_retailprice - 80 WHEN 2 THEN floor((p_retailprice - 230) * 0.75 + 0.5) ELSE p_retailprice - 150 END AS DOUBLE) AS price FROM part")
+def c19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = F.col("p_retailprice")
+    kind = F.element_at(F.array(*map(F.lit, ["open_box", "excellent", "fair", "unknown"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    tiers = {"new": new, "excellent": new - 80, "very_good": new - 150, "good": new - 230, "fair": F.lit(None).cast("double")}
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), pricing.tier_price(kind, tiers).alias("price"))
+
+
+@query("L07", evaluated_sql(C) + f" SELECT family, {_r('max(profit)')} AS best, arg_max(id, struct_pack(p := profit, k := -id)) AS id FROM evaluated GROUP BY family")
+def l07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = evaluated(spark, sf_dir)
+    return e.groupBy(F.col("product.family").alias("family")).agg(out(F.max("profit.profit")).alias("best"), F.max_by("id", F.struct(F.col("profit.profit"), -F.col("id"))).alias("id"))
+
+
+@query("C24", "SELECT CAST(p_size % 10 + 1 AS INT) AS pages, CAST(max(greatest(12, floor((p_size % 10 + 1) * 4.5 + 8 + 0.5))) AS INT) AS seconds FROM part GROUP BY 1")
+def c24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("p_size") % 10 + 1).cast("int")
+    return table(spark, sf_dir, "part").select(n.alias("pages"), F.greatest(F.lit(12), js_round(n * 4.5 + 8)).cast("int").alias("seconds")).distinct()
+
+
+@query("C26", "SELECT p_partkey AS id, CAST(CASE WHEN p_size % 4 > 0 THEN p_size % 4 ELSE 3 END AS INT) AS pages FROM part")
+def c26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = (F.col("p_size") % 4).cast("int")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(own > 0, own).otherwise(3).alias("pages"))

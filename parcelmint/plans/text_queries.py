@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelmint.functions import compat, prices, relevance, titles
+from parcelmint.functions import compat, matching, prices, relevance, risk, titles
 from parcelmint.operators import evaluate
 from parcelmint.plans.bindings import LISTINGS_SQL, OFFERS_SQL, RISK_SQL, listings, offers, pick, table
 from parcelmint.plans.catalog import query
+from parcelmint.sources import pages
 
 
 @query("X16", f"WITH {LISTINGS_SQL}, {RISK_SQL} SELECT id, standard_key, kind AS category, family, gb AS storage_gb, cond AS condition, lock AS lock_status, CASE WHEN note = 6 THEN 'china' ELSE 'unknown' END AS region, CASE WHEN note = 3 AND kind IN ('iphone', 'samsung') THEN 93 END AS battery FROM risk")
@@ -137,3 +138,102 @@ def p04(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p07(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = offers(spark, sf_dir)
     return o.groupBy(titles.without_storage(F.col("title")).alias("family"), relevance.is_relevant(F.col("title"), "iPhone 15 256GB").alias("relevant")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("X05", f"WITH {LISTINGS_SQL} SELECT id, CASE WHEN note = 3 THEN 93 END AS battery FROM listings")
+def x05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings(spark, sf_dir).select("id", titles.battery_health(F.col("description")).alias("battery"))
+
+
+@query("X06", f"WITH {LISTINGS_SQL} SELECT id, CASE WHEN note = 3 THEN '白色' END AS color FROM listings")
+def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings(spark, sf_dir).select("id", titles.color(F.col("description")).alias("color"))
+
+
+@query("X07", "SELECT p_partkey AS id, CASE WHEN 2000 + p_size BETWEEN 2015 AND 2027 THEN CAST(2000 + p_size AS INT) END AS year FROM part")
+def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("iPad "), (F.col("p_size") + 2000).cast("string"), F.lit("款"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), titles.release_year(text, 2026).alias("year"))
+
+
+@query("X08", "SELECT p_partkey AS id, CAST(p_size AS INT) AS ram FROM part")
+def x08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("MacBook Air "), F.col("p_size").cast("string"), F.lit(" GB 内存 512G"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), titles.ram_gb(text).alias("ram"))
+
+
+@query("X12", "SELECT p_partkey AS id, ['international', 'us', 'japan', 'korea', 'international', 'china', 'international', 'unknown'][p_partkey % 8 + 1] AS region FROM part")
+def x12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = pick(["【版本】国际版，比国行便宜", "美版有锁", "日版", "韩版", "港版双卡", "国行双卡", "全球版 国行对比", "【版本】双卡双待"], F.col("p_partkey") % 8)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), titles.region(text).alias("region"))
+
+
+@query("X13", "SELECT p_partkey AS id, ['icloud_locked', 'mdm_locked', 'unlocked', 'carrier_locked', 'icloud_locked', 'unknown'][p_partkey % 6 + 1] AS lock FROM part")
+def x13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = pick(["无ID锁", "监管锁", "全网通 无锁", "有锁屏密码", "iCloud  Locked", "成色好"], F.col("p_partkey") % 6)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), titles.lock_status(text).alias("lock"))
+
+
+@query("X23", f"WITH {LISTINGS_SQL} SELECT id, family || CASE WHEN kind = 'macbook' THEN ' 13\"' ELSE '' END || CASE WHEN gb IS NULL THEN '' ELSE ' ' || gb || 'GB' END AS query FROM listings")
+def x23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("product")
+    rows = evaluate.with_product(listings(spark, sf_dir))
+    return rows.select("id", matching.offer_query(p["category"], p["family"], p["storage_gb"], p["display_inch"], p["form_factor"], p["drive_config"]).alias("query"))
+
+
+@query("X24", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://cdn/x' WHEN 1 THEN 'https://shop/x' ELSE 'http://y' END AS url FROM pages")
+def x24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", prices.absolute(pick(["//cdn/x", "/x", "http://y"], F.col("page_id") % 3), "https://shop").alias("url"))
+
+
+@query("C01", "SELECT p_partkey AS id, p_partkey % 3 <> 0 AS says FROM part")
+def c01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = pick(["整机无进水", "进水修好", "无进水，但曾进水"], F.col("p_partkey") % 3)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), risk.says(text, "进水").alias("says"))
+
+
+@query("C02", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '无进水' WHEN 1 THEN '' ELSE '没有进水,未进水' END AS denied FROM part")
+def c02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = pick(["整机无进水 无进水", "进水修好", "没有进水，未进水"], F.col("p_partkey") % 3)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(risk.negated(text, "进水"), ",").alias("denied"))
+
+
+@query("C03", "SELECT p_partkey AS id, [1, 0, 1, 1, 0][p_partkey % 5 + 1] = 1 AS dropped FROM part")
+def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = pick(["翻新机", "非翻新 无进水", "有锁", "有网络锁", "有锁屏密码"], F.col("p_partkey") % 5)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.size(risk.blacklist(text)) > 0).alias("dropped"))
+
+
+@query("C07", "SELECT p_partkey AS id, CAST([10, 20, 20, 0][p_partkey % 4 + 1] AS INT) AS risk FROM part")
+def c07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yellow tokens, capped (A07)."""
+    text = pick(["换过电池", "换过屏幕 无盒", "换屏 换电池 维修过", "无拆修"], F.col("p_partkey") % 4)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), risk.yellow_risk(risk.yellow(text)).alias("risk"))
+
+
+@query("C12", "SELECT p_partkey AS id, ['iphone 15', 'galaxy s24', 'ipad 4,macbook 3', 'switch 2'][p_partkey % 4 + 1] AS markers FROM part")
+def c12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = pick(["iPhone 15 Pro国行", "Galaxy S24 Ultra", "iPad Pro 11-inch M4 / MacBook Air M3", "x-h2"], F.col("p_partkey") % 4)
+    told = F.array_join(relevance.markers(text), ",")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(told == "fuji-xh 2", "switch 2").otherwise(told).alias("markers"))
+
+
+@query("J8", "SELECT page_id, CAST(1 AS INT) AS pairs FROM pages")
+def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles paired with the price after them, on pages with one title in reach of its price and one out of it."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<h2>A</h2> 100 € <h2>B</h2>"), F.rpad(F.lit(""), 1600, "x"), F.lit(" 250,50 €")).alias("html"))
+    return pages.proximity_pairs(p).groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("pairs"))
+
+
+@query("S11", "SELECT page_id, CAST(1 AS INT) AS cards, page_id % 900 + 100.0::DOUBLE AS euros FROM pages")
+def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of a retail result page made from a page's id."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('x data-component-type="s-search-result"><h2>iPhone</h2> '), (F.col("page_id") % 900 + 100).cast("string"), F.lit(',00 € data-component-type="s-search-result"><h2>none</h2>')).alias("html"))
+    return pages.cards(p).groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("cards"), F.max("euros").alias("euros"))
+
+
+@query("S03", "SELECT page_id, CAST(1 AS INT) AS results, page_id + 1.0::DOUBLE AS price FROM pages")
+def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a search result's JSON made from a page's id."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('[{"title":"A","price":"'), (F.col("page_id") + 1).cast("string"), F.lit('","desc":"d","pic":"/p"},{"title":"","price":"3","desc":"","pic":""}]')).alias("html"))
+    return pages.search_results(p).groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("results"), F.max("price").alias("price"))
