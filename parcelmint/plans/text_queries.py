@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelmint.functions import compat, matching, prices, relevance, risk, titles
+from parcelmint.functions import compat, flags, matching, prices, relevance, risk, titles
 from parcelmint.operators import evaluate
 from parcelmint.plans.bindings import LISTINGS_SQL, OFFERS_SQL, RISK_SQL, listings, offers, pick, table
 from parcelmint.plans.catalog import query
@@ -237,3 +237,15 @@ def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a search result's JSON made from a page's id."""
     p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('[{"title":"A","price":"'), (F.col("page_id") + 1).cast("string"), F.lit('","desc":"d","pic":"/p"},{"title":"","price":"3","desc":"","pic":""}]')).alias("html"))
     return pages.search_results(p).groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("results"), F.max("price").alias("price"))
+
+
+@query("C15", "SELECT p_partkey AS id, [93, 88, 91, NULL, NULL][p_partkey % 5 + 1] AS health, [NULL, 120, 45, 88, NULL][p_partkey % 5 + 1] AS cycles FROM part")
+def c15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = pick(["电池健康93%", "电池 88% 充电 120 次", "battery health: 91%, 45 cycles", "充电88次", "电池健康12%"], F.col("p_partkey") % 5)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), flags.battery_state(text).alias("b")).select("id", "b.health", "b.cycles")
+
+
+@query("C16", "SELECT p_partkey AS id, [1, 0, 1, 0, 0][p_partkey % 5 + 1] = 1 AS sealed FROM part")
+def c16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = pick(["全新未拆 国行", "全新未拆封", "Factory Sealed", "原封 二手", "99新"], F.col("p_partkey") % 5)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), flags.is_sealed(text).alias("sealed"))
