@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+#: Rows of text that go to a Python worker at a time, where the session has Spark's own number for short rows.
+TEXT_BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches: rows that hold whole texts are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

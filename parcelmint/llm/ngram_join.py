@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelmint.llm.common import components, durable, small, table
+from parcelmint.llm.common import components, durable, small, table, text_batches
 from parcelmint.llm.shingles import list_array, mixed, sets_in
 
 #: So many of the most frequent shingles are known to all tasks and come last in the order; which ones they are
@@ -168,6 +168,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, round
     rows that share a doc_id but not the text may share a component. A null doc_id has no component. No rows give
     no rows; other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets, frequent, counts = frequent_shingles(docs, words)
     rows = durable(docs.mapInArrow(_prefixes(words, percent, buckets, frequent, counts), "doc_id long, n int, set_a long, set_b long, prefix_a long, prefix_b long, prefix array<long>, histogram binary"))

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelmint.llm.common import durable, table
+from parcelmint.llm.common import durable, table, text_batches
 
 _PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, emitted boolean, ids binary"
 #: Bytes of text that are tokenized at a time, and words that a task remembers.
-_BYTES, _WORDS = 4_000_000, 1_000_000
+_BYTES, _WORDS = 2_000_000, 400_000
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +238,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     Null and empty texts are end_id alone; rows that repeat are packed each; null ids pass; no rows give no
     pieces; other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     schema = _schema(docs.schema["doc_id"].dataType)
     arrow = _arrow(schema)
 

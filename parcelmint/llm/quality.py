@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelmint.llm.common import crc_mod, small, table, unit_hash
+from parcelmint.llm.common import crc_mod, small, table, text_batches, unit_hash
 from parcelmint.llm.langid import texts_in
 
-_CHUNKS = 1024
+_CHUNKS = 512
 _PAD = 256
 
 
@@ -163,7 +163,7 @@ def _scorer(model: ByteConv | None, schema: pa.Schema) -> Callable:
         for batch in batches:
             score = np.full(batch.num_rows, 0.5)
             if model is not None:
-                for a, b, data, first, size in texts_in(batch.column(batch.num_columns - 1), 2_000_000):
+                for a, b, data, first, size in texts_in(batch.column(batch.num_columns - 1), 1_000_000):
                     score[a:b] = model.score(data, first, size)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], schema=schema)
 
@@ -178,6 +178,7 @@ def score(docs: DataFrame, model: ByteConv | None, keep: list[str] | None = None
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    text_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*keep, F.col("text").alias("text__"))
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("score", T.DoubleType())])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from parcelmint.llm.langid import texts_in
 
 #: Bytes of text that a task shingles at a time.
-_BYTES = 2_000_000
+_BYTES = 500_000
 #: An odd multiplier for the rolling sum, and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15 | 3
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -52,7 +52,7 @@ def words_in(data: np.ndarray, first: np.ndarray, size: np.ndarray, between: np.
     Words are runs of bytes that are not `between`, A-Z lower-cased.
     """
     n = len(data)
-    top = 1 << max(20, (n + 1).bit_length())
+    top = 1 << max(19, (n + 1).bit_length())
     is_word = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[first] = True

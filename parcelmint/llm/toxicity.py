@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelmint.llm.common import crc_mod, table, unit_hash
+from parcelmint.llm.common import crc_mod, table, text_batches, unit_hash
 from parcelmint.llm.langid import texts_in
 from parcelmint.llm.quality import labelled
 from parcelmint.llm.shingles import NOT_LETTERS, words_in
 
-_BYTES = 2_000_000
+_BYTES = 500_000
 
 
 @dataclass
@@ -140,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, name: str, learn: Column, prior: f
     they count. vocabulary bounds the model: the most certain tokens. curve_rows bounds the sample of texts that
     the logistic curve and the law's scale are fitted on; the counts cover all rows.
     """
+    text_batches(docs.sparkSession)
     rows = labelled(docs, labels, name, learn)
     counts = rows.select("text", "y").mapInArrow(_counter(), "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     n = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
