@@ -1,21 +1,14 @@
-"""Near-duplicate embeddings by collision counting over one-dimensional projections.
+"""Near-duplicate embeddings by matrix products of blocks.
 
-Unit vectors are projected on many random lines. Two vectors at the sought cosine lie within a window on a line
-with a known probability, so the number of lines on which they collide is binomial: pairs that collide on fewer
-lines than nearly all such pairs do are left out, the others are verified by their cosine. On each line the
-vectors are sorted, and a vector's window is centred on it.
-
-Only equal labels are compared. A label's vectors are cut into blocks by hash and each pair of blocks is a task.
-Where a label is so large that this would be too many pairs, vectors are first dealt to cells by a few shifted
-lines, in as many rounds as the sought recall takes. Equal vectors are one vector with a multiplicity, and a task
+Only equal labels are compared. A label's vectors are cut into blocks by hash and each pair of blocks is a task:
+the product of its unit vectors gives the candidates, which are verified by their cosine. Every pair of a label
+meets in exactly one task, whatever the label's size. Equal vectors are one vector with a multiplicity, and a task
 returns a spanning forest and numbers of links instead of pairs, so groups of copies cost no quadratic output.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,84 +17,12 @@ from pyspark.sql import functions as F
 
 from parcelmint.llm.common import components, durable, small, table
 
-_KEY = ["label", "dims", "round", "cell", "one", "other"]
-
-
-def _within(half: float) -> float:
-    """The chance that a standard normal number is at most `half` from 0."""
-    return math.erf(half / math.sqrt(2))
-
-
-def least_count(lines: int, chance: float, miss: float) -> int:
-    """The largest count that a binomial number of `lines` trials stays below with at most the chance `miss`."""
-    below = 0.0
-    for k in range(lines + 1):
-        below += math.comb(lines, k) * chance**k * (1 - chance) ** (lines - k)
-        if below > miss:
-            return k
-    return lines
-
-
-@dataclass(frozen=True)
-class Search:
-    """Parameters of the search, the same in every task."""
-
-    cosine: float
-    lines: int
-    width: float
-    miss: float
-    depth: int
-    rounds: int
-    seed: int = 17
-
-    @property
-    def distance(self) -> float:
-        return math.sqrt(2 - 2 * self.cosine)
-
-    def directions(self, dims: int) -> np.ndarray:
-        return np.random.default_rng(self.seed).normal(size=(dims, self.lines))
-
-    def cells(self, unit: np.ndarray) -> np.ndarray:
-        """A cell for each vector and round: the slabs that it lies in on `depth` lines."""
-        rng = np.random.default_rng(self.seed + 1)
-        out = np.zeros((len(unit), self.rounds), np.int64)
-        for r in range(self.rounds if self.depth else 0):
-            slab = np.floor(unit @ rng.normal(size=(unit.shape[1], self.depth)) / (4 * self.distance) + rng.random(self.depth)).astype(np.int64)
-            for k in range(self.depth):
-                out[:, r] = out[:, r] * 1_000_003 + slab[:, k]
-        return out
-
-
-def plan(largest: int, cosine: float = 0.93, lines: int = 48, width: float = 1.0, miss: float = 1e-4, cell_rows: int = 16_384) -> Search:
-    """The search for labels of up to `largest` distinct vectors: no cells while they are few, else as deep as cells of about cell_rows need."""
-    near = 1 - math.sqrt(2 / math.pi) / 4
-    far, x = 0.0, math.sqrt(2) / (4 * math.sqrt(2 - 2 * cosine))
-    for k in range(1000):
-        at = (k + 0.5) / 1000
-        far += (1 - at) * 2 * math.exp(-((at / x) ** 2) / 2) / (x * math.sqrt(2 * math.pi)) / 1000
-    depth = 0 if largest <= cell_rows else math.ceil(math.log(largest / cell_rows) / -math.log(far))
-    rounds = 1 if not depth else math.ceil(math.log(1e-3) / math.log(1 - near**depth))
-    return Search(cosine, lines, width, miss, depth, rounds)
-
-
-def _with_cells(search: Search) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = np.zeros((batch.num_rows, search.rounds), np.int64)
-            if search.depth:
-                vectors = batch.column(batch.schema.get_field_index("vector"))
-                sizes = batch.column(batch.schema.get_field_index("dims")).to_numpy()
-                for d in np.unique(sizes):
-                    some = np.flatnonzero(sizes == d)
-                    x = np.array(vectors.take(pa.array(some)).flatten()).reshape(len(some), d)
-                    cells[some] = search.cells(x / np.sqrt((x * x).sum(1))[:, None])
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * search.rounds
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells.ravel()))], [*batch.schema.names, "cells"])
-
-    return run
+_KEY = ["label", "dims", "one", "other"]
+#: What a product may fall short of a cosine by rounding; candidates are verified.
+_SLACK = 1e-9
 
 
-def _pairs_of_blocks(search: Search) -> Callable:
+def _pairs_of_blocks(cosine: float) -> Callable:
     def run(part: pa.Table) -> pa.Table:
         empty = pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         if len(part) < 2:
@@ -110,38 +31,25 @@ def _pairs_of_blocks(search: Search) -> Callable:
         order = np.lexsort((ids, block))
         ids, copies, block = ids[order], copies[order], block[order]
         x = np.array(part.column("vector").combine_chunks().flatten()).reshape(len(part), -1)[order]
-        cells = np.array(part.column("cells").combine_chunks().flatten()).reshape(len(part), -1)[order]
-        round_ = part.column("round")[0].as_py()
         norm = np.sqrt((x * x).sum(1))
         inner = part.column("one")[0].as_py() == part.column("other")[0].as_py()
         cut = 0 if inner else int(np.searchsorted(block, block[-1]))
         if not inner and cut == 0:
             return empty
-        on = (x / norm[:, None]) @ search.directions(x.shape[1])
-        window = search.width * search.distance
-        least = least_count(search.lines, _within(search.width), search.miss)
-        right = on[cut:]
-        sorted_ = np.argsort(right, axis=0, kind="stable")
-        values = np.take_along_axis(right, sorted_, 0)
-        n = len(ids) if inner else cut
-        lo = np.column_stack([np.searchsorted(values[:, k], on[:n, k] - window, "left") for k in range(search.lines)])
-        hi = np.column_stack([np.searchsorted(values[:, k], on[:n, k] + window, "right") for k in range(search.lines)])
-        columns = [np.ascontiguousarray(sorted_[:, k]) for k in range(search.lines)]
+        unit = x / norm[:, None]
+        near = unit[: len(ids) if inner else cut] @ unit[cut:].T >= cosine - _SLACK
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for i in range(n):
-            met = np.concatenate([columns[k][a:b] for k, (a, b) in enumerate(zip(lo[i].tolist(), hi[i].tolist()))])
-            found = np.flatnonzero(np.bincount(met, minlength=len(right)) >= least) + cut
+        for i in range(len(near)):
+            found = np.flatnonzero(near[i]) + cut
             found = found[found > i] if inner else found
             if not len(found):
                 continue
-            found = found[(x[found] * x[i]).sum(1) / (norm[found] * norm[i]) >= search.cosine]
+            found = found[(x[found] * x[i]).sum(1) / (norm[found] * norm[i]) >= cosine]
             if not len(found):
                 continue
             labels = np.unique(np.append(label[found], label[i]))
             if len(labels) > 1:
                 label[np.isin(label, labels)] = labels[0]
-            if round_:
-                found = found[~(cells[found, :round_] == cells[i, :round_]).any(1)]
             links[i] += copies[found].sum()
             links[found] += copies[i]
         root = np.full(len(ids), np.iinfo(np.int64).max)
@@ -159,8 +67,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block_rows: int =
     Vectors with equal labels link if their cosine, in double precision, reaches the threshold. Null labels and
     vectors that are null, zero or hold null or not finite components link with nothing, as do vectors of unlike
     lengths. Rows that share an id are one vector, the least of them by label and components; a null id links with
-    nothing and has no component. No rows give no rows. cell_rows: labels of more distinct vectors are dealt to
-    cells, where a pair at the threshold is found with odds of 0.999; otherwise a pair is missed with odds of 1e-4.
+    nothing and has no component. No rows give no rows. Labels of every size give the result of brute force; the work
+    grows with the square of a label's distinct vectors. cell_rows: without effect, kept for those who pass it.
     """
     finite = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0)
     nodes = vectors.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
@@ -168,16 +76,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block_rows: int =
     nodes = durable(nodes.select("id", "label", "vector", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("h2")))
     same = ["label", "h", "h2"]
     classes = durable(nodes.groupBy("label", "vector", "h", "h2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")).withColumn("dims", F.size("vector")))
-    search = plan(classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0, cosine, cell_rows=cell_rows)
 
     rows = classes.select(F.col("class").alias("id"), "label", "copies", "dims", "vector")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", cells array<long>"
-    placed = rows.mapInArrow(_with_cells(search), schema).select("*", F.posexplode("cells").alias("round", "cell"))
-    sizes = durable(placed.groupBy("label", "dims", "round", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    placed = placed.join(small(sizes), ["label", "dims", "round", "cell"]).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
+    sizes = durable(rows.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    placed = rows.join(small(sizes), ["label", "dims"]).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tasks = placed.select(F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "label", "dims", "round", "cell", "id", "copies", "block", "vector", "cells")
-    found = durable(tasks.groupBy(*_KEY).applyInArrow(_pairs_of_blocks(search), "id long, links long, root long"))
+    tasks = placed.select(F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "label", "dims", "id", "copies", "block", "vector")
+    found = durable(tasks.groupBy(*_KEY).applyInArrow(_pairs_of_blocks(cosine), "id long, links long, root long"))
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

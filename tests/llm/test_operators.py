@@ -310,6 +310,20 @@ def test_near_duplicates(spark, cell_rows):
     assert [r.n_links for r in got] == near.sum(1).tolist() and [r.component_id for r in got] == label.tolist()
 
 
+def test_near_duplicates_of_a_large_label(spark):
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=(8500, 24))
+    one /= np.linalg.norm(one, axis=1)[:, None]
+    off = rng.normal(size=one.shape)
+    off -= (off * one).sum(1)[:, None] * one
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    x = np.concatenate([one, 0.9301 * one + np.sqrt(1 - 0.9301**2) * off])
+    near = np.concatenate([(x[a : a + 1000] @ x.T >= 0.93).sum(1) - 1 for a in range(0, len(x), 1000)])
+    rows = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x.tolist())], "id long, label int, vector array<double>")
+    got = neardup.near_duplicates(rows).orderBy("id").collect()
+    assert near.sum() >= 17_000 and [r.n_links for r in got] == near.tolist()
+
+
 def test_near_duplicates_of_odd_vectors(spark):
     got = {(r.id, r.n_links, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(VECTORS, "id long, label int, vector array<double>")).collect()}
     assert got == {(None, 0, None), (0, 2, 0), (1, 2, 0), (20, 2, 0), *((i, 0, i) for i in (2, 3, 4, 5, 6, 7, 8))}
