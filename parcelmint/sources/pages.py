@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelmint.functions import prices
 from parcelmint.functions.compat import SPACES
 
-#: Rows that a page gives at most, and how far after a title its price may stand.
+#: Rows that a page gives at most (a product list gives all of its), and how far after a title its price may stand.
 MOST_ROWS, MOST_TITLES, MOST_PRICES, REACH = 50, 100, 200, 1500
 
 
@@ -30,18 +30,24 @@ def products(pages: DataFrame, base: str, text: str = "html") -> DataFrame:
     blob = F.regexp_extract(text, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
     shape = f"props struct<pageProps:struct<products:{item},searchResults:struct<products:{item}>,results:{item}>>"
     found = F.from_json(blob, shape)["props"]["pageProps"]
-    rows = F.slice(F.coalesce(found["products"], found["searchResults"]["products"], found["results"]), F.lit(1), F.lit(MOST_ROWS))
+    rows = F.coalesce(found["products"], found["searchResults"]["products"], found["results"])
     out = pages.select("page_id", F.posexplode(F.filter(rows, lambda r: r["name"].isNotNull() & (r["price"] > 0))).alias("place", "r"))
     return out.select("page_id", "place", F.col("r.name").alias("title"), "r.price", "r.store", prices.absolute(F.col("r.url"), base).alias("url"))
 
 
 def cards(pages: DataFrame, text: str = "html") -> DataFrame:
-    """(page_id, place, title, euros, prime) of a retail result page, one for each result block with a title and a price."""
-    block = F.posexplode(F.slice(F.split(text, 'data-component-type="s-search-result"'), F.lit(2), F.lit(MOST_ROWS))).alias("place", "card")
-    b = pages.select("page_id", block)
-    title = F.coalesce(*[F.nullif(prices.page_text(F.regexp_extract("card", rule, 1)), F.lit("")) for rule in (r"(?s)<h2[^>]*>(.*?)</h2>", 'aria-label="([^"]+)"')])
-    out = b.select("page_id", "place", title.alias("title"), prices.euros(prices.page_text(F.concat(F.lit("<"), F.col("card")))).alias("euros"), F.contains(F.lower("card"), F.lit("prime")).alias("prime"))
-    return out.where("title is not null and euros > 0")
+    """(page_id, place, title, euros, prime) of a retail result page, one for each result block with a title and a price; blocks without are left out before they are numbered and the first ones kept."""
+
+    def read(card: Column) -> Column:
+        title = F.coalesce(*[F.nullif(prices.page_text(F.regexp_extract(card, rule, 1)), F.lit("")) for rule in (r"(?s)<h2[^>]*>(.*?)</h2>", 'aria-label="([^"]+)"')])
+        amount = prices.euros(prices.page_text(F.concat(F.lit("<"), card)))
+        return F.struct(title.alias("title"), amount.alias("euros"), F.contains(F.lower(card), F.lit("prime")).alias("prime"))
+
+    blocks = F.split(text, 'data-component-type="s-search-result"')
+    rows = F.transform(F.slice(blocks, F.lit(2), F.size(blocks)), read)
+    kept = F.slice(F.filter(rows, lambda r: r["title"].isNotNull() & (r["euros"] > 0)), F.lit(1), F.lit(MOST_ROWS))
+    out = pages.select("page_id", F.posexplode(kept).alias("place", "r"))
+    return out.select("page_id", "place", "r.title", "r.euros", "r.prime")
 
 
 def zipped(titles: Column, amounts: Column) -> Column:

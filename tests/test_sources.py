@@ -35,6 +35,21 @@ def test_cards(spark):
     assert got[1] == ("Galaxy S24", 799.0, False) and got[0][0] == "iPhone 15" and got[0][2]
 
 
+def test_products_are_not_cut(spark):
+    items = [{"name": "none", "price": 0}] * 10 + [{"name": f"p{i}", "price": 1.0 + i, "store": "s", "url": "/p"} for i in range(60)]
+    html = f'<script id="__NEXT_DATA__">{json.dumps({"props": {"pageProps": {"products": items}}})}</script>'
+    got = [(r.place, r.title, r.price) for r in pages.products(page(spark, html), "https://k").orderBy("place").collect()]
+    assert got == [(i, f"p{i}", 1.0 + i) for i in range(60)]
+
+
+def test_cards_are_counted_after_the_filter(spark):
+    block = ' data-component-type="s-search-result"><h2>'
+    for valid in (50, 55):
+        html = "x" + (block + "no price</h2>") * 5 + (block + "</h2> 7 €") * 5 + "".join(f"{block}c{i} x</h2> {i + 1} €" for i in range(valid))
+        got = [(r.place, r.title, r.euros) for r in pages.cards(page(spark, html)).orderBy("place").collect()]
+        assert got == [(i, f"c{i} x", 1.0 + i) for i in range(50)]
+
+
 def test_proximity_pairs_take_each_price_once(spark):
     html = "<h2>A</h2><h2>B</h2> 100 € <h2>C</h2>" + "x" * 1600 + "200 € <h2>D</h2> 300 €"
     got = [(r.title, r.euros) for r in pages.proximity_pairs(page(spark, html)).orderBy("place").collect()]
