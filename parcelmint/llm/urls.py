@@ -23,7 +23,7 @@ RULES = (
     ("com", "/de/", "block"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+_LINK = r"""(?i)<(?:a|area|link)\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -47,18 +47,19 @@ def best_rule(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, links) between different hosts: absolute links in the html of pages (host, html), counted."""
+    """(src, dst, links) between different hosts: links with a host in the html of pages (host, html), with or without a scheme, counted."""
     found = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("url"))
-    found = found.select("src", host_of(F.col("url")).alias("dst")).where("dst <> '' and dst <> src")
+    url = F.when(F.startswith("url", F.lit("//")), F.concat(F.lit("http:"), F.col("url"))).otherwise(F.col("url"))
+    found = found.select("src", host_of(url).alias("dst")).where("dst <> '' and dst <> src")
     return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85, every: int = 4) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, settled: float = 1e-6, damping: float = 0.85, every: int = 4) -> DataFrame:
     """(side, host, score): PageRank on both sides at once. links (src, dst, links); seeds (side, host, weight), sides trust and distrust.
 
     Trust runs along the links, distrust against them; a side's seeds' weights are scaled to 1. A host's score is
-    shared out by its numbers of links; what a host without links holds is not passed on. `every`: rounds between
-    written tables.
+    shared out by its numbers of links; what a host without links holds is not passed on. Rounds go on until `every` of
+    them reach no new host and change the scores by at most `settled` in sum; the scores are written so often.
     """
     edges = links.select(F.lit("trust").alias("side"), "src", "dst", "links").union(links.select(F.lit("distrust"), F.col("dst"), F.col("src"), "links"))
     edges = durable(edges.join(edges.groupBy("side", "src").agg(F.sum("links").alias("all_links")), ["side", "src"]).select("side", "src", "dst", (F.col("links") / F.col("all_links")).alias("share")))
@@ -67,15 +68,19 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 12, damping: flo
     if edges.limit(1).count() == 0:
         return start
     score = start
-    for k in range(1, rounds + 1):
-        passed = score.withColumnRenamed("host", "src").join(edges, ["side", "src"]).select("side", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        score = passed.union(start.select("side", "host", F.col("score") * (1 - damping))).groupBy("side", "host").agg(F.sum("score").alias("score"))
-        if k % every == 0 or k == rounds:
-            score = durable(score)
-    return score
-
-
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, factor: float = 1.0, rounds: int = 12) -> DataFrame:
+    while True:
+        old = score.withColumnRenamed("score", "was")
+        for _ in range(every):
+            passed = score.withColumnRenamed("host", "src").join(edges, ["side", "src"]).select("side", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+            score = passed.union(start.select("side", "host", F.col("score") * (1 - damping))).groupBy("side", "host").agg(F.sum("score").alias("score"))
+        score = durable(score)
+        change = F.sum(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0)))).alias("change")
+        step = score.join(old, ["side", "host"], "left").agg(change, F.count_if(F.col("was").isNull()).alias("reached")).first()
+        if not step["reached"] and (step["change"] or 0.0) <= settled:
+            return score
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, factor: float = 1.0, settled: float = 1e-6) -> DataFrame:
     """One row for each page (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust.
 
     Seeds: hosts of pages that a rule decides, weighted by those pages. A page that no rule decides is blocked if
@@ -89,7 +94,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, facto
     links = durable(host_links(pages.select(host_of(F.col("url")).alias("host"), "html")))
     side = F.when(F.col("verdict") == "allow", "trust").otherwise("distrust").alias("side")
     seeds = rows.where("verdict is not null").groupBy(side, "host").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    score = propagate(links, seeds, rounds)
+    score = propagate(links, seeds, settled)
     hosts = durable(score.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("score"))), F.lit(0.0)).alias(s) for s in ("trust", "distrust")]))
     out = rows.join(small(hosts), "host", "left")
     trust, distrust = (F.coalesce(s, F.lit(0.0)) for s in ("trust", "distrust"))

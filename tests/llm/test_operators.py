@@ -266,6 +266,19 @@ def test_url_rules_and_links(spark):
     assert got[6][3] == "allow" and got[7] == ("x.org", "/es/", "org/", "allow") and got[9][3] == "allow"
 
 
+def test_url_distrust_over_hops(spark):
+    rows = [(i, f"http://h{i}.net/", f'<area href="http://h{i + 1}.net/">') for i in range(16)] + [(16, "http://h16.net/", "<a href=https://bad.com/de/>"), (17, "https://bad.com/de/", "")]
+    rows += [(20, "http://far.net/", "<a href='//via.net/x'>"), (21, "http://via.net/", '<a href="http://bad.com/">'), (22, "http://free.net/", '<a href="/page//x">')]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "allow" if i == 22 else "block" for i, _, _ in rows}
+
+
+def test_url_scores_settle(spark):
+    links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, links long")
+    got = {r.host: r.score for r in urls.propagate(links, spark.createDataFrame([("trust", "a", 2.0)], "side string, host string, weight double")).collect()}
+    assert got == pytest.approx({"a": 0.15 / (1 - 0.85**2), "b": 0.15 * 0.85 / (1 - 0.85**2)}, abs=2e-6)
+
+
 VECTORS = [(0, 1, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (2, 1, None), (3, 1, [0.0, 0.0]), (4, 1, [NAN, 1.0]), (5, 1, [None, 1.0]), (20, 1, [2.0, 0.1]), (20, 1, [2.0, 0.1]), (None, 1, [1.0, 1.0]), (7, 1, [1.0, 1.0, 1.0]), (6, 2, [1.0, 0.0]), (8, None, [1.0, 0.0])]
 
 
