@@ -133,8 +133,14 @@ def w04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("W05", "SELECT doc_id, source || '-live-' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS place_id FROM documents")
 def w05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-live-", "source", place.cast("string")).alias("place_id"))
+    """Numbers within runs of ids, and the sizes of the runs before, so that no task holds a whole source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.floor(F.col("doc_id") / 4096).alias("run"))
+    earlier = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = docs.groupBy("source", "run").agg(F.count(F.lit(1)).alias("n")).select(F.col("source").alias("source_"), F.col("run").alias("run_"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    docs = docs.withColumn("at", F.row_number().over(Window.partitionBy("source", "run").orderBy("doc_id")) - 1)
+    docs = docs.join(runs, F.col("source").eqNullSafe(F.col("source_")) & F.col("run").eqNullSafe(F.col("run_")))
+    place = F.col("before") + F.col("at")
+    return docs.select("doc_id", F.concat_ws("-live-", "source", place.cast("string")).alias("place_id"))
 
 
 @query("S02", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")

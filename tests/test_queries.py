@@ -2,9 +2,11 @@
 
 import math
 import os
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from parcelmint.plans import catalog
 
@@ -32,3 +34,25 @@ def test_query_equals_sql(spark, duck, name):
     columns = [c[0] for c in answer.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows([tuple(r) for r in df.collect()], df.columns) == rows(answer.fetchall(), columns)
+
+
+def test_numbering_is_spread(spark, tmp_path):
+    rows = spark.range(40_000).select((F.col("id") * 3).alias("doc_id"), F.when(F.col("id") % 100 == 0, None).otherwise(F.lit("a")).alias("source"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = catalog.QUERIES["W05"](spark, str(tmp_path))
+        got = df.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    expected, next_ = {}, {True: 0, False: 0}
+    for i in range(40_000):
+        key = i % 100 == 0
+        expected[3 * i] = f"{next_[key]}" if key else f"a-live-{next_[key]}"
+        next_[key] += 1
+    assert {r.doc_id: r.place_id for r in got} == expected and len(got) == 40_000
+    assert max(Counter(r.task for r in got if r.place_id.startswith("a")).values()) < 30_000
+
+
+def test_numbering_equals_sql(spark, duck):
+    test_query_equals_sql(spark, duck, "W05")
