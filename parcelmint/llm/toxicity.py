@@ -133,12 +133,12 @@ def _featurizer(model: SegmentModel) -> Callable:
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, name: str, learn: Column, prior: float = 0.1, deviations: float = 2.5, cost: float = 0.2, vocabulary: int = 1 << 17, curve_rows: int = 4000) -> SegmentModel | None:
+def train(docs: DataFrame, labels: DataFrame, name: str, learn: Column, prior: float = 0.1, deviations: float = 2.5, cost: float = 0.2, curve_rows: int = 4000) -> SegmentModel | None:
     """A model of the labelled rows that `learn` keeps; None unless both labels occur.
 
     prior: the prior's total count as a share of all counts. deviations: how many of its deviations a token's log-odds are lowered by before
-    they count. vocabulary bounds the model: the most certain tokens. curve_rows bounds the sample of texts that
-    the logistic curve and the law's scale are fitted on; the counts cover all rows.
+    they count; the model has every token that is then above 0. curve_rows bounds the sample of texts that the
+    logistic curve is fitted on; the counts cover all rows. The law's scale is fixed.
     """
     text_batches(docs.sparkSession)
     rows = labelled(docs, labels, name, learn)
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, name: str, learn: Column, prior: f
     a = F.lit(prior) * (F.col("toxic") + F.col("clean"))
     odds = lambda k, total: F.log((F.col(k) + a) / (F.lit(total + prior * (n["t"] + n["c"])) - F.col(k) - a))
     bound = odds("toxic", float(n["t"])) - odds("clean", float(n["c"])) - F.lit(deviations) * F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-    top = counts.withColumn("score", bound).where("score > 0").orderBy(F.desc("score"), "token").limit(vocabulary).select("token", "score", "clean").toArrow().to_pandas()
+    top = counts.withColumn("score", bound).where("score > 0").select("token", "score", "clean").toArrow().to_pandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     scores = top["score"].to_numpy(float)[order]

@@ -239,6 +239,14 @@ def test_toxicity(spark):
     assert toxicity.train(table, marks.where("toxic = 0"), "toxic", F.lit(True)) is None
 
 
+def test_toxicity_keeps_all_tokens(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    texts = [" ".join(word(i) for i in range(g, 140_000, 20)) for g in range(20)]
+    rows = [doc(i, texts[i % 20] if i < 400 else "z" + texts[i % 20].replace(" ", " z")) for i in range(800)]
+    marks = spark.createDataFrame([(i, int(i < 400)) for i in range(800)], "doc_id long, toxic int")
+    assert len(toxicity.train(docs(spark, rows), marks, "toxic", F.lit(True), curve_rows=40).tokens) == 140_000
+
+
 def test_segments_are_maximal():
     def brute(scores, a, b):
         best = None
