@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side with at most so many rows may be broadcast; beyond it the plain join runs.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 #: Rows of text that go to a Python worker at a time, where the session has Spark's own number for short rows.
@@ -37,20 +39,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends here and outlives lost executors."""
+def durable(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: lineage ends here and outlives lost executors.
+
+    The table stays when the query is over: whoever owns spark.checkpoint.dir empties it. See scratch().
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/parcelmint/{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark) + '/parcelmint'}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A durable() whose tables go when the block ends; what outlives the block must not be planned on them."""
+    folder = f"{shared_dir(spark)}/parcelmint/{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame) -> DataFrame:
+        return durable(df, folder)
+
+    try:
+        yield keep
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if it has at most BROADCAST_ROWS rows (counted unless given), else df as it is."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def veiled(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs with all columns but `used` renamed to names that no operator has, and what gives the names and their order back.
+
+    The second takes a DataFrame that still has these columns, new values for columns that docs has, by name, and
+    further columns.
+    """
+    hidden = {c: c if c in used else f"veiled_{k}__" for k, c in enumerate(docs.columns)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+
+    def restored(df: DataFrame, new: dict[str, Column] | None = None, **more: Column) -> DataFrame:
+        back = [(new or {}).get(c, F.col(h)).alias(c) for c, h in hidden.items()]
+        return df.select(*back, *[x.alias(c) for c, x in more.items()])
+
+    return docs.select(*[quoted(c).alias(h) for c, h in hidden.items()]), restored
+
+
 def unit_hash(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the values alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 53)) / F.lit(float(1 << 53))
@@ -61,14 +97,16 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100, durable: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """The connected components of undirected edges (a, b): one row (id, component) for each node, component its smallest id.
 
     Every round takes the least label among neighbours, then jumps to that label's own label, so the rounds
     grow with the logarithm of a chain's length. The labels of a round are a written table; sums per node are
     combined before the shuffle, so a hub node is no hot group.
     """
-    both = durable(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").union(edges.select(F.col("b"), F.col("a")).where("a <> b")).distinct())
+    there = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    back = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    both = durable(there.union(back).where("u <> v").distinct())
     label = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("component"))
     label = durable(label)
     for _ in range(rounds):
