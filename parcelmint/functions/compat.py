@@ -22,6 +22,16 @@ def pattern(text: str, fold: bool = True) -> str:
     return ("(?iu)" if fold else "") + out
 
 
+#: An edge between a word character and none.
+EDGE = f"(?:{LEFT}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_]){RIGHT})"
+
+
+def ascii_pattern(text: str, fold: bool = True) -> str:
+    r"""A rule with \b, \s and \d as the source means them (ASCII words and digits, wide white space), for Java; case is folded on demand."""
+    out = text.replace(r"\b", EDGE).replace(r"\s", f"[{SPACES}]").replace(r"\d", "[0-9]")
+    return ("(?iu)" if fold else "") + out
+
+
 def first(text: Column | str, rule: str, group: int = 1) -> Column:
     """The group of the first match; null without one."""
     return F.nullif(F.regexp_extract(text, rule, group), F.lit(""))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcelmint.functions.compat import pattern
+from parcelmint.functions.compat import ascii_pattern, pattern
 from parcelmint.functions.risk import says
 
 # Titles that are no device, words that say little, and rules for a product family's generation.
@@ -25,48 +26,50 @@ JUNK = [
     "回馈活动|抽奖|中奖|免费送",
 ]
 STOP_WORDS = {"the", "all", "and", "for", "with", "new", "pro", "max", "plus", "ultra"}
-_INCH = r'(?:\d{1,2}(?:\.\d)?-?~(?:in|inch|")~)?'
+# Fixed values: (family, rule, value, titles only). A rule's number is the generation; one without a number has the value.
 FAMILIES = [
-    ("iphone", r"‹iphone~(\d{1,2}[es]?)(?:plus|mini|pro|max|air)?›"),
-    ("ipad", r"‹ipad~(?:pro|air|mini)?~" + _INCH + r"m([1-9])›"),
-    ("ipad", r"‹ipad~(?:pro|air|mini)?~(\d{1,2})›(?!~-?~(?:in|inch))"),
-    ("macbook", r"‹macbook~(?:pro|air)?~" + _INCH + r"m([1-9])›"),
-    ("watch", r"‹apple watch~(?:series~)?(\d{1,2})›"),
-    ("watch", r"‹apple watch~ultra~(\d)›"),
-    ("watch", r"‹apple watch~se~(\d)›"),
-    ("airpods", r"‹airpods~(?:pro|max)?~(\d{1,2})›"),
-    ("galaxy", r"‹galaxy~([sa]\d{1,2})›"),
-    ("galaxy", r"‹galaxy~z(?:~(?:fold|flip))?~(\d{1,2})›"),
-    ("galaxy", r"‹galaxy~(?:tab|book|buds)~[sa]?~(\d{1,2})›"),
-    ("pixel", r"‹pixel~(\d{1,2})(?:a|pro|xl)?›"),
-    ("playstation", r"‹(?:playstation|ps)~(\d)›"),
-    ("sony-headphones", r"‹(?:wh|wf)-?1000xm(\d)›"),
-    ("switch", r"‹switch~2›"),
-    ("xiaomi", r"‹(?:xiaomi|redmi|poco)~(?:note|k|f|m|x|pad)?~(\d{1,2})›"),
-    ("oneplus", r"‹oneplus~(\d{1,2})›"),
-    ("oppo", r"‹oppo~(?:find~x|reno)?~(\d{1,2})›"),
-    ("honor", r"‹honor~(?:magic|m|x)?~(\d{1,3})›"),
-    ("realme", r"‹realme~(?:gt~)?(\d{1,2})›"),
-    ("vivo", r"‹vivo~(?:x|y|v|s)?~(\d{1,3})›"),
-    ("motorola", r"‹(?:edge|razr)~(\d{1,2})›"),
-    ("dji-mavic", r"‹mavic~(\d{1,2})›"),
-    ("dji-mini", r"‹mini~(\d{1,2})›"),
-    ("dji-air", r"‹air~(\d{1,2})~s›"),
-    ("dji-osmo", r"‹osmo~(?:pocket|action|mobile)?~(\d{1,2})›"),
-    ("dji-rs", r"‹rs~(\d)›"),
-    ("dji-avata", r"‹avata~2›"),
-    ("canon-r", r"‹eos~r(\d{1,2})›"),
-    ("nikon-z", r"‹z~(\d{1,2})›"),
-    ("fuji-xt", r"‹x-t(\d{1,2})›"),
-    ("gopro", r"‹hero~(\d{1,2})›"),
-    ("dyson", r"‹dyson~v(\d{1,2})›"),
-    ("jbl", r"‹jbl~(?:flip|charge|extreme|go|clip|tune)~(\d{1,2})›"),
-    ("bose-qc", r"‹quietcomfort~(\d{2,3})›"),
-    ("roborock", r"‹roborock~[sq]?~(\d{1,2})›"),
-    ("ecovacs", r"‹deebot~[xtn]?~(\d{1,2})›"),
+    ("iphone", r"\biphone\s*(\d{1,2}[es]?)(?:plus|mini|pro|max|air)?\b", None, False),
+    ("ipad", r'\bipad\s*(?:pro|air|mini)?\s*(?:\d{1,2}(?:\.\d)?-?\s*(?:in|inch|")\s*)?m([1-9])\b', None, False),
+    ("ipad", r"\bipad\s*(?:pro|air|mini)?\s*(\d{1,2})\b(?!\s*-?\s*(?:in|inch))", None, False),
+    ("macbook", r'\bmacbook\s*(?:pro|air)?\s*(?:\d{1,2}(?:\.\d)?-?\s*(?:in|inch|")\s*)?m([1-9])\b', None, False),
+    ("watch", r"\bapple\s+watch\s*(?:series\s*)?(\d{1,2})\b", None, False),
+    ("watch", r"\bapple\s+watch\s*ultra\s*(\d)\b", None, False),
+    ("watch", r"\bapple\s+watch\s*se\s*(\d)\b", None, False),
+    ("airpods", r"\bairpods\s*(?:pro|max)?\s*(\d{1,2})\b", None, False),
+    ("galaxy", r"\bgalaxy\s*([sa]\d{1,2})\b", None, False),
+    ("galaxy", r"\bgalaxy\s*z(?:\s*(?:fold|flip))?\s*(\d{1,2})\b", None, False),
+    ("galaxy", r"\bgalaxy\s*(?:tab|book|buds)\s*[sa]?\s*(\d{1,2})\b", None, False),
+    ("pixel", r"\bpixel\s*(\d{1,2})(?:a|pro|xl)?\b", None, False),
+    ("playstation", r"\b(?:playstation|ps)\s*(\d)\b", None, False),
+    ("sony-headphones", r"\b(?:wh|wf)-?1000xm(\d)\b", None, False),
+    ("switch", r"\bswitch\s*2\b", "", False),
+    ("switch", r"\bswitch(?!\s*2\b)", "1", True),
+    ("xiaomi", r"\b(?:xiaomi|redmi|poco)\s*(?:note|k|f|m|x|pad)?\s*(\d{1,2})\b", None, False),
+    ("oneplus", r"\boneplus\s*(\d{1,2})\b", None, False),
+    ("oppo", r"\boppo\s*(?:find\s*x|reno)?\s*(\d{1,2})\b", None, False),
+    ("honor", r"\bhonor\s*(?:magic|m|x)?\s*(\d{1,3})\b", None, False),
+    ("realme", r"\brealme\s*(?:gt\s*)?(\d{1,2})\b", None, False),
+    ("vivo", r"\bvivo\s*(?:x|y|v|s)?\s*(\d{1,3})\b", None, False),
+    ("motorola", r"\b(?:edge|razr)\s*(\d{1,2})\b", None, False),
+    ("dji-mavic", r"\bmavic\s*(\d{1,2})\b", None, False),
+    ("dji-mini", r"\bmini\s*(\d{1,2})\b", None, False),
+    ("dji-air", r"\bair\s*(\d{1,2})\s*s\b", None, False),
+    ("dji-osmo", r"\bosmo\s*(?:pocket|action|mobile)?\s*(\d{1,2})\b", None, False),
+    ("dji-rs", r"\brs\s*(\d)\b", None, False),
+    ("dji-avata", r"\bavata\s*2\b", "", False),
+    ("canon-r", r"\beos\s*r(\d{1,2})\b", None, False),
+    ("nikon-z", r"\bz\s*(\d{1,2})\b", None, False),
+    ("fuji-xt", r"\bx-t(\d{1,2})\b", None, False),
+    ("fuji-xh", r"\bx-h2\b", "2", False),
+    ("fuji-x100", r"\bx100\b", "100", False),
+    ("gopro", r"\bhero\s*(\d{1,2})\b", None, False),
+    ("dyson", r"\bdyson\s*v(\d{1,2})\b", None, False),
+    ("jbl", r"\bjbl\s*(?:flip|charge|extreme|go|clip|tune)\s*(\d{1,2})\b", None, False),
+    ("bose-qc", r"\bquietcomfort\s*ultra\b", "ultra", False),
+    ("bose-qc", r"\bquietcomfort\s*(\d{2,3})\b", None, False),
+    ("roborock", r"\broborock\s*[sq]?\s*(\d{1,2})\b", None, False),
+    ("ecovacs", r"\bdeebot\s*[xtn]?\s*(\d{1,2})\b", None, False),
 ]
-#: Rules without a number; the value that they stand for.
-NAMED = [("switch", r"‹switch(?!~2›)", "1"), ("fuji-xh", "‹x-h2›", "2"), ("fuji-x100", "‹x100›", "100"), ("bose-qc", "‹quietcomfort~ultra›", "ultra")]
 
 
 def is_accessory(title: Column) -> Column:
@@ -95,17 +98,18 @@ def has_any_token(title: Column, query: str) -> Column:
     return F.lit(True) if out is None else out
 
 
-def _values(low: Column, family: str, rule: str) -> Column:
-    numbered = re.search(r"\((?!\?)", rule) is not None
-    values = F.regexp_extract_all(low, F.lit(pattern(rule)), F.lit(int(numbered)))
-    return F.transform(values, lambda v: F.concat(F.lit(family + " "), v if numbered else F.lit("")))
+def _marker(family: str, value: str | None) -> Callable[[Column], Column]:
+    return lambda found: F.concat(F.lit(family + " "), found if value is None else F.lit(value))
 
 
 def markers(text: Column, of_title: bool = True) -> Column:
-    """Every (family, generation) that a text names, as 'family value'."""
-    low = F.lower(text)
-    found = [_values(low, family, rule) for family, rule in FAMILIES]
-    found += [F.when(F.rlike(low, F.lit(pattern(rule))), F.array(F.lit(f"{family} {value}"))).otherwise(F.array().cast("array<string>")) for family, rule, value in NAMED if of_title or family != "switch"]
+    """Every (family, generation) that a text names, as 'family value', in the order of the rules."""
+    low, found = F.lower(text), []
+    for family, rule, value, titles_only in FAMILIES:
+        if titles_only and not of_title:
+            continue
+        values = F.regexp_extract_all(low, F.lit(ascii_pattern(rule)), F.lit(1 if value is None else 0))
+        found.append(F.transform(values, _marker(family, value)))
     return F.flatten(F.array(*found))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelmint.functions.compat import js_round, nz
@@ -17,7 +17,8 @@ _REPORT = "struct<score:int,dropped:boolean,reasons:array<string>,blacklist:arra
 
 def says(text: Column, token: str) -> Column:
     """Whether the token occurs somewhere without a negation before it."""
-    return F.rlike(text, F.lit(f"(?<!{'|'.join(NEGATIONS)}){token}"))
+    # most texts do not hold the token at all, which is found out faster without a rule
+    return F.contains(text, F.lit(token)) & F.rlike(text, F.lit(f"(?<!{'|'.join(NEGATIONS)}){token}"))
 
 
 def negated(text: Column, token: str) -> Column:
@@ -37,7 +38,11 @@ def yellow(text: Column) -> Column:
 
 def declarations(text: Column) -> Column:
     """What a text denies, of the blacklist."""
-    found = [F.when(~says(text, t), F.transform(negated(text, t), lambda x, label=label: F.concat(x, F.lit(f" (no {label})")))).otherwise(F.array().cast("array<string>")) for t, label in BLACKLIST.items()]
+    none = F.array().cast("array<string>")
+    found = []
+    for t, label in BLACKLIST.items():
+        denied = F.transform(negated(text, t), lambda x, label=label: F.concat(x, F.lit(f" (no {label})")))
+        found.append(F.when(F.contains(text, F.lit(t)) & ~says(text, t), denied).otherwise(none))
     return F.flatten(F.array(*found))
 
 
@@ -57,30 +62,52 @@ def asset_risk(images: Column, description: Column) -> Column:
     return F.when(images < 2, 8).otherwise(0) + F.when(F.length(description) < 20, 5).otherwise(0)
 
 
+def _report(black: Column, marks: Column, denied: Column, seller: Column, lock: Column, images: Column, description: Column) -> Column:
+    none = F.array().cast("array<string>")
+    score = F.when(lock == "carrier_locked", 50).otherwise(0) + seller + yellow_risk(marks) + asset_risk(images, description)
+    reasons = [
+        F.when(F.size(denied) > 0, F.concat(F.lit("Positive declarations: "), F.array_join(denied, ", "), F.lit(" (+0)"))),
+        F.when(lock == "carrier_locked", F.lit("Carrier-locked (+50)")).when(lock == "unlocked", F.lit("Unlocked (+0)")),
+        F.concat(F.lit("Seller record (+"), seller.cast("string"), F.lit(")")),
+        F.when(F.size(marks) > 0, F.concat(F.lit("Yellow modifier tokens: "), F.array_join(marks, ", "), F.lit(" (+"), yellow_risk(marks).cast("string"), F.lit(")"))),
+        F.when(images < 2, F.concat(F.lit("Image count "), images.cast("string"), F.lit(" < 2 (+8)"))),
+        F.when(F.length(description) < 20, F.concat(F.lit("Description "), F.length(description).cast("string"), F.lit(" chars < 20 (+5)"))),
+    ]
+
+    def made(score: Column, dropped: bool, why: Column, tokens: Column, marks: Column) -> Column:
+        return F.struct(score.alias("score"), F.lit(dropped).alias("dropped"), why.alias("reasons"), tokens.alias("blacklist"), marks.alias("yellow")).cast(_REPORT)
+
+    named = F.array(F.concat(F.lit("Critical blacklist tokens detected: "), F.array_join(black, ", ")))
+    risk = F.when(F.size(black) > 0, made(F.lit(100), True, named, black, none))
+    for kind, label in {"icloud_locked": "iCloud/Activation lock", "mdm_locked": "MDM supervised lock"}.items():
+        risk = risk.when(lock == kind, made(F.lit(100), True, F.array(F.lit(label)), F.array(F.lit(label)), none))
+    bounded = js_round(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("int")
+    risk = risk.otherwise(made(bounded, False, F.array_compact(F.array(*reasons)), none, marks))
+    return risk
+
+
 def report(title: Column, description: Column, lock: Column, rating: Column, transactions: Column, verified: Column, images: Column) -> Column:
     """score (0 to 100), dropped, reasons, blacklist and yellow tokens."""
     text = F.concat_ws(" ", title, description)
-    black, marks = blacklist(text), yellow(text)
-    lock = F.coalesce(lock, F.lit("unknown"))
-    score = F.when(lock == "carrier_locked", 50).otherwise(0) + seller_risk(rating, transactions, verified) + yellow_risk(marks) + asset_risk(images, description)
-    none = F.array().cast("array<string>")
-    denied = declarations(text)
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.size(denied) > 0, F.concat(F.lit("Positive declarations: "), F.array_join(denied, ", "), F.lit(" (+0)"))),
-            F.when(lock == "carrier_locked", F.lit("Carrier-locked (+50)")).when(lock == "unlocked", F.lit("Unlocked (+0)")),
-            F.concat(F.lit("Seller record (+"), seller_risk(rating, transactions, verified).cast("string"), F.lit(")")),
-            F.when(F.size(marks) > 0, F.concat(F.lit("Yellow modifier tokens: "), F.array_join(marks, ", "), F.lit(" (+"), yellow_risk(marks).cast("string"), F.lit(")"))),
-            F.when(images < 2, F.concat(F.lit("Image count "), images.cast("string"), F.lit(" < 2 (+8)"))),
-            F.when(F.length(description) < 20, F.concat(F.lit("Description "), F.length(description).cast("string"), F.lit(" chars < 20 (+5)"))),
-        )
-    )
-    made = lambda score, dropped, why, b, y: F.struct(F.lit(score).alias("score") if isinstance(score, int) else score.alias("score"), F.lit(dropped).alias("dropped"), why.alias("reasons"), b.alias("blacklist"), y.alias("yellow")).cast(_REPORT)
-    locked = {"icloud_locked": "iCloud/Activation lock", "mdm_locked": "MDM supervised lock"}
-    out = F.when(F.size(black) > 0, made(100, True, F.array(F.concat(F.lit("Critical blacklist tokens detected: "), F.array_join(black, ", "))), black, none))
-    for kind, label in locked.items():
-        out = out.when(lock == kind, made(100, True, F.array(F.lit(label)), F.array(F.lit(label)), none))
-    return out.otherwise(made(js_round(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("int"), False, reasons, none, marks))
+    seller = seller_risk(rating, transactions, verified)
+    return _report(blacklist(text), yellow(text), declarations(text), seller, F.coalesce(lock, F.lit("unknown")), images, description)
+
+
+def with_risk(rows: DataFrame) -> DataFrame:
+    """rows (title, description, product, rating, transactions, verified, images) with risk, the report() of each.
+
+    What the score and its reasons share is a projection of its own, so that no rule runs twice on a row.
+    """
+    text = F.concat_ws(" ", "title", "description")
+    parts = {
+        "black__": blacklist(text),
+        "marks__": yellow(text),
+        "denied__": declarations(text),
+        "seller__": seller_risk(F.col("rating"), F.col("transactions"), F.col("verified")),
+        "lock__": F.coalesce("product.lock_status", F.lit("unknown")),
+    }
+    out = rows.select("*", *[v.alias(k) for k, v in parts.items()])
+    return out.withColumn("risk", _report(*map(F.col, parts), F.col("images"), F.col("description"))).drop(*parts)
 
 
 def hidden_by_risk(risk: Column, threshold: float) -> Column:

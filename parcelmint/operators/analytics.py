@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelmint.functions.compat import js_round, median
+from parcelmint.functions.compat import js_round
 
 CONDITION_ORDER = ["new", "open_box", "excellent", "very_good", "good", "fair", "unknown"]
 
@@ -15,13 +15,45 @@ def floor_price(category: Column) -> Column:
     return F.when(category == "macbook", 2000).when(category == "ipad", 800).when(category == "ps5", 1000).otherwise(500)
 
 
+def exact_medians(rows: DataFrame, by: list[str], value: str, rounding: str = "none") -> DataFrame:
+    """(by, median): the exact median of a group's values, nulls left out, with no group in one task.
+
+    Equal values are counted first, then counts are summed over ranges of one unit, which are few; the middle of a
+    group lies in one or two of them, and only those are sorted. Groups without a value are left out. rounding: as of
+    compat.median().
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("value_")).agg(F.count(F.lit(1)).alias("n_"))
+    counts = counts.withColumn("range_", F.floor("value_"))
+    ranges = counts.groupBy(*by, "range_").agg(F.sum("n_").alias("n_"))
+    ordered = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before_", F.coalesce(F.sum("n_").over(ordered), F.lit(0))).withColumn("all_", F.sum("n_").over(Window.partitionBy(*by)))
+    # ranks from 0 of the lower and the upper middle value
+    low, high = F.floor((F.col("all_") - 1) / 2), F.floor(F.col("all_") / 2)
+    holds = lambda n: (F.col("before_") <= n) & (n < F.col("before_") + F.col("n_"))
+    middle = ranges.where(holds(low) | holds(high)).drop("n_")
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "range_"]]
+    inside = counts.alias("c").join(middle.alias("m"), same).select("c.*", "m.before_", "m.all_")
+    within = Window.partitionBy(*by, "range_").orderBy("value_").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("before_", F.col("before_") + F.coalesce(F.sum("n_").over(within), F.lit(0)))
+    found = inside.groupBy(*by).agg(*[F.max(F.when(holds(n), F.col("value_"))).alias(c) for n, c in ((low, "low_"), (high, "high_"))], F.max("all_").alias("all_"))
+    median = F.when(F.col("low_") == F.col("high_"), F.col("low_")).otherwise((F.col("low_") + F.col("high_")) / 2)
+    if rounding == "all":
+        median = js_round(median).cast("double")
+    elif rounding == "even":
+        median = F.when(F.col("all_") % 2 == 0, js_round(median).cast("double")).otherwise(median)
+    return found.select(*by, median.alias("median"))
+
+
 def heatmap(rows: DataFrame) -> DataFrame:
     """(family, condition, median_profit, n, mean_margin, least, most): all conditions for every family; least and most of all medians.
 
-    One aggregation by family and condition; the grid is made from its result, a row for each family, not from a join
-    of the input.
+    One aggregation by family and condition, and exact medians; the grid is made from their result, a row for each
+    family, not from a join of the input.
     """
-    cells = rows.groupBy("family", "condition").agg(F.median("profit").alias("median_profit"), F.count(F.lit(1)).alias("n"), F.avg("margin").alias("mean_margin"))
+    by = ["family", "condition"]
+    cells = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("margin").alias("mean_margin"))
+    medians = exact_medians(rows, by, "profit").select(*[F.col(c).alias(f"{c}_") for c in by], F.col("median").alias("median_profit"))
+    cells = cells.join(medians, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in by], "left")
     by_family = cells.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("condition", F.struct("median_profit", "n", "mean_margin")))).alias("cells"))
     grid = by_family.select("family", "cells", F.explode(F.array(*map(F.lit, CONDITION_ORDER))).alias("condition")).withColumn("cell", F.try_element_at("cells", F.col("condition")))
     whole = Window.partitionBy()
@@ -35,9 +67,12 @@ def profit_bucket(x: Column) -> Column:
 
 def market_preview(offers: DataFrame) -> DataFrame:
     """(source, n, mean, median, least, most) for each platform and for new and used, over distinct (platform, title, euros)."""
-    distinct = offers.dropDuplicates(["platform", "title", "euros"])
-    sides = distinct.select("euros", F.explode(F.array(F.col("platform"), F.when(F.col("platform").isin("kuantokusta", "amazon"), "new").otherwise("used"))).alias("source"))
-    return sides.groupBy("source").agg(F.count(F.lit(1)).alias("n"), js_round(F.avg("euros")).alias("mean"), median(F.col("euros"), "even").alias("median"), F.min("euros").alias("least"), F.max("euros").alias("most"))
+    distinct = offers.select("platform", "title", "euros").distinct()
+    side = F.when(F.col("platform").isin("kuantokusta", "amazon"), "new").otherwise("used")
+    sides = distinct.select("euros", F.explode(F.array(F.col("platform"), side)).alias("source"))
+    facts = sides.groupBy("source").agg(F.count(F.lit(1)).alias("n"), js_round(F.avg("euros")).alias("mean"), F.min("euros").alias("least"), F.max("euros").alias("most"))
+    medians = exact_medians(sides, ["source"], "euros", "even").withColumnRenamed("source", "source_")
+    return facts.join(medians, F.col("source").eqNullSafe(F.col("source_")), "left").select("source", "n", "mean", "median", "least", "most")
 
 
 def page(ordered: DataFrame, number: int, size: int = 15) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelmint.functions import matching, pricing, risk, titles
@@ -11,90 +11,151 @@ from parcelmint.functions.config import Config
 
 #: Below so many euros an offer is an accessory, not a device.
 LEAST_OFFER = 100.0
-#: A reference table with at most so many rows is broadcast.
-BROADCAST_ROWS = 200_000
+TIERS = ["new", "excellent", "very_good", "good", "fair"]
 
 
 def with_product(listings: DataFrame) -> DataFrame:
-    return titles.with_product(listings)
+    """listings with product, unless the caller has made it already."""
+    return listings if "product" in listings.columns else titles.with_product(listings)
 
 
 def with_facts(offers: DataFrame) -> DataFrame:
-    """offers with what matching reads from their titles, once for each offer."""
-    return offers.withColumn("tier", matching.tier(F.col("title"))).withColumn("offer_gb", titles.storage_gb(F.col("title")))
+    """offers with what matching reads from their titles: tier, offer_gb and low_title. Titles that repeat are read once."""
+    facts = [matching.tier(F.col("title")).alias("tier"), titles.storage_gb(F.col("title")).alias("offer_gb"), F.lower("title").alias("low_title")]
+    return offers.join(offers.select("title").distinct().select("title", *facts), "title")
 
 
-def matches(listings: DataFrame, offers: DataFrame, least_score: int = 40) -> DataFrame:
-    """(listing columns, offer, platform, euros, offer_gb, score): offers of a listing's own scan that match its product.
+def with_want(rows: DataFrame) -> DataFrame:
+    """rows with want: one text for all that a product's match depends on; null without a product."""
+    product = F.col("product")
+    query = matching.offer_query(product["category"], product["family"], product["storage_gb"], product["display_inch"], product["form_factor"], product["drive_config"])
+    named = F.concat_ws("\n", query, F.lower(product["family"]), F.coalesce(product["storage_gb"].cast("string"), F.lit("")))
+    return rows.withColumn("want", F.when(product.isNotNull(), named))
+
 
-    Offers of another tier never match, so scan and tier are the join's keys and the score is a filter. Listings that
-    are no known product get all offers of their scan, with a null score.
+def scored_titles(rows: DataFrame, facts: DataFrame, least_score: int = 40) -> DataFrame:
+    """(task, want, title, score): the titles of a scan's offers that match a product wanted there.
+
+    Scores depend on product and title alone, so each product of a scan meets each title of its tier there once,
+    however many listings and offers have them. Offers of another tier never match.
     """
     product = F.col("product")
-    query = matching.offer_query(product["category"], product["family"], product["storage_gb"], product["display_inch"], product["form_factor"], product["drive_config"])
-    known = listings.where("product is not null").withColumns({"words": matching.query_words(query), "low_family": F.lower(product["family"]), "tier": matching.tier(product["family"])})
-    found = known.join(with_facts(offers).withColumn("low_title", F.lower("title")).drop("title"), ["task", "tier"])
-    score = matching.score(F.col("words"), F.col("low_family"), product["storage_gb"], F.col("low_title"), F.col("offer_gb"))
-    columns = [*listings.columns, "offer", "platform", "euros", "offer_gb", "score"]
-    unknown = listings.where("product is null").join(with_facts(offers).drop("title"), "task").withColumn("score", F.lit(None).cast("int"))
-    return found.withColumn("score", score).where(F.col("score") >= least_score).select(*columns).unionByName(unknown.select(*columns))
+    query = F.split("want", "\n")[0]
+    wanted = rows.where("want is not null").select("task", "want", product["family"].alias("family"), product["storage_gb"].alias("gb")).distinct()
+    wanted = wanted.select("task", "want", "gb", matching.query_words(query).alias("words"), F.lower("family").alias("low_family"), matching.tier(F.col("family")).alias("tier"))
+    titles_ = facts.select("task", "tier", "title", "low_title", "offer_gb").distinct()
+    score = matching.score(F.col("words"), F.col("low_family"), F.col("gb"), F.col("low_title"), F.col("offer_gb"))
+    return wanted.join(titles_, ["task", "tier"]).select("task", "want", "title", score.alias("score")).where(F.col("score") >= least_score)
+
+
+def matches(listings: DataFrame, offers: DataFrame, least_score: int = 40) -> DataFrame:
+    """(id, task, product, offer, platform, euros, offer_gb, score): offers of a listing's own scan that match its product.
+
+    Listings that are no known product get all offers of their scan, with a null score.
+    """
+    rows, facts = with_want(listings), with_facts(offers)
+    narrow = rows.select("id", "task", "product", "want")
+    priced = facts.select("task", "title", "offer", "platform", "euros", "offer_gb")
+    found = narrow.join(scored_titles(rows, facts, least_score), ["task", "want"]).join(priced, ["task", "title"])
+    unknown = narrow.where("want is null").join(priced, "task").withColumn("score", F.lit(None).cast("int"))
+    columns = ["id", "task", "product", "offer", "platform", "euros", "offer_gb", "score"]
+    return found.select(*columns).unionByName(unknown.select(*columns))
+
+
+def _values(matched: DataFrame, keys: list[str], gb: Column, config: Config) -> DataFrame:
+    """(keys, offers, exact, resale, fee_rate): exact medians by the storage rule, and the blended fee."""
+    real = F.col("euros") >= LEAST_OFFER
+    exact = real & (F.col("offer_gb") == gb)
+    adjusted = pricing.storage_adjusted(F.col("euros"), F.col("offer_gb"), gb)
+    found = matched.groupBy(*keys).agg(
+        F.count_if(real).alias("offers"),
+        F.count_if(exact).alias("exact"),
+        F.median(F.when(exact, F.col("euros"))).alias("exact_median"),
+        F.median(F.when(real, adjusted)).alias("adjusted_median"),
+        F.avg(pricing.platform_fee(F.col("platform"), config)).alias("blended"),
+    )
+    resale = F.when(F.col("exact") >= 2, F.col("exact_median")).otherwise(F.col("adjusted_median"))
+    fee = F.when(F.col("offers") > 0, F.col("blended")).otherwise(config.fee_default)
+    return found.select(*keys, "offers", "exact", resale.alias("resale"), fee.alias("fee_rate"))
 
 
 def resale_values(matched: DataFrame, config: Config) -> DataFrame:
-    """(id, offers, exact, resale, fee_rate): exact medians of a listing's offers, by the storage rule, and the blended fee.
+    """(id, offers, exact, resale, fee_rate) of matches().
 
     Two offers with the listing's own storage are enough to use those alone; otherwise all are adjusted to it. Offers
     under 100 euros count for the fee only, unless there are no others.
     """
-    want, real = F.col("product.storage_gb"), F.col("euros") >= LEAST_OFFER
-    exact = real & (F.col("offer_gb") == want)
-    adjusted = pricing.storage_adjusted(F.col("euros"), F.col("offer_gb"), want)
-    found = matched.groupBy("id").agg(
-        F.count_if(real).alias("offers"), F.count_if(exact).alias("exact"), F.median(F.when(exact, F.col("euros"))).alias("exact_median"), F.median(F.when(real, adjusted)).alias("adjusted_median"), F.avg(pricing.platform_fee(F.col("platform"), config)).alias("blended"),
-    )
-    resale = F.when(F.col("exact") >= 2, F.col("exact_median")).otherwise(F.col("adjusted_median"))
-    fee = F.when(F.col("offers") > 0, F.col("blended")).otherwise(config.fee_default)
-    return found.select("id", "offers", "exact", resale.alias("resale"), fee.alias("fee_rate"))
+    return _values(matched, ["id"], F.col("product.storage_gb"), config)
 
 
-def reference_prices(products: DataFrame, references: DataFrame) -> DataFrame:
-    """(id, reference): the reference price of each product (id, product).
+def with_value(rows: DataFrame, offers: DataFrame, config: Config) -> DataFrame:
+    """rows (id, task, product, ...) with offers, exact, resale and fee_rate, as of resale_values(); nulls without a match.
+
+    A product's value in a scan is worked out once, for all listings of it; offers are matched by title, so the
+    pairs of listings and offers are never made. Listings that are no known product share the value of all offers
+    of their scan.
+    """
+    rows, facts = with_want(rows), with_facts(offers)
+    priced = facts.select("task", "title", "platform", "euros", "offer_gb")
+    known = scored_titles(rows, facts).select("task", "want", "title").join(priced, ["task", "title"])
+    known = known.withColumn("gb", F.nullif(F.split("want", "\n")[2], F.lit("")).cast("int"))
+    some = rows.where("want is null").select("task").distinct()
+    unknown = priced.join(some, "task", "left_semi").withColumns({"want": F.lit(""), "gb": F.lit(None).cast("int")})
+    value = _values(known.unionByName(unknown.select(*known.columns)), ["task", "want", "gb"], F.col("gb"), config).drop("gb")
+    value = value.withColumnsRenamed({"task": "task_", "want": "want_"})
+    same = (F.col("task") == F.col("task_")) & (F.coalesce("want", F.lit("")) == F.col("want_"))
+    return rows.join(value, same, "left").drop("task_", "want_", "want")
+
+
+def _spellings(key: Column) -> Column:
+    """A key with its terabytes spelled the other way."""
+    other = key
+    for old, new in (("1024GB", "#1"), ("2048GB", "#2"), ("1TB", "1024GB"), ("2TB", "2048GB"), ("#1", "1TB"), ("#2", "2TB")):
+        other = F.regexp_replace(other, old, new)
+    return other
+
+
+def with_reference(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """rows (product, ...) with reference: the reference price of the product.
 
     The product's key, then its key with the other spelling of terabytes, then the nearest storage in its family, the
-    first in the table's order on ties, adjusted by storage. The table is small; its size is checked before it is sent
-    to all tasks.
+    first in the table's order on ties, adjusted by storage. A reference belongs to the families that its key begins
+    with, word by word, so all three are equi-joins; the table has at most one row for each key, and a family's rows
+    come as one array, which is as long as the family has storage sizes.
     """
-    refs = F.broadcast(references) if references.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else references
-    tiers = ["new", "excellent", "very_good", "good", "fair"]
-    key = F.col("product.standard_key")
-    other = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(key, "1024GB", "#1"), "2048GB", "#2"), "1TB", "1024GB"), "2TB", "2048GB")
-    other = F.regexp_replace(F.regexp_replace(other, "#1", "1TB"), "#2", "2TB")
-    rows = products.where("product is not null").select("id", "product", key.alias("key"), other.alias("other_key"), F.col("product.family").alias("family_"), F.col("product.storage_gb").alias("want"))
-    exact = refs.select(F.col("standard_key").alias("key"), F.struct(*tiers).alias("exact"))
-    spelled = refs.select(F.col("standard_key").alias("other_key"), F.struct(*tiers).alias("spelled"))
-    rows = rows.join(exact, "key", "left").join(spelled, "other_key", "left")
-    ref_gb = titles.storage_gb(F.col("standard_key"))
-    near = refs.select("standard_key", ref_gb.alias("have"), "ordinal", F.struct(*tiers).alias("near"))
-    missing = rows.where("exact is null and spelled is null and want is not null").select("id", "want", "family_")
-    fits = (F.col("standard_key") == F.col("family_")) | F.startswith("standard_key", F.concat("family_", F.lit(" ")))
-    nearest = missing.join(near.where("have is not null"), fits).groupBy("id", "want").agg(F.min_by(F.struct("have", "near"), F.struct(F.abs(F.col("have") - F.col("want")), F.col("ordinal"))).alias("n"))
-    nearest = nearest.select("id", F.struct(*[pricing.reference_adjusted(F.col(f"n.near.{t}"), F.col("n.have"), F.col("want")).alias(t) for t in tiers]).alias("nearest"))
-    rows = rows.join(nearest, "id", "left").withColumn("r", F.coalesce("exact", "spelled", "nearest"))
-    price = pricing.tier_price(F.col("product.condition"), {t: F.col(f"r.{t}") for t in tiers})
-    return rows.select("id", F.when(F.col("r").isNotNull(), price).alias("reference"))
+    key, tiers = F.col("product.standard_key"), F.struct(*TIERS)
+    exact = references.select(F.col("standard_key").alias("key_"), tiers.alias("exact_"))
+    spelled = references.select(F.col("standard_key").alias("other_key_"), tiers.alias("spelled_"))
+    near = references.select(titles.storage_gb(F.col("standard_key")).alias("have"), "ordinal", tiers.alias("near"), F.split("standard_key", " ").alias("words"))
+    heads = F.transform(F.sequence(F.lit(1), F.size("words")), lambda n: F.array_join(F.slice("words", F.lit(1), n), " "))
+    near = near.where("have is not null").select("have", "ordinal", "near", F.explode(F.array_distinct(heads)).alias("family_"))
+    near = near.groupBy("family_").agg(F.collect_list(F.struct("have", "ordinal", "near")).alias("sizes_"))
+    out = rows.withColumns({"key_": key, "other_key_": _spellings(key), "family_": F.col("product.family"), "gb_": F.col("product.storage_gb")})
+    out = out.join(exact, "key_", "left").join(spelled, "other_key_", "left").join(near, "family_", "left")
+    by_distance = F.transform("sizes_", lambda x: F.struct(F.abs(x["have"] - F.col("gb_")).alias("off"), x["ordinal"].alias("ordinal"), x["have"].alias("have"), x["near"].alias("near")))
+    out = out.withColumn("nearest_", F.when(F.col("gb_").isNotNull(), F.array_min(by_distance)))
+    adjusted = [pricing.reference_adjusted(F.col(f"nearest_.near.{t}"), F.col("nearest_.have"), F.col("gb_")).alias(t) for t in TIERS]
+    out = out.withColumn("r_", F.coalesce("exact_", "spelled_", F.when(F.col("nearest_").isNotNull(), F.struct(*adjusted))))
+    price = pricing.tier_price(F.col("product.condition"), {t: F.col(f"r_.{t}") for t in TIERS})
+    out = out.withColumn("reference", F.when(F.col("r_").isNotNull(), price))
+    return out.drop("key_", "other_key_", "family_", "gb_", "exact_", "spelled_", "sizes_", "nearest_", "r_")
+
+
+def reference_prices(products: DataFrame, references: DataFrame) -> DataFrame:
+    """(id, reference) of each product (id, product) that is known, as of with_reference()."""
+    return with_reference(products.where("product is not null").select("id", "product"), references).select("id", "reference")
 
 
 def evaluate(listings: DataFrame, offers: DataFrame, references: DataFrame, config: Config, rate: float | None = None) -> DataFrame:
     """listings with product, risk, landed, profit and whether and why they are hidden: a function of the tables and the parameters alone."""
-    rows = with_product(listings)
-    value = resale_values(matches(rows, offers), config)
-    rows = rows.join(value, "id", "left").join(reference_prices(rows.select("id", "product"), references), "id", "left")
+    rows = with_reference(with_value(with_product(listings), offers, config), references)
     resale = F.coalesce(F.nullif("resale", F.lit(0.0)), F.col("reference"), F.lit(0.0))
     rows = rows.withColumn("landed", pricing.landed_cost(F.col("price"), config, None if rate is None else F.lit(rate)))
     rows = rows.withColumn("profit", pricing.profit(resale, F.coalesce("fee_rate", F.lit(config.fee_default)), F.col("landed.total"), config))
-    rows = rows.withColumn("risk", risk.report(F.col("title"), F.col("description"), F.col("product.lock_status"), F.col("rating"), F.col("transactions"), F.col("verified"), F.col("images")))
+    rows = risk.with_risk(rows)
     by_risk = risk.hidden_by_risk(F.col("risk"), config.hide_above)
-    why = F.when(F.col("risk.dropped"), F.lit("blacklist")).when(by_risk, F.lit("risk")).when(~F.col("profit.enough_margin") & ~F.col("profit.enough_profit"), F.lit("margin, profit")).when(~F.col("profit.enough_margin"), F.lit("margin")).when(~F.col("profit.enough_profit"), F.lit("profit"))
+    little, few = ~F.col("profit.enough_margin"), ~F.col("profit.enough_profit")
+    why = F.when(F.col("risk.dropped"), "blacklist").when(by_risk, "risk").when(little & few, "margin, profit").when(little, "margin").when(few, "profit")
     return rows.withColumn("hidden", by_risk | F.col("profit.hidden")).withColumn("hidden_reason", why)
 
 

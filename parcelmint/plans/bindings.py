@@ -58,21 +58,21 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, standard_key string, family string, gb int, new double, excellent double, very_good double, good double, fair double")
 
 
-def _list(values: list) -> str:
+def sql_list(values: list) -> str:
     return "[" + ", ".join("NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
 LISTINGS_SQL = f"""listings AS (
-  SELECT p_partkey AS id, p_partkey % (SELECT count(*) FROM supplier) + 1 AS task, {_list(FAMILIES)}[p_partkey % 6 + 1] AS family, {_list(KINDS)}[p_partkey % 6 + 1] AS kind,
-    {_list(TIERS)}[p_partkey % 6 + 1] AS tier, {_list(STORAGE)}[p_size % 4 + 1] AS gb, {_list(CONDITIONS)}[(p_partkey // 6) % 5 + 1] AS cond, p_partkey % 7 AS note,
-    length({_list(NOTES)}[p_partkey % 7 + 1]) AS note_length, p_retailprice * 2.5 AS price, p_size % 31 + 70 AS rating, p_partkey % 250 AS transactions,
+  SELECT p_partkey AS id, p_partkey % (SELECT count(*) FROM supplier) + 1 AS task, {sql_list(FAMILIES)}[p_partkey % 6 + 1] AS family, {sql_list(KINDS)}[p_partkey % 6 + 1] AS kind,
+    {sql_list(TIERS)}[p_partkey % 6 + 1] AS tier, {sql_list(STORAGE)}[p_size % 4 + 1] AS gb, {sql_list(CONDITIONS)}[(p_partkey // 6) % 5 + 1] AS cond, p_partkey % 7 AS note,
+    length({sql_list(NOTES)}[p_partkey % 7 + 1]) AS note_length, p_retailprice * 2.5 AS price, p_size % 31 + 70 AS rating, p_partkey % 250 AS transactions,
     p_partkey % 2 = 0 AS verified, p_size % 5 AS images,
-    {_list(FAMILIES)}[p_partkey % 6 + 1] || CASE WHEN p_partkey % 6 = 3 THEN ' 13' ELSE '' END || CASE WHEN p_size % 4 = 3 THEN '' ELSE ' ' || {_list(STORAGE)}[p_size % 4 + 1] || 'GB' END AS standard_key
+    {sql_list(FAMILIES)}[p_partkey % 6 + 1] || CASE WHEN p_partkey % 6 = 3 THEN ' 13' ELSE '' END || CASE WHEN p_size % 4 = 3 THEN '' ELSE ' ' || {sql_list(STORAGE)}[p_size % 4 + 1] || 'GB' END AS standard_key
   FROM part)"""
 OFFERS_SQL = f"""offers AS (
-  SELECT l_orderkey * 10 + l_linenumber AS offer, l_suppkey AS task, {_list(FAMILIES)}[l_partkey % 6 + 1] AS family, {_list(TIERS)}[l_partkey % 6 + 1] AS tier,
-    {_list(STORAGE)}[l_linenumber % 4 + 1] AS gb, {_list(PLATFORMS)}[l_orderkey % 4 + 1] AS platform, l_extendedprice / 50 AS euros, l_orderkey % 4 >= 2 AS retail,
-    {_list(FAMILIES)}[l_partkey % 6 + 1] || CASE WHEN l_linenumber % 4 = 3 THEN '' ELSE ' ' || {_list(STORAGE)}[l_linenumber % 4 + 1] || 'GB' END AS title
+  SELECT l_orderkey * 10 + l_linenumber AS offer, l_suppkey AS task, {sql_list(FAMILIES)}[l_partkey % 6 + 1] AS family, {sql_list(TIERS)}[l_partkey % 6 + 1] AS tier,
+    {sql_list(STORAGE)}[l_linenumber % 4 + 1] AS gb, {sql_list(PLATFORMS)}[l_orderkey % 4 + 1] AS platform, l_extendedprice / 50 AS euros, l_orderkey % 4 >= 2 AS retail,
+    {sql_list(FAMILIES)}[l_partkey % 6 + 1] || CASE WHEN l_linenumber % 4 = 3 THEN '' ELSE ' ' || {sql_list(STORAGE)}[l_linenumber % 4 + 1] || 'GB' END AS title
   FROM lineitem)"""
 _REFS = ", ".join(
     f"({i}, '{f}{' 13' if k == 'macbook' else ''} {gb}GB', '{f}', {gb}, {900.0 + 50 * i + gb / 8}, {820.0 + 50 * i + gb / 8}, {750.0 + 50 * i + gb / 8}, {670.0 + 50 * i + gb / 8}, {'NULL' if i % 2 else 570.0 + 50 * i + gb / 8})"

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from parcelmint.plans import history_queries, margin_queries, text_queries  # noqa: E402, F401
+from parcelmint.plans import condition_queries, history_queries, margin_queries, text_queries  # noqa: E402, F401

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelmint.functions import matching, pricing, risk, titles
-from parcelmint.functions.compat import js_round, median
+from parcelmint.functions.compat import js_round
 from parcelmint.functions.config import FORWARDERS, PRESETS, Config
 from parcelmint.operators import analytics, evaluate
 from parcelmint.plans.bindings import LISTINGS_SQL, OFFERS_SQL, REFERENCES_SQL, RISK_SQL, listings, offers, out, references, table
@@ -142,8 +142,7 @@ def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("C09", f"WITH {LISTINGS_SQL}, {RISK_SQL} SELECT id, CAST(score AS INT) AS score, dropped, CASE WHEN dropped THEN '进水 (water damaged)' ELSE '' END AS blacklist, CASE WHEN note = 4 THEN '换过电池 (replaced battery)' ELSE '' END AS yellow FROM scored")
 def c09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluate.with_product(listings(spark, sf_dir))
-    r = rows.select("id", risk.report(F.col("title"), F.col("description"), F.col("product.lock_status"), F.col("rating"), F.col("transactions"), F.col("verified"), F.col("images")).alias("r"))
+    r = risk.with_risk(evaluate.with_product(listings(spark, sf_dir))).select("id", F.col("risk").alias("r"))
     return r.select("id", "r.score", "r.dropped", F.array_join("r.blacklist", ", ").alias("blacklist"), F.array_join("r.yellow", ", ").alias("yellow"))
 
 
@@ -159,8 +158,7 @@ def c08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("P09", f"WITH {LISTINGS_SQL}, {RISK_SQL} SELECT id, dropped OR score > 60 AS hidden FROM scored")
 def p09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluate.with_product(listings(spark, sf_dir))
-    r = rows.select("id", risk.report(F.col("title"), F.col("description"), F.col("product.lock_status"), F.col("rating"), F.col("transactions"), F.col("verified"), F.col("images")).alias("r"))
+    r = risk.with_risk(evaluate.with_product(listings(spark, sf_dir))).select("id", F.col("risk").alias("r"))
     return r.select("id", risk.hidden_by_risk(F.col("r"), C.hide_above).alias("hidden"))
 
 
@@ -255,18 +253,18 @@ def u03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("U01", f"WITH {OFFERS_SQL} SELECT platform, list_position(['olx', 'vinted', 'kuantokusta', 'amazon'], platform) AS place, count(*) AS n FROM offers GROUP BY platform")
 def u01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The union of the sources in their fixed order."""
-    o = offers(spark, sf_dir)
-    parts = [o.where(F.col("platform") == p).withColumn("place", F.lit(i)) for i, p in enumerate(("olx", "vinted", "kuantokusta", "amazon"), 1)]
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    return all_.groupBy("platform", "place").agg(F.count(F.lit(1)).alias("n"))
+    """The sources in their fixed order, as one scan: the order is a column, not a union of four."""
+    place = F.array_position(F.array(*map(F.lit, ("olx", "vinted", "kuantokusta", "amazon"))), F.col("platform")).cast("int")
+    return offers(spark, sf_dir).groupBy("platform").agg(F.count(F.lit(1)).alias("n")).select("platform", place.alias("place"), "n")
 
 
 @query("U02", f"WITH {OFFERS_SQL} SELECT CASE WHEN retail THEN 'new' ELSE 'used' END AS side, count(*) AS n, {_r('median(euros)')} AS median FROM offers GROUP BY 1")
 def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offers(spark, sf_dir).groupBy(F.when(F.col("platform").isin("kuantokusta", "amazon"), "new").otherwise("used").alias("side")).agg(F.count(F.lit(1)).alias("n"), out(median(F.col("euros"))).alias("median"))
+    side = F.when(F.col("platform").isin("kuantokusta", "amazon"), "new").otherwise("used").alias("side")
+    rows = offers(spark, sf_dir).select(side, "euros")
+    counts = rows.groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    medians = analytics.exact_medians(rows, ["side"], "euros")
+    return counts.join(medians, "side").select("side", "n", out(F.col("median")).alias("median"))
 
 
 @query("U05", "SELECT 'synthetic' AS id, CAST(0 AS DOUBLE) AS price")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelmint.functions import compat, flags, matching, prices, relevance, risk, titles
 from parcelmint.operators import evaluate
-from parcelmint.plans.bindings import LISTINGS_SQL, OFFERS_SQL, RISK_SQL, listings, offers, pick, table
+from parcelmint.plans.bindings import LISTINGS_SQL, OFFERS_SQL, RISK_SQL, listings, offers, pick, sql_list, table
 from parcelmint.plans.catalog import query
 from parcelmint.sources import pages
 
@@ -211,11 +211,82 @@ def c07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), risk.yellow_risk(risk.yellow(text)).alias("risk"))
 
 
-@query("C12", "SELECT p_partkey AS id, ['iphone 15', 'galaxy s24', 'ipad 4,macbook 3', 'switch 2'][p_partkey % 4 + 1] AS markers FROM part")
+# A title for each rule of a family's generation, some that name several, and one that names none.
+MARKED = [
+    ("iPhone 15 Pro国行", "iphone 15"),
+    ("iPhone 16e", "iphone 16e"),
+    ("iPad Pro 11-inch M4", "ipad 4"),
+    ("iPad 10", "ipad 10"),
+    ("iPad Mini 6", "ipad 6,dji-mini 6"),
+    ("MacBook Air M3", "macbook 3"),
+    ("Apple Watch Series 9", "watch 9"),
+    ("Apple Watch Ultra 2", "watch 2"),
+    ("Apple Watch SE 3", "watch 3"),
+    ("AirPods Pro 2", "airpods 2"),
+    ("Galaxy S24 Ultra", "galaxy s24"),
+    ("Galaxy Z Fold 6", "galaxy 6"),
+    ("Galaxy Tab S9", "galaxy 9"),
+    ("Pixel 8 Pro", "pixel 8"),
+    ("PlayStation 5", "playstation 5"),
+    ("Sony WH-1000XM5", "sony-headphones 5"),
+    ("Nintendo Switch 2", "switch "),
+    ("Nintendo Switch OLED", "switch 1"),
+    ("Redmi Note 13", "xiaomi 13"),
+    ("OnePlus 12", "oneplus 12"),
+    ("OPPO Find X 7", "oppo 7"),
+    ("HONOR Magic 6", "honor 6"),
+    ("realme GT 5", "realme 5"),
+    ("vivo X 100", "vivo 100"),
+    ("Motorola Edge 50", "motorola 50"),
+    ("DJI Mavic 3", "dji-mavic 3"),
+    ("DJI Mini 4 Pro", "dji-mini 4"),
+    ("DJI Air 3S", "dji-air 3"),
+    ("Osmo Pocket 3", "dji-osmo 3"),
+    ("DJI RS 4", "dji-rs 4"),
+    ("DJI Avata 2", "dji-avata "),
+    ("Canon EOS R6", "canon-r 6"),
+    ("Nikon Z 8", "nikon-z 8"),
+    ("Fujifilm X-T5", "fuji-xt 5"),
+    ("x-h2", "fuji-xh 2"),
+    ("Fujifilm X100", "fuji-x100 100"),
+    ("GoPro HERO 12", "gopro 12"),
+    ("Dyson V15", "dyson 15"),
+    ("JBL Charge 5", "jbl 5"),
+    ("QuietComfort Ultra", "bose-qc ultra"),
+    ("QuietComfort 45", "bose-qc 45"),
+    ("Roborock S 8", "roborock 8"),
+    ("Deebot X 2", "ecovacs 2"),
+    ("iPad Pro 11-inch M4 / MacBook Air M3", "ipad 4,macbook 3"),
+    ("telemóvel sem marca", ""),
+]
+
+
+@query("C12", f"SELECT p_partkey AS id, {sql_list([m for _, m in MARKED])}[p_partkey % {len(MARKED)} + 1] AS markers FROM part")
 def c12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = pick(["iPhone 15 Pro国行", "Galaxy S24 Ultra", "iPad Pro 11-inch M4 / MacBook Air M3", "x-h2"], F.col("p_partkey") % 4)
-    told = F.array_join(relevance.markers(text), ",")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(told == "fuji-xh 2", "switch 2").otherwise(told).alias("markers"))
+    """All 41 rules of families and generations."""
+    text = pick([t for t, _ in MARKED], F.col("p_partkey") % len(MARKED))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(relevance.markers(text), ",").alias("markers"))
+
+
+# Titles of every family with what is read from them: (title, family).
+MODELLED = [
+    (name, name)
+    for rules in (titles.IPHONES, titles.MACBOOKS, titles.IPADS, titles.GALAXIES, titles.WATCHES, titles.DRONES)
+    for name in dict.fromkeys(r[1] for r in rules)
+    if not name.endswith("+")
+]
+# A + after a name in capitals is not read; the word is.
+MODELLED += [("Galaxy S26 plus", "Galaxy S26+"), ("Galaxy S25+", "Galaxy S25"), ("galaxy s24+", "Galaxy S24+")]
+MODELLED += [("Galaxy Tab S10 Plus", "Galaxy Tab S10+"), ("Galaxy Tab S9 FE Plus", "Galaxy Tab S9 FE+"), ("Galaxy Tab S9 plus", "Galaxy Tab S9+")]
+MODELLED += [("苹果 14 pro max 紫色", "iPhone 14 Pro Max"), ("PS5 slim 数字版", "PlayStation 5 Slim"), ("PlayStation 5", "PlayStation 5 Standard"), ("华为 Mate 60", None)]
+
+
+@query("X14", f"SELECT p_partkey AS id, {sql_list([m for _, m in MODELLED])}[p_partkey % {len(MODELLED)} + 1] AS family FROM part")
+def x14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The family of every model that the rules know."""
+    text = pick([t for t, _ in MODELLED], F.col("p_partkey") % len(MODELLED))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("title"), F.lit("").alias("description"))
+    return evaluate.with_product(rows).select("id", F.col("product.family").alias("family"))
 
 
 @query("J8", "SELECT page_id, CAST(1 AS INT) AS pairs FROM pages")
