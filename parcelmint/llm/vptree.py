@@ -11,7 +11,7 @@ own. Shards and blocks have bounded sizes, so a task's memory does not grow with
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +29,16 @@ def usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("vector").alias("vector"))
 
 
+#: How far pruning is stretched and how many points a leaf has: the README gives recall and the share of pairs compared.
+FACTOR, LEAF = 7.0, 16
+
+
 class VpTree:
     """Points (rows, the last coordinate the added one). A node: (vantage point, inner part's greatest and outer part's least distance, inner, outer); a leaf: its rows."""
 
     def __init__(self, points: np.ndarray, leaf: int, rng: np.random.Generator) -> None:
         self.points, self.leaf, self.rng = points, leaf, rng
+        self.square = (points * points).sum(1)
         self.root = self._build(np.arange(len(points)))
 
     def _build(self, rows: np.ndarray) -> tuple | np.ndarray:
@@ -45,73 +50,82 @@ class VpTree:
         half = len(rows) // 2
         return vantage, d[order[half - 1]], d[order[half]], self._build(rows[order[:half]]), self._build(rows[order[half:]])
 
-    def search(self, queries: np.ndarray, k: int, factor: float, slack: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The leaves that queries reach: (queries' rows, leaf's rows, distances). What is found narrows the search through self.reach."""
-        self.reach = np.full(len(queries), np.inf)
-        yield from self._visit(self.root, queries, np.arange(len(queries)), factor, slack)
-
-    def _visit(self, node: tuple | np.ndarray, queries: np.ndarray, some: np.ndarray, factor: float, slack: float) -> Iterator[tuple]:
+    def search(self, queries: np.ndarray, k: int, factor: float, slack: float) -> tuple[np.ndarray, np.ndarray, float]:
+        """Pairs (query's row, point's row) that hold each query's k nearest found, and the share of all pairs that were compared.
+
+        A pair is kept while its distance is within the k-th found so far, plus the slack of its rounding, so
+        points that tie at the end are all there.
+        """
+        self.best = np.full((len(queries), k), np.inf)
+        self.kept, self.slack, self.factor, self.compared = [], slack, factor, 0
+        self.of_query = (queries * queries).sum(1)
+        self._visit(self.root, queries, np.arange(len(queries)))
+        if not self.kept:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0
+        q, p, d = (np.concatenate(x) for x in zip(*self.kept))
+        last = d <= self.best[q].max(1) + slack
+        return q[last], p[last], self.compared / (len(queries) * len(self.points))
+
+    def _visit(self, node: tuple | np.ndarray, queries: np.ndarray, some: np.ndarray) -> None:
         if not len(some):
             return
         if isinstance(node, np.ndarray):
-            q, p = queries[some], self.points[node]
-            yield some, node, np.sqrt(np.maximum((q * q).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * q @ p.T, 0))
+            square = self.of_query[some][:, None] + self.square[node][None] - 2 * queries[some] @ self.points[node].T
+            d = np.sqrt(np.maximum(square, 0))
+            self.compared += d.size
+            near = np.argwhere(d <= self.best[some].max(1)[:, None] + self.slack)
+            self.kept.append((some[near[:, 0]], node[near[:, 1]], d[near[:, 0], near[:, 1]]))
+            self.best[some] = np.partition(np.concatenate([self.best[some], d], 1), self.best.shape[1] - 1, 1)[:, : self.best.shape[1]]
             return
         vantage, inner_most, outer_least, inner, outer = node
         d = np.sqrt(((queries[some] - vantage) ** 2).sum(1))
         near = d <= (inner_most + outer_least) / 2
         for first, second, group, gap in ((inner, outer, some[near], outer_least - d[near]), (outer, inner, some[~near], d[~near] - inner_most)):
-            yield from self._visit(first, queries, group, factor, slack)
-            yield from self._visit(second, queries, group[gap * factor <= self.reach[group] + slack], factor, slack)
+            self._visit(first, queries, group)
+            self._visit(second, queries, group[gap * self.factor <= self.best[group].max(1) + self.slack])
+
+
+def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(query_id, vec_id, score) of each query's k nearest found in a shard, ties to the smaller id, and the share of pairs compared."""
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    # equal vectors are one point with its smallest ids; one more than k, as a query may be among them
+    _, one, same = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
+    by_point = np.argsort(same.ravel(), kind="stable")
+    starts = np.searchsorted(same.ravel()[by_point], np.arange(len(one) + 1))
+    distinct = vectors[one]
+    square = (distinct * distinct).sum(1)
+    top = square.max()
+    points = np.column_stack([distinct, np.sqrt(np.maximum(top - square, 0))])
+    asked = np.column_stack([queries, np.zeros(len(queries))])
+    # a distance is the root of a difference of squares: what rounding adds to it near 0 is the root of that of the squares
+    slack = 1e-7 * float(np.sqrt(top + (queries * queries).sum(1).max()))
+    q, p, compared = VpTree(points, leaf, np.random.default_rng(1)).search(asked, k + 1, factor, slack)
+    score = np.concatenate([np.zeros(0), *((distinct[p[a : a + 65_536]] * queries[q[a : a + 65_536]]).sum(1) for a in range(0, len(p), 65_536))])
+    copies = np.minimum(starts[p + 1] - starts[p], k + 1)
+    at = np.repeat(starts[p], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+    q, score, vec = np.repeat(q, copies), np.repeat(score, copies), ids[by_point[at]]
+    others = vec != query_ids[q]
+    q, score, vec = q[others], score[others], vec[others]
+    order = np.lexsort((vec, -score, q))
+    q, score, vec = q[order], score[order], vec[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return query_ids[q[first]], vec[first], score[first], compared
 
 
 def _searcher(k: int, factor: float, leaf: int) -> Callable:
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """left: the shard's vectors; right: the block's queries."""
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if len(left) and len(right):
             take = lambda t: (t.column("id").to_numpy(), np.array(t.column("vector").combine_chunks().flatten()).reshape(len(t), -1))
-            (ids, vectors), (query_ids, queries) = take(left), take(right)
-            order = np.argsort(ids, kind="stable")
-            ids, vectors = ids[order], vectors[order]
-            # equal vectors are one point with its smallest ids; one more than k, as a query may be among them
-            _, one, same = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
-            by_point = np.argsort(same.ravel(), kind="stable")
-            starts = np.searchsorted(same.ravel()[by_point], np.arange(len(one) + 1))
-            distinct = vectors[one]
-            square = (distinct * distinct).sum(1)
-            top = square.max()
-            points = np.column_stack([distinct, np.sqrt(np.maximum(top - square, 0))])
-            asked = np.column_stack([queries, np.zeros(len(queries))])
-            tree = VpTree(points, leaf, np.random.default_rng(1))
-            want = k + 1
-            best = np.full((len(queries), want), np.inf)
-            rows = np.full((len(queries), want), -1)
-            slack = 1e-7 * float(np.sqrt(top + (queries * queries).sum(1).max()))
-            for some, at, d in tree.search(asked, want, factor, slack):
-                d = np.concatenate([best[some], d], 1)
-                r = np.concatenate([rows[some], np.broadcast_to(at, (len(some), len(at)))], 1)
-                keep = np.argpartition(d, want - 1, 1)[:, :want]
-                best[some], rows[some] = np.take_along_axis(d, keep, 1), np.take_along_axis(r, keep, 1)
-                tree.reach[some] = best[some].max(1)
-            for q in range(len(queries)):
-                found = rows[q][rows[q] >= 0]
-                scores = (distinct[found] * queries[q]).sum(1)
-                copies = [by_point[starts[p] : starts[p + 1]][:want] for p in found]
-                vec = ids[np.concatenate(copies)] if copies else np.zeros(0, np.int64)
-                score = np.repeat(scores, [len(c) for c in copies])
-                vec, score = vec[vec != query_ids[q]], score[vec != query_ids[q]]
-                first = np.lexsort((vec, -score))[:k]
-                out["query_id"].append(np.full(len(first), query_ids[q]))
-                out["vec_id"].append(vec[first])
-                out["score"].append(score[first])
-        kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
-        return pa.table({c: np.concatenate([np.zeros(0, kinds[c]), *v]) for c, v in out.items()})
+            *out, _ = search_shard(*take(left), *take(right), k, factor, leaf)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), out)))
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.3, shard_rows: int = 4096, query_rows: int = 4096, leaf: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = FACTOR, shard_rows: int = 16_384, query_rows: int = 4096, leaf: int = LEAF) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest found, of vectors (id, vector, as of usable()).
 
     is_query: a condition on id. factor: how far pruning is stretched; 1 is exact. shard_rows, query_rows: vectors
