@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelmint.llm.common import crc_mod, table, text_batches, unit_hash
+from parcelmint.llm.common import crc_mod, durable, table, text_batches, unit_hash
 from parcelmint.llm.langid import texts_in
 from parcelmint.llm.quality import labelled
 from parcelmint.llm.shingles import NOT_LETTERS, words_in
@@ -77,12 +77,20 @@ class SegmentModel:
         """(1, the logarithm of 1 + the evidence of all passages rarer than one by chance), and the significant passages."""
         rare = [(a, b, e) for a, b, s in self.segments(word) if (e := self.evidence(s, len(word))) > 0]
         kept = [(a, b, math.exp(-e)) for a, b, e in rare if e > -math.log(self.expected)]
-        return np.array([1.0, math.log1p(sum(e for *_, e in rare))]), kept
+        return np.array([1.0, self.total_evidence([e for *_, e in rare])]), kept
+
+    @staticmethod
+    def total_evidence(rare: list[float]) -> float:
+        return math.log1p(sum(rare))
 
     def probability(self, x: np.ndarray) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ self.curve)))))
 
 
+#: Numbers of documents by fold and label.
+_COUNTS = ["clean_0", "toxic_0", "clean_1", "toxic_1"]
+
+
 def _counter() -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +99,11 @@ def _counter() -> Callable:
                     continue
                 word, _, _, lo, hi = words_in(data, first, size, NOT_LETTERS)
                 held = [np.unique(word[i:j]) for i, j in zip(lo, hi)]
-                y = np.repeat(batch.column(1).slice(a, b - a).to_numpy(), [len(x) for x in held])
+                y, fold = (batch.column(c).slice(a, b - a).to_numpy() for c in (1, 2))
+                kind = np.repeat(2 * fold + y, [len(x) for x in held])
                 tokens, place = np.unique(np.concatenate(held), return_inverse=True)
-                toxic = np.bincount(place, y, len(tokens)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(toxic), pa.array(np.bincount(place, minlength=len(tokens)) - toxic)], ["token", "toxic", "clean"])
+                counts = [np.bincount(place[kind == k], minlength=len(tokens)) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (tokens, *counts)], ["token", *_COUNTS])
 
     return run
 
@@ -122,43 +131,73 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _featurizer(model: SegmentModel) -> Callable:
+def _segmenter(models: list[SegmentModel]) -> Callable:
+    """For each text (text, y, fold): its tokens and the scores of its segments, by the model of its fold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, first, size in texts_in(batch.column(0), _BYTES):
                 word, _, _, lo, hi = words_in(data, first, size, NOT_LETTERS) if len(data) else (np.zeros(0, np.uint64),) * 3 + (np.zeros(b - a, np.int64),) * 2
-                x = np.array([model.features(word[i:j])[0] for i, j in zip(lo, hi)]).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(x[:, 1])], ["y", "evidence"])
+                y, fold = (batch.column(c).slice(a, b - a) for c in (1, 2))
+                scores = [[s for *_, s in models[f].segments(word[i:j])] for f, i, j in zip(fold.to_pylist(), lo, hi)]
+                tokens = pa.array((np.asarray(hi) - np.asarray(lo)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([y, fold, tokens, pa.array(scores, pa.list_(pa.float64()))], ["y", "fold", "tokens", "scores"])
 
     return run
 
 
+def _law_scale(rates: np.ndarray, tokens: np.ndarray, most: np.ndarray) -> float:
+    """The scale of the extreme-value law by maximum likelihood, from clean texts: their tokens, their largest segment's score and the rate.
+
+    By the law, tokens * exp(-rate * largest score) is an exponential number with the scale as its rate.
+    """
+    reached = (np.maximum(tokens, 1) * np.exp(-rates * most)).sum()
+    return float(min(1.0, max(1e-6, len(tokens) / max(reached, 1e-300))))
+
+
 def train(docs: DataFrame, labels: DataFrame, name: str, learn: Column, prior: float = 0.1, deviations: float = 2.5, cost: float = 0.2, curve_rows: int = 4000) -> SegmentModel | None:
     """A model of the labelled rows that `learn` keeps; None unless both labels occur.
 
-    prior: the prior's total count as a share of all counts. deviations: how many of its deviations a token's log-odds are lowered by before
-    they count; the model has every token that is then above 0. curve_rows bounds the sample of texts that the
-    logistic curve is fitted on; the counts cover all rows. The law's scale is fixed.
+    prior: the prior's total count as a share of all counts. deviations: how many of its deviations a token's log-odds
+    are lowered by before they count; the model has every token that is then above 0. curve_rows bounds the sample of
+    texts that the law's scale and the logistic curve are fitted on; the counts cover all rows.
+
+    The sample is scored by models that have not seen it: rows are dealt to two folds by their ids, and each fold is
+    scored with the tokens of the other one. Where a fold lacks a label, the model of all rows stands in.
     """
     text_batches(docs.sparkSession)
-    rows = labelled(docs, labels, name, learn)
-    counts = rows.select("text", "y").mapInArrow(_counter(), "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    n = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
-    if not n["t"] or not n["c"]:
+    rows = labelled(docs, labels, name, learn).withColumn("fold", F.pmod(F.xxhash64(F.lit(37), "doc_id"), F.lit(2)).cast("int"))
+    counts = rows.select("text", "y", "fold").mapInArrow(_counter(), ", ".join(f"{c} long" for c in ["token", *_COUNTS]))
+    counts = durable(counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in _COUNTS]))
+    n = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS]).first()
+    if not n["toxic_0"] + n["toxic_1"] or not n["clean_0"] + n["clean_1"]:
         return None
-    a = F.lit(prior) * (F.col("toxic") + F.col("clean"))
-    odds = lambda k, total: F.log((F.col(k) + a) / (F.lit(total + prior * (n["t"] + n["c"])) - F.col(k) - a))
-    bound = odds("toxic", float(n["t"])) - odds("clean", float(n["c"])) - F.lit(deviations) * F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-    top = counts.withColumn("score", bound).where("score > 0").select("token", "score", "clean").toArrow().to_pandas()
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    scores = top["score"].to_numpy(float)[order]
-    chance = (top["clean"].to_numpy(float)[order] + 0.5) / n["c"]
-    model = SegmentModel(tokens[order], scores, cost, _rate(scores, chance, cost) if len(scores) else 1.0, 0.1, np.zeros(2))
+
+    def of(folds: tuple[int, ...]) -> SegmentModel:
+        toxic, clean = (sum(F.col(f"{c}_{k}") for k in folds) for c in ("toxic", "clean"))
+        all_toxic, all_clean = (float(sum(n[f"{c}_{k}"] for k in folds)) for c in ("toxic", "clean"))
+        a = F.lit(prior) * (toxic + clean)
+        odds = lambda k, total: F.log((k + a) / (F.lit(total + prior * (all_toxic + all_clean)) - k - a))
+        bound = odds(toxic, all_toxic) - odds(clean, all_clean) - F.lit(deviations) * F.sqrt(1 / (toxic + a) + 1 / (clean + a))
+        top = counts.where((toxic + clean) > 0).select("token", bound.alias("score"), clean.alias("clean")).where("score > 0").toArrow()
+        tokens = top["token"].to_numpy().view(np.uint64)
+        order = np.argsort(tokens)
+        scores = top["score"].to_numpy()[order]
+        chance = (top["clean"].to_numpy()[order] + 0.5) / all_clean
+        return SegmentModel(tokens[order], scores, cost, _rate(scores, chance, cost) if len(scores) else 1.0, 1.0, np.zeros(2))
+
+    model = of((0, 1))
+    split = all(n[c] for c in _COUNTS)
+    unseen = [of((1,)), of((0,))] if split else [model, model]
     total = rows.count()
     some = rows.withColumn("order", unit_hash(F.lit(31), F.col("doc_id"))).where(F.col("order") < min(1.0, curve_rows / max(total, 1)))
-    found = some.select("text", "y").mapInArrow(_featurizer(model), "y int, evidence double").limit(2 * curve_rows).toPandas()
-    model.curve = _fit_curve(np.column_stack([np.ones(len(found)), found["evidence"]]), found["y"].to_numpy(float))
+    found = some.select("text", "y", "fold").mapInArrow(_segmenter(unseen), "y int, fold int, tokens long, scores array<double>").toPandas()
+    rates = np.array([m.rate for m in unseen])[found["fold"].to_numpy(int)] if len(found) else np.zeros(0)
+    most = np.array([max(s, default=0.0) for s in found["scores"]])
+    clean = found["y"].to_numpy(int) == 0
+    model.scale = _law_scale(rates[clean], found["tokens"].to_numpy(float)[clean], most[clean]) if clean.any() else 1.0
+    x = [[1.0, m.total_evidence([e for s in scores if (e := m.evidence(s, t)) > 0])] for f, t, scores in zip(found["fold"], found["tokens"], found["scores"]) for m in [replace(unseen[f], scale=model.scale)]]
+    model.curve = _fit_curve(np.array(x).reshape(-1, 2), found["y"].to_numpy(float))
     return model
 
 
