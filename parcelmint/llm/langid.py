@@ -192,7 +192,7 @@ def train(docs: DataFrame, learn: Column | None = None, per_language: int = 1000
 
     per_language bounds the sample: so many windows of so many characters for each language.
     """
-    sample = training_windows(docs, F.lit(True) if learn is None else learn, per_language, chars)
+    sample = training_windows(docs.select("doc_id", "text", "lang"), F.lit(True) if learn is None else learn, per_language, chars)
     if not sample:
         return None
     languages = sorted({lang for lang, _ in sample})
@@ -221,7 +221,7 @@ def identify(docs: DataFrame, model: ByteGru | None, keep: list[str] | None = No
 
     lang_pred is a learned language, or "und" with score 0 if the text is null or has no letter, or nothing was
     learned. score: the mean probability of that language over the text's bytes. Rows that repeat get equal
-    results; no rows give no rows.
+    results; no rows give no rows. `keep` must not name lang_pred or score.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -5,7 +5,7 @@ are drawn: all of them once for each whole multiple of its size, then a prefix o
 Those exact quotas are dealt to output shards by a binary tree: a node splits its vector of quotas between its
 halves with multivariate-hypergeometric draws, so each shard is a random subset of the drawn blocks without
 replacement. A shard takes its own disjoint range of each source's permuted blocks and orders its documents
-by hash. All of it is DataFrame and SQL work; texts are only read to count their words.
+by chance, the local shuffle. All of it is DataFrame and SQL work; texts are only read to count their words.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelmint.llm.common import durable, small, table
+from parcelmint.llm.common import durable, small, table, veiled
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_AND_GAP = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
@@ -75,67 +75,108 @@ def _split_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, docs_per_block: int = 256, most_blocks: int = 65_536, shard_words: int = 1 << 22, seed: int = 7) -> DataFrame:
-    """One row for each row of docs (doc_id, text, source): doc_id, row_hash, source, size, source_size, target, draws, taken.
+    """One row for each row of docs (doc_id, text, source): doc_id, source, key_a, key_b, nth, size, source_size, target, draws, taken.
 
-    draws: array of (epoch, shard, words), one for each time that the mix takes the document; taken: the sum of
-    their words. Only the document at the end of a source's last draw is cut, so a source's taken words are its
-    target to the nearest word. docs_per_block, most_blocks: a source has one block for so many rows, up to so
-    many. shard_words: words of a shard, rounded to a power of two of shards (4096 at most).
+    draws: array of (shard, position, epoch, words), one for each time that the mix takes the document, in the order
+    of shards; taken: the sum of their words. A shard holds the blocks that the splitting tree dealt to it, in the
+    order of the local shuffle: positions count from 0 without gaps. Only the document at the end of a source's
+    last draw is cut, so a source's taken words are its target to the nearest word.
 
-    Null text has size 0; null sources are one source; rows that repeat are taken each on its own; an empty table
-    gives no rows; extra columns are ignored. Equal inputs give equal mixes.
+    docs_per_block, most_blocks: a source has one block for so many rows, up to so many; larger sources have larger
+    blocks. shard_words: words of a shard, about; the tree has a power of two of shards, no more than a source has
+    blocks. Where that makes shards larger, their local shuffle is cut into parts of about so many words.
+
+    (key_a, key_b) are hashes of doc_id, text and source, nth numbers equal ones from 1. Null text has size 0; null
+    sources are one source; rows that repeat are taken each on its own; an empty table gives no rows; extra columns
+    are ignored. Equal inputs give equal mixes.
     """
-    rows = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("row_hash")))
+    keys = [F.xxhash64(F.lit(seed + k), "doc_id", "text", "source").alias(name) for k, name in enumerate(KEYS)]
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keys)
+    rows = durable(rows.withColumn("nth", F.row_number().over(Window.partitionBy(*KEYS).orderBy("size"))))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     sources = targets(sources, weights, most).withColumn("blocks", F.least(F.lit(most_blocks), F.ceil(F.col("docs") / docs_per_block)).cast("int"))
     whole = F.when(F.col("source_size") > 0, F.floor((F.round("target") / F.col("source_size")))).otherwise(0).cast("int")
-    sources = durable(sources.withColumn("whole", whole).withColumn("rest", (F.round("target") - F.col("whole") * F.col("source_size")).cast("long")).coalesce(1))
+    rest = (F.round("target") - F.col("whole") * F.col("source_size")).cast("long")
+    sources = durable(sources.withColumn("whole", whole).withColumn("rest", rest).coalesce(1))
     n_sources, words = sources.agg(F.count(F.lit(1)), F.sum("source_size")).first()
-    depth = min(12, max(0, (int((words or 0) // shard_words)).bit_length()))
+    depth = min(most_blocks.bit_length() - 1, max(0, (int((words or 0) // shard_words)).bit_length()))
+    parts = max(1, -(-int(words or 0) // (shard_words << depth)))
 
     own = small(sources, n_sources).withColumnRenamed("source", "source_")
-    rows = rows.join(own, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").withColumn("block", F.pmod("row_hash", "blocks").cast("int"))
-    blocks = rows.groupBy("rank", "block").agg(F.sum("size").alias("words"))
-    epochs = blocks.join(small(sources, n_sources).select("rank", "blocks", "whole", "rest"), "rank").withColumn("epoch", F.explode(F.expr("if(whole + if(rest > 0, 1, 0) = 0, array(), sequence(0, whole + if(rest > 0, 1, 0) - 1))")))
-    order = Window.partitionBy("rank", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "rank", "block"), "block")
-    epochs = epochs.withColumn("at", F.row_number().over(order) - 1).withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    drawn = durable(
-        epochs.withColumn("limit", F.when(F.col("epoch") < F.col("whole"), F.col("words")).otherwise(F.least("words", F.col("rest") - F.col("before"))))
-        .where("limit > 0")
-        .withColumn("place", F.row_number().over(Window.partitionBy("rank").orderBy("epoch", "at")) - 1)
-        .select("rank", "block", "epoch", "limit", "place")
-    )
+    rows = rows.join(own, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    rows = rows.withColumn("block", F.pmod("key_a", "blocks").cast("int"))
+    drawn = durable(_drawn_blocks(rows, small(sources, n_sources), seed))
     shards = _split_tree(drawn.groupBy("rank").agg(F.count(F.lit(1)).alias("quota")), depth, seed)
     upto = F.sum("n").over(Window.partitionBy("rank").orderBy("shard"))
     shards = shards.withColumn("upto", upto).select("rank", "shard", F.explode(F.expr("sequence(upto - n, upto - 1)")).alias("place"))
-    draws = drawn.withColumn("place", F.col("place").cast("long")).join(shards, ["rank", "place"]).groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "limit"))).alias("drawn"))
+    drawn = drawn.join(shards, ["rank", "place"]).select("rank", "block", F.struct("epoch", "shard", "limit").alias("d"))
+    blocks = drawn.groupBy("rank", "block").agg(F.sort_array(F.collect_list("d")).alias("drawn"))
+
+    within = Window.partitionBy("rank", "block").orderBy(*KEYS, "nth").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(blocks, ["rank", "block"], "left")
+    cut = "named_struct('shard', d.shard, 'epoch', d.epoch, 'words', greatest(0L, least(size, d.limit - before)))"
+    rows = rows.withColumn("drawn", F.expr(f"filter(transform(coalesce(drawn, array()), d -> {cut}), d -> d.words > 0)"))
+    rows = durable(rows.select("doc_id", "source", *KEYS, "nth", "size", "source_size", "target", "drawn"))
+    placed = _shard_order(rows.select(*KEYS, "nth", F.expr("inline(drawn)")), parts, seed)
+    draws = placed.groupBy(*KEYS, "nth").agg(F.sort_array(F.collect_list(F.struct("shard", "position", "epoch", "words"))).alias("draws"))
+    rows = rows.drop("drawn").join(draws, [*KEYS, "nth"], "left")
+    none = F.array().cast("array<struct<shard:int,position:bigint,epoch:int,words:bigint>>")
+    rows = rows.withColumn("draws", F.coalesce("draws", none)).withColumn("taken", F.expr("aggregate(draws, 0L, (s, d) -> s + d.words)"))
+    return rows.select("doc_id", "source", *KEYS, "nth", "size", "source_size", "target", "draws", "taken")
 
-    within = Window.partitionBy("rank", "block").orderBy("row_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(draws, ["rank", "block"], "left")
-    rows = rows.withColumn("draws", F.expr("filter(transform(coalesce(drawn, array()), d -> named_struct('epoch', d.epoch, 'shard', d.shard, 'words', greatest(0L, least(size, d.limit - before)))), d -> d.words > 0)"))
-    return rows.select("doc_id", "row_hash", "source", "size", "source_size", "target", "draws", F.expr("aggregate(draws, 0L, (s, d) -> s + d.words)").alias("taken"))
 
+#: Two hashes that tell a row from all others but its exact copies.
+KEYS = ["key_a", "key_b"]
 
-def shard_order(mixed: DataFrame, seed: int = 7) -> DataFrame:
-    """One row for each draw of mix(): shard, position (from 0, the local shuffle), doc_id, row_hash, epoch, words, size."""
-    draws = mixed.select("doc_id", "row_hash", "size", F.expr("inline(draws)"))
-    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "shard", "epoch", "row_hash"), "doc_id", "epoch")
-    return draws.withColumn("position", F.row_number().over(local) - 1)
+
+def _drawn_blocks(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """(rank, block, epoch, limit, place): the blocks that each source's quota takes, by permuted place, and how many words of each."""
+    blocks = rows.groupBy("rank", "block").agg(F.sum("size").alias("words"))
+    blocks = blocks.join(sources.select("rank", "whole", "rest"), "rank").withColumn("times", F.expr("whole + if(rest > 0, 1, 0)"))
+    epochs = blocks.withColumn("epoch", F.explode(F.expr("if(times = 0, array(), sequence(0, times - 1))")))
+    order = Window.partitionBy("rank", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "rank", "block"), "block")
+    before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    epochs = epochs.withColumn("at", F.row_number().over(order) - 1).withColumn("before", before)
+    limit = F.when(F.col("epoch") < F.col("whole"), F.col("words")).otherwise(F.least("words", F.col("rest") - F.col("before")))
+    place = F.row_number().over(Window.partitionBy("rank").orderBy("epoch", "at")).cast("long") - 1
+    return epochs.withColumn("limit", limit).where("limit > 0").withColumn("place", place).select("rank", "block", "epoch", "limit", "place")
+
+
+def _shard_order(draws: DataFrame, parts: int, seed: int) -> DataFrame:
+    """draws (shard, epoch, key_a, key_b, nth) with position: the local shuffle, an order by hash within each shard, from 0.
+
+    A shard is numbered in `parts` pieces of about equal size, each in a task of its own, one after another.
+    """
+    chance = F.xxhash64(F.lit(seed + 1), "shard", "epoch", *KEYS, "nth")
+    draws = draws.withColumn("chance", chance).withColumn("part", F.pmod(F.shiftright("chance", 32), F.lit(parts)))
+    local = Window.partitionBy("shard", "part").orderBy("chance", *KEYS, "nth", "epoch")
+    if parts == 1:
+        return draws.withColumn("position", F.row_number().over(local).cast("long") - 1).drop("chance", "part")
+    sizes = draws.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("start", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows")
+    return draws.join(sizes, ["shard", "part"]).withColumn("position", F.col("start") + F.row_number().over(local) - 1).drop("chance", "part", "start")
 
 
 def mixed_documents(docs: DataFrame, mixed: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with docs' columns; a document that a draw cuts has its first words, and n_chars to match."""
-    same = Window.partitionBy("doc_id", "row_hash").orderBy("row_hash")
-    alike = Window.partitionBy("doc_id", "hash__").orderBy("hash__")
-    keyed = docs.withColumn("hash__", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("nth__", F.row_number().over(alike))
-    draws = mixed.withColumn("nth", F.row_number().over(same)).where("size(draws) > 0")
-    draws = draws.select(F.col("doc_id").alias("drawn_id__"), F.col("row_hash").alias("drawn_hash__"), F.col("nth").alias("drawn_nth__"), F.col("size").alias("size__"), F.explode("draws.words").alias("words__"))
-    out = keyed.join(draws, F.col("doc_id").eqNullSafe(F.col("drawn_id__")) & (F.col("hash__") == F.col("drawn_hash__")) & (F.col("nth__") == F.col("drawn_nth__")))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0)), F.lit(1), F.col("words__").cast("int")), "")
-    out = out.withColumn("text", F.when(F.col("words__") < F.col("size__"), cut).otherwise(F.col("text")))
-    kept = [F.col(c) if c != "n_chars" else F.length("text").cast("long").alias("n_chars") for c in docs.columns]
-    return out.select(*kept)
+    """The rows of docs as often as mix() takes them, with docs' columns, each shard's rows together and in the order of its local shuffle.
+
+    A document that a draw cuts has its first words, and n_chars, if there, to match. Columns of any name pass.
+    """
+    plain, restored = veiled(docs, "doc_id", "text", "source")
+    keyed = plain.select("*", *[F.xxhash64(F.lit(seed + k), "doc_id", "text", "source").alias(name) for k, name in enumerate(KEYS)])
+    one = F.transform("draws", lambda d: F.struct("nth", d["shard"].alias("shard"), d["position"].alias("position"), d["words"].alias("words"), "size"))
+    draws = mixed.where("size(draws) > 0").groupBy(*KEYS).agg(F.flatten(F.collect_list(one)).alias("draws"))
+    # equal rows lie together after the join, so numbering them needs no further shuffle
+    out = keyed.join(draws.hint("merge"), KEYS).withColumn("nth", F.row_number().over(Window.partitionBy(*KEYS).orderBy(*KEYS)))
+    out = out.select("*", F.explode(F.expr("filter(draws, d -> d.nth = nth)")).alias("d")).drop("draws")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0)), F.lit(1), F.col("d.words").cast("int")), "")
+    out = out.withColumn("text", F.when(F.col("d.words") < F.col("d.size"), cut).otherwise(F.col("text")))
+    out = out.withColumn("shard", F.col("d.shard")).withColumn("position", F.col("d.position"))
+    out = out.repartition("shard").sortWithinPartitions("shard", "position")
+    return restored(out, {"n_chars": F.length("text").cast("long")})
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", F.size("draws").alias("n_draws"))
+    """draws says where each document lies in the mix: shard, position there, epoch and words."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "draws")

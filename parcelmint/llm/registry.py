@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from parcelmint.llm.langid import op3_language_id
 from parcelmint.llm.mixing import op1_mixing
 from parcelmint.llm.neardup import op8_embedding_neardup
@@ -14,6 +13,7 @@ from parcelmint.llm.ngram_join import op10_ngram_jaccard
 from parcelmint.llm.packing import op4_packing
 from parcelmint.llm.quality import op5_quality
 from parcelmint.llm.secrets import op9_secret_scans
+from parcelmint.llm.stages import run
 from parcelmint.llm.toxicity import op7_toxicity
 from parcelmint.llm.urls import op6_url_filters
 from parcelmint.llm.vptree import op2_nearest
@@ -29,7 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_neardup": op8_embedding_neardup,
     "op9_secret_scans": op9_secret_scans,
     "op10_ngram_jaccard": op10_ngram_jaccard,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": run,
 }
 
 ORACLE_SQL: dict[str, str] = {}

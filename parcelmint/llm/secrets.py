@@ -19,7 +19,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelmint.llm.common import durable, small, table
+from parcelmint.llm.common import durable, small, table, veiled
 
 
 @dataclass(frozen=True)
@@ -147,12 +147,13 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """docs (doc_id, text and any more) with spans: array of (start, end, order, kind), by start, then the rules' order.
 
     Null text is empty; rows with a null doc_id, which have no posting, are searched with every rule; rows that
-    repeat are each searched; no rows give no rows; columns other than doc_id and text pass unread.
+    repeat are each searched; no rows give no rows; columns other than doc_id and text pass unread, whatever their
+    names, but for one named spans, which is replaced.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     trigrams = sorted({t for q in queries.values() if q for alternative in q for t in alternative})
-    kept = [c for c in docs.columns if c != "spans"]
-    docs = docs.select(*kept).withColumn("text", F.coalesce("text", F.lit("")))
+    docs, restored = veiled(docs.drop("spans"), "doc_id", "text")
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     out = docs
     if trigrams:
         hits = small(durable(candidates(build_index(docs, trigrams), rules))).withColumnsRenamed({"doc_id": "hit_id__", "rules": "hit_rules__"})
@@ -163,7 +164,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         if queries[rule.kind] is not None:
             spans = F.when(F.col("doc_id").isNull() | F.coalesce(F.array_contains("hit_rules__", rule.kind), F.lit(False)), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,order:int,kind:string>>"))
         found.append(spans)
-    return out.select(*kept, F.array_sort(F.concat(*found)).alias("spans"))
+    return restored(out, spans=F.array_sort(F.concat(*found)))
 
 
 def redact(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:

@@ -313,8 +313,8 @@ def test_nearest_of_odd_vectors(spark):
     assert got == [(0, 20), (0, 1), (0, 6), (20, 0), (20, 1), (20, 6)]
 
 
-@pytest.mark.parametrize("cell_rows", [16_384, 60])
-def test_near_duplicates(spark, cell_rows):
+@pytest.mark.parametrize("block_rows", [1024, 32])
+def test_near_duplicates(spark, block_rows):
     rng, rows = np.random.default_rng(6), []
     for label in (0, 1):
         for _ in range(20):
@@ -327,7 +327,7 @@ def test_near_duplicates(spark, cell_rows):
     label = np.arange(len(rows))
     for i, j in zip(*np.nonzero(near)):
         label[label == max(label[i], label[j])] = min(label[i], label[j])
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "id long, label int, vector array<double>"), cell_rows=cell_rows, block_rows=32).orderBy("id").collect()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "id long, label int, vector array<double>"), block_rows=block_rows).orderBy("id").collect()
     assert [r.n_links for r in got] == near.sum(1).tolist() and [r.component_id for r in got] == label.tolist()
 
 
