@@ -1,67 +1,5 @@
-"""A corpus pipeline of the training-data operators: language ID, near-duplicates, secrets, mixing, packing.
+"""A corpus pipeline of the training-data operators: language ID, near-duplicates, secrets, mixing, packing."""
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-"""
+from parcelmint.llm.stages import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from parcelmint.llm import langid, mixing, ngram_join, packing, secrets
-from parcelmint.llm.common import durable, shared_dir, small, table
-
-#: A document whose best language has a lower mean probability over its bytes is rejected.
-LEAST_LANGUAGE_SCORE = 0.4
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from all labelled documents; documents without a language or with none that is likely go."""
-    columns = docs.columns
-    found = langid.identify(docs, langid.train(docs), columns)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*columns)
-
-
-def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8: of each component the document with the smallest id stays; rows without shingles or id stay."""
-    found = ngram_join.jaccard_components(docs, words=5, percent=80)
-    gone = durable(found.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-
-
-def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; n_chars follows the text."""
-    masked = secrets.redact(secrets.scan(docs))
-    return masked.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
-
-
-def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one that ends a source's share is cut."""
-    return mixing.mixed_documents(docs, mixing.mix(docs))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("ngram_jaccard", ngram_jaccard),
-    ("secret_scans", secret_scans),
-    ("mixing", mixing_sources),
-    ("packing", pack),
-]
-
-#: SQL cannot express the network of the first stage or the tokenizer of the last.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
