@@ -14,6 +14,11 @@ def euros(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(found, rf"[.{SPACES}]", ""), ",", ".").cast("double")
 
 
+def amount(text: Column) -> Column:
+    """A number with dots between thousands and a comma before cents."""
+    return F.regexp_replace(F.regexp_replace(text, rf"[.{SPACES}]", ""), ",", ".").try_cast("double")
+
+
 def source_price(text: Column, least: int = 50, most: int = 100_000) -> Column:
     """The amount after the first ¥, with its unit of thousands or ten thousands; null for a year or an implausible one."""
     rule = rf"¥[{SPACES}]*(\d[\d,]*(?:\.\d{{2}})?)(.?)"

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parcelmint.functions.compat import js_round
-from parcelmint.functions.config import Config
+from parcelmint.functions.config import BOUNDS, Config
 
 #: Euros for each gigabyte by which storage differs.
 PER_GB = 0.25
@@ -36,6 +36,12 @@ def landed_cost(price: Column, config: Config, rate: Column | None = None) -> Co
     return F.struct(*[v.cast("double").alias(k) for k, v in parts.items()])
 
 
+def bounded(name: str, value: Column) -> Column:
+    """An override within its bounds."""
+    low, high = BOUNDS[name]
+    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value.cast("double")))
+
+
 def storage_adjusted(price: Column, have: Column, want: Column) -> Column:
     """A price for other storage, at least half of it."""
     return F.when(have.isNotNull() & want.isNotNull() & (have != want), F.greatest(price * 0.5, price + (want - have) * PER_GB)).otherwise(price)

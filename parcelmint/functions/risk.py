@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +38,16 @@ def yellow(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(says(text, t), F.lit(f"{t} ({label})")) for t, label in YELLOW.items()]))
 
 
+def _denial(label: str) -> Callable[[Column], Column]:
+    return lambda found: F.concat(found, F.lit(f" (no {label})"))
+
+
 def declarations(text: Column) -> Column:
     """What a text denies, of the blacklist."""
     none = F.array().cast("array<string>")
     found = []
     for t, label in BLACKLIST.items():
-        denied = F.transform(negated(text, t), lambda x, label=label: F.concat(x, F.lit(f" (no {label})")))
-        found.append(F.when(F.contains(text, F.lit(t)) & ~says(text, t), denied).otherwise(none))
+        found.append(F.when(F.contains(text, F.lit(t)) & ~says(text, t), F.transform(negated(text, t), _denial(label))).otherwise(none))
     return F.flatten(F.array(*found))
 
 

@@ -112,9 +112,11 @@ def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), prices.search_url(F.lit("https://shop.example/s"), F.col("p_name"), F.col("p_size") % 5).alias("url"))
 
 
-@query("S06", "SELECT page_id, contains(html, 'sem resultados') AND NOT contains(html, 'page=') AS none FROM pages")
+@query("S06", "SELECT page_id, page_id % 4 IN (0, 1) OR (page_id % 4 > 1 AND regexp_matches(html, '猜你喜欢')) AS none FROM pages")
 def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", (F.contains("html", F.lit("sem resultados")) & ~F.contains("html", F.lit("page="))).alias("none"))
+    """Pages that say that nothing was found, recommend other things, or do so beside pagination."""
+    told = pick(["<p>没有找到你想要的宝贝</p>", "<div>为你推荐</div>", "<p>猜你喜欢</p><button class='x search-pagination-arrow-y'>", "<script>猜你喜欢</script>"], F.col("page_id") % 4)
+    return table(spark, sf_dir, "pages").select("page_id", pages.says_nothing_found(F.concat(F.coalesce("html", F.lit("")), told)).alias("none"))
 
 
 @query("P06", "SELECT p_partkey % 4 AS k, p_partkey % 4 IN (0, 1) AS accessory, count(*) AS n FROM part GROUP BY 1")

@@ -2,26 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelmint.functions import labels
 from parcelmint.functions.compat import js_round
+from parcelmint.operators import references
+
+
+def _columns() -> dict[str, Column]:
+    """The columns of an export, in their order."""
+    yes = lambda c: F.when(F.col(c), "YES").otherwise("NO")
+    money = lambda c: js_round(F.col(c) * 100) / 100
+    of = lambda c: F.col(f"product.{c}")
+    return {
+        "Product": F.coalesce("product.standard_key", "title"),
+        "Condition": F.coalesce(labels.label(of("condition"), labels.CONDITIONS), F.lit("Used")),
+        "Price_CNY": F.col("price"),
+        "Acquisition_EUR": money("landed.acquisition"),
+        "Agent_Fee_EUR": money("landed.agent"),
+        "Inspection_EUR": money("landed.inspection"),
+        "CN_Domestic_EUR": money("landed.source_shipping"),
+        "Insurance_EUR": money("landed.insurance"),
+        "Intl_Shipping_EUR": money("landed.freight"),
+        "Customs_Clearance_EUR": money("landed.customs"),
+        "Import_Duty_EUR": money("landed.duty"),
+        "Import_VAT_EUR": money("landed.vat"),
+        "PT_Domestic_EUR": money("landed.home_shipping"),
+        "Total_Landed_EUR": money("landed.total"),
+        "EU_Baseline_EUR": money("profit.resale"),
+        "Resale_Fee_EUR": money("profit.fee"),
+        "Net_Resale_EUR": money("profit.net_resale"),
+        "Net_Profit_EUR": money("profit.profit"),
+        "Margin_Pct": js_round(F.col("profit.margin") * 10) / 10,
+        "Risk_Score": F.col("risk.score"),
+        "Dropped": yes("risk.dropped"),
+        "Hidden": yes("hidden"),
+        "Hidden_Reason": F.coalesce("hidden_reason", F.lit("")),
+        "Seller_Location": F.col("location"),
+        "Seller_Verified": yes("verified"),
+        "Seller_Transactions": F.col("transactions"),
+        "Seller_Rating": F.col("rating"),
+        "Wants_Count": F.col("wants"),
+        "Image_Count": F.col("images"),
+        "Condition_Flags": F.array_join("condition_flags", " | "),
+        "Region_Version": of("region_version"),
+        "Lock_Status": of("lock_status"),
+        "Storage_GB": of("storage_gb"),
+        "Color": of("color"),
+        "Chip": of("chip"),
+        "RAM_GB": of("ram_gb"),
+        "Display_Inch": of("display_inch"),
+        "Battery_Health": of("battery_health"),
+        "Release_Year": of("release_year"),
+        "Form_Factor": of("form_factor"),
+        "Drive_Config": of("drive_config"),
+        "Goofish_Href": F.col("href"),
+        "EU_Comps_Count": F.coalesce("offers", F.lit(0)),
+        "Goofish_Title": F.col("title"),
+        "Description": F.col("description"),
+    }
+
+
+#: What an evaluated listing may lack, with its kind.
+_OPTIONAL = {"location": "string", "wants": "int", "condition_flags": "array<string>", "href": "string", "offers": "bigint"}
 
 
 def flat(evaluated: DataFrame) -> DataFrame:
-    """One column for each fact of an evaluated listing: money with two decimals, the margin with one, flags as YES and NO."""
-    money = lambda c: (js_round(F.col(c) * 100) / 100).alias(c.split(".")[-1])
-    said = lambda c: F.when(F.col(c), "YES").otherwise("NO").alias(c.split(".")[-1])
-    product = ["standard_key", "category", "family", "storage_gb", "condition", "region_version", "lock_status", "color", "battery_health"]
-    landed = ["acquisition", "agent", "inspection", "source_shipping", "insurance", "freight", "customs", "duty", "vat", "home_shipping", "total"]
-    return evaluated.select(
-        "id", "title", money("price"), *[F.col(f"product.{c}").alias(c) for c in product], *[money(f"landed.{c}") for c in landed], *[money(f"profit.{c}") for c in ("resale", "fee", "net_resale", "profit")],
-        (js_round(F.col("profit.margin") * 10) / 10).alias("margin"), F.col("risk.score").alias("risk"), said("risk.dropped"), F.array_join("risk.yellow", " | ").alias("yellow"), said("hidden"), "hidden_reason",
-    )
+    """The columns of an export for each evaluated listing: money with two decimals, the margin with one, flags as YES and NO."""
+    for c, kind in _OPTIONAL.items():
+        if c not in evaluated.columns:
+            evaluated = evaluated.withColumn(c, F.lit(None).cast(kind))
+    return evaluated.select("id", *[v.alias(k) for k, v in _columns().items()])
 
 
 def write_csv(evaluated: DataFrame, path: str) -> None:
-    flat(evaluated).write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    """Files that begin with a byte order mark, as spreadsheets want them: it stands before the first name of the header."""
+    rows = flat(evaluated).drop("id").withColumnRenamed("Product", "\ufeffProduct")
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def meta(evaluated: DataFrame, query: str) -> DataFrame:
+    """One row on an export: query, total_listings, viable_listings."""
+    return evaluated.agg(F.count(F.lit(1)).alias("total_listings"), F.count_if(~F.col("hidden")).alias("viable_listings")).select(F.lit(query).alias("query"), "total_listings", "viable_listings")
 
 
 def write_json(evaluated: DataFrame, path: str) -> None:
@@ -32,9 +95,4 @@ def write_json(evaluated: DataFrame, path: str) -> None:
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """(standard_key, category, new, excellent, very_good, good, fair) of a CSV: names in any case, blank keys left out, unknown categories as iphone, what is no number as 0."""
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
-    raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
-    number = lambda c: F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(c, r"[^0-9.\-]", ""), r"^(-?\d*\.?\d+)", 1), F.lit("")).cast("double"), F.lit(0.0))
-    known = ["iphone", "macbook", "ipad", "ps5", "samsung", "applewatch", "dji", "xiaomi", "gaming"]
-    names = {"new": "new", "excellent": "excellent", "very_good": "verygood", "good": "good", "fair": "fair"}
-    kind = F.when(F.lower("category").isin(known), F.lower("category")).otherwise("iphone")
-    return raw.where(F.trim("standardkey") != "").select(F.trim("standardkey").alias("standard_key"), kind.alias("category"), *[number(c).alias(n) for n, c in names.items()])
+    return references.parsed(raw.toDF(*[c.strip().lower() for c in raw.columns]))

@@ -50,6 +50,73 @@ def cards(pages: DataFrame, text: str = "html") -> DataFrame:
     return out.select("page_id", "place", "r.title", "r.euros", "r.prime")
 
 
+#: Fixed value: a link to a product, its title and the price after it.
+PRODUCT_LINK = r'href="(/produto/[^"]+)"[^>]*>([^<]{5,120})</a>[\s\S]{0,500}?(\d[\d\s.\u00A0]*(?:,\d{1,2})?)\s*€'
+
+
+def anchors(pages: DataFrame, base: str, text: str = "html", most: int | None = MOST_ROWS) -> DataFrame:
+    """(page_id, place, title, price, store, url) of links to products that a price follows; most: rows of a page, None for all."""
+    part = lambda k: F.regexp_extract_all(text, F.lit(PRODUCT_LINK), F.lit(k))
+    found = F.arrays_zip(part(1).alias("url"), part(2).alias("title"), part(3).alias("price"))
+    rows = F.transform(found, lambda r: F.struct(r["url"].alias("url"), F.trim(r["title"]).alias("title"), prices.amount(r["price"]).alias("price")))
+    kept = F.filter(rows, lambda r: (r["title"] != "") & (r["price"] > 0) & (r["price"] <= 10_000))
+    kept = kept if most is None else F.slice(kept, F.lit(1), F.lit(most))
+    out = pages.select("page_id", F.posexplode(kept).alias("place", "r"))
+    return out.select("page_id", "place", "r.title", "r.price", F.lit("Loja").alias("store"), F.concat(F.lit(base), "r.url").alias("url"))
+
+
+def listed_products(pages: DataFrame, base: str, text: str = "html") -> DataFrame:
+    """(page_id, place, title, price, store, url, way) of a page by the first of three ways that finds anything: its embedded list, links with prices, titles near prices."""
+    near = proximity_pairs(pages, text=text).withColumnRenamed("euros", "price").withColumns({"store": F.lit(None).cast("string"), "url": F.lit(None).cast("string")})
+    ways = [products(pages, base, text), anchors(pages, base, text), near]
+    all_ = None
+    for k, found in enumerate(ways, 1):
+        found = found.select("page_id", "place", "title", "price", "store", "url", F.lit(k).alias("way"))
+        all_ = found if all_ is None else all_.unionByName(found)
+    first = all_.groupBy("page_id").agg(F.min("way").alias("way"))
+    return all_.join(first, ["page_id", "way"])
+
+
+#: How a page says that nothing was found, and what only pages of results have.
+NOTHING_FOUND = ["没有找到你想要的宝贝", "猜你喜欢", "为你推荐"]
+PAGINATION = r"<button[^>]*class=['\"][^'\"]*search-pagination-arrow"
+
+
+def says_nothing_found(html: Column) -> Column:
+    """Whether a page's text says that nothing was found, or recommends other things, and the page has no pagination."""
+    return F.rlike(prices.page_text(html), F.lit("|".join(NOTHING_FOUND))) & ~F.rlike(html, F.lit(PAGINATION))
+
+
+#: Fixed value: rows that a pasted page gives at most.
+MOST_PASTED = 60
+
+
+def pasted(pages: DataFrame, least: float = 0, most: float = 0, text: str = "html", rows: int | None = MOST_PASTED) -> DataFrame:
+    """(page_id, place, title, price, description) of a page that someone pasted: of its JSON, else of its blocks with a price.
+
+    A block begins at an element whose class names an item, a card or a search result. Its title is that of an
+    element for titles, else its first text, else all of its text. least and most bound prices where they are
+    above 0; rows: how many blocks of a page are read, None for all.
+    """
+
+    def read(block: Column) -> Column:
+        price = F.regexp_replace(F.regexp_extract(block, r"¥\s*(\d[\d,]*(?:\.\d{1,2})?)", 1), ",", "").try_cast("double")
+        clean = prices.page_text(block)
+        named = F.regexp_extract(block, r'(?i)<[^>]+class="[^"]*(?:title|name|header)[^"]*"[^>]*>([^<]{4,120})</[^>]+>', 1)
+        some = F.regexp_extract(block, r"<[^>]*>([^<]{4,120})</[^>]*>", 1)
+        title = F.trim(F.coalesce(F.nullif(named, F.lit("")), F.nullif(some, F.lit("")), clean))
+        return F.struct(title.alias("title"), price.alias("price"), F.left(clean, F.lit(500)).alias("description"))
+
+    blocks = F.split(text, r'(?i)(?=<[^>]+class="[^"]*(?:item|card|search-result)[^"]*")')
+    kept = F.filter(F.transform(blocks, read), lambda r: (r["price"] > 0) & (F.length(r["title"]) >= 3))
+    kept = kept if rows is None else F.slice(kept, F.lit(1), F.lit(rows))
+    loose = pages.select("page_id", F.posexplode(kept).alias("place", "r")).select("page_id", "place", "r.title", "r.price", "r.description")
+    strict = search_results(pages, text).select("page_id", "place", "title", "price", "description")
+    found = strict.unionByName(loose.join(strict.select("page_id").distinct(), "page_id", "left_anti"))
+    found = found.where(F.col("price") >= least) if least > 0 else found
+    return found.where(F.col("price") <= most) if most > 0 else found
+
+
 def zipped(titles: Column, amounts: Column) -> Column:
     """Titles with the amounts at the same places, if there are as many of both; else nothing."""
     empty = F.array().cast("array<struct<title:string,amount:string>>")
