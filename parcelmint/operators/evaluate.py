@@ -19,10 +19,10 @@ def with_product(listings: DataFrame) -> DataFrame:
     return listings if "product" in listings.columns else titles.with_product(listings)
 
 
-def with_facts(offers: DataFrame) -> DataFrame:
-    """offers with what matching reads from their titles: tier, offer_gb and low_title. Titles that repeat are read once."""
+def title_facts(offers: DataFrame) -> DataFrame:
+    """(task, title, tier, offer_gb, low_title): what matching reads from the titles of a scan's offers, each title of it once."""
     facts = [matching.tier(F.col("title")).alias("tier"), titles.storage_gb(F.col("title")).alias("offer_gb"), F.lower("title").alias("low_title")]
-    return offers.join(offers.select("title").distinct().select("title", *facts), "title")
+    return offers.select("task", "title").distinct().select("task", "title", *facts)
 
 
 def with_want(rows: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def with_want(rows: DataFrame) -> DataFrame:
 
 
 def scored_titles(rows: DataFrame, facts: DataFrame, least_score: int = 40) -> DataFrame:
-    """(task, want, title, score): the titles of a scan's offers that match a product wanted there.
+    """(task, want, gb, title, offer_gb, score): the titles of a scan's offers that match a product wanted there.
 
     Scores depend on product and title alone, so each product of a scan meets each title of its tier there once,
     however many listings and offers have them. Offers of another tier never match.
@@ -43,9 +43,8 @@ def scored_titles(rows: DataFrame, facts: DataFrame, least_score: int = 40) -> D
     query = F.split("want", "\n")[0]
     wanted = rows.where("want is not null").select("task", "want", product["family"].alias("family"), product["storage_gb"].alias("gb")).distinct()
     wanted = wanted.select("task", "want", "gb", matching.query_words(query).alias("words"), F.lower("family").alias("low_family"), matching.tier(F.col("family")).alias("tier"))
-    titles_ = facts.select("task", "tier", "title", "low_title", "offer_gb").distinct()
     score = matching.score(F.col("words"), F.col("low_family"), F.col("gb"), F.col("low_title"), F.col("offer_gb"))
-    return wanted.join(titles_, ["task", "tier"]).select("task", "want", "title", score.alias("score")).where(F.col("score") >= least_score)
+    return wanted.join(facts, ["task", "tier"]).select("task", "want", "gb", "title", "offer_gb", score.alias("score")).where(F.col("score") >= least_score)
 
 
 def matches(listings: DataFrame, offers: DataFrame, least_score: int = 40) -> DataFrame:
@@ -53,11 +52,12 @@ def matches(listings: DataFrame, offers: DataFrame, least_score: int = 40) -> Da
 
     Listings that are no known product get all offers of their scan, with a null score.
     """
-    rows, facts = with_want(listings), with_facts(offers)
+    rows, facts = with_want(listings), title_facts(offers)
     narrow = rows.select("id", "task", "product", "want")
-    priced = facts.select("task", "title", "offer", "platform", "euros", "offer_gb")
+    priced = offers.select("task", "title", "offer", "platform", "euros")
     found = narrow.join(scored_titles(rows, facts, least_score), ["task", "want"]).join(priced, ["task", "title"])
-    unknown = narrow.where("want is null").join(priced, "task").withColumn("score", F.lit(None).cast("int"))
+    of_title = facts.select("task", "title", "offer_gb")
+    unknown = narrow.where("want is null").join(of_title, "task").join(priced, ["task", "title"]).withColumn("score", F.lit(None).cast("int"))
     columns = ["id", "task", "product", "offer", "platform", "euros", "offer_gb", "score"]
     return found.select(*columns).unionByName(unknown.select(*columns))
 
@@ -95,12 +95,12 @@ def with_value(rows: DataFrame, offers: DataFrame, config: Config) -> DataFrame:
     pairs of listings and offers are never made. Listings that are no known product share the value of all offers
     of their scan.
     """
-    rows, facts = with_want(rows), with_facts(offers)
-    priced = facts.select("task", "title", "platform", "euros", "offer_gb")
-    known = scored_titles(rows, facts).select("task", "want", "title").join(priced, ["task", "title"])
-    known = known.withColumn("gb", F.nullif(F.split("want", "\n")[2], F.lit("")).cast("int"))
+    rows = with_want(rows)
+    priced = offers.select("task", "title", "platform", "euros")
+    known = scored_titles(rows, title_facts(offers)).select("task", "want", "gb", "title", "offer_gb").join(priced, ["task", "title"])
     some = rows.where("want is null").select("task").distinct()
-    unknown = priced.join(some, "task", "left_semi").withColumns({"want": F.lit(""), "gb": F.lit(None).cast("int")})
+    none = F.lit(None).cast("int")
+    unknown = priced.join(some, "task", "left_semi").withColumns({"want": F.lit(""), "gb": none, "offer_gb": none})
     value = _values(known.unionByName(unknown.select(*known.columns)), ["task", "want", "gb"], F.col("gb"), config).drop("gb")
     value = value.withColumnsRenamed({"task": "task_", "want": "want_"})
     same = (F.col("task") == F.col("task_")) & (F.coalesce("want", F.lit("")) == F.col("want_"))
