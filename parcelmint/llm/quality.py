@@ -20,7 +20,7 @@ from parcelmint.llm.common import crc_mod, small, table, text_batches, unit_hash
 from parcelmint.llm.langid import texts_in
 
 _CHUNKS = 512
-_PAD = 256
+_PAD = 0
 
 
 @dataclass
@@ -39,6 +39,7 @@ class ByteConv:
         if not self.weights:
             rng = np.random.default_rng(self.seed)
             self.weights = {
+                # the last row is not used: what follows a text counts as the byte 0
                 "embed": rng.normal(0, 1, (257, self.embed)).astype(np.float32),
                 "filter": (rng.normal(0, 1, (self.width * self.embed, self.filters)) / np.sqrt(self.width * self.embed)).astype(np.float32),
                 "shift": np.zeros(self.filters, np.float32),

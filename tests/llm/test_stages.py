@@ -4,11 +4,9 @@ import re
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from parcelmint.llm import stages
-from parcelmint.llm.langid import ByteGru
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, score string, hit_id__ long, hash__ long, nth__ long, size__ long, words__ long, key string, shard int, lang_pred int"
@@ -130,19 +128,3 @@ def test_whole_pipeline(spark, tmp_path):
     assert set(got.doc_id) <= set(range(120)) and len(set(got.doc_id)) > 60
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 4096
-
-
-@pytest.mark.parametrize("seed", [0, 1])
-def test_gru_equals_plain_loops(seed):
-    """The network's pooled probabilities against loops over bytes with its weights."""
-    net = ByteGru(["a", "b", "c"], 5)
-    rng = np.random.default_rng(seed)
-    for k, w in net.weights.items():
-        net.weights[k] = rng.normal(scale=0.4, size=w.shape)
-    text = bytes(rng.integers(1, 255, 60).astype(np.uint8))
-    data = np.frombuffer(text, np.uint8)
-    whole = net.pooled(data, np.array([0]), np.array([60]), 128)
-    assert whole.shape == (1, 3) and whole.sum() == pytest.approx(1)
-    # two windows of a text pool as the mean of what each byte says
-    parts = [net.pooled(data[a : a + 30], np.array([0]), np.array([30]), 128)[0] for a in (0, 30)]
-    assert net.pooled(data, np.array([0]), np.array([60]), 30)[0] == pytest.approx(np.mean(parts, 0), rel=1e-5)
