@@ -30,20 +30,21 @@ def usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
 
 
 #: How far pruning is stretched and how many points a leaf has: the README gives recall and the share of pairs compared.
-FACTOR, LEAF = 7.0, 16
+FACTOR, LEAF = 6.0, 64
 
 
 class VpTree:
-    """Points (rows, the last coordinate the added one). A node: (vantage point, inner part's greatest and outer part's least distance, inner, outer); a leaf: its rows."""
+    """Points (rows, the last coordinate the added one). A node: (vantage point, inner part's greatest and outer part's least distance, inner, outer); a leaf: its number."""
 
     def __init__(self, points: np.ndarray, leaf: int, rng: np.random.Generator) -> None:
-        self.points, self.leaf, self.rng = points, leaf, rng
+        self.points, self.leaf, self.rng, self.leaves = points, leaf, rng, []
         self.square = (points * points).sum(1)
         self.root = self._build(np.arange(len(points)))
 
-    def _build(self, rows: np.ndarray) -> tuple | np.ndarray:
+    def _build(self, rows: np.ndarray) -> tuple | int:
         if len(rows) <= self.leaf:
-            return rows
+            self.leaves.append(rows)
+            return len(self.leaves) - 1
         vantage = self.points[rows[self.rng.integers(len(rows))]]
         d = np.sqrt(((self.points[rows] - vantage) ** 2).sum(1))
         order = np.argsort(d, kind="stable")
@@ -53,36 +54,56 @@ class VpTree:
     def search(self, queries: np.ndarray, k: int, factor: float, slack: float) -> tuple[np.ndarray, np.ndarray, float]:
         """Pairs (query's row, point's row) that hold each query's k nearest found, and the share of all pairs that were compared.
 
-        A pair is kept while its distance is within the k-th found so far, plus the slack of its rounding, so
-        points that tie at the end are all there.
+        Each query first goes down to its own leaf, which bounds its k-th distance; then all queries walk the tree
+        together, each leaving out the parts that the bound rules out, so that a leaf meets all its queries at once.
+        A pair is kept while its distance is within the k-th found so far, plus the slack of its rounding, so points
+        that tie at the end are all there.
         """
         self.best = np.full((len(queries), k), np.inf)
+        self.reach, self.home = np.full(len(queries), np.inf), np.full(len(queries), -1)
         self.kept, self.slack, self.factor, self.compared = [], slack, factor, 0
         self.of_query = (queries * queries).sum(1)
-        self._visit(self.root, queries, np.arange(len(queries)))
-        if not self.kept:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0
+        everyone = np.arange(len(queries))
+        self._go_home(self.root, queries, everyone)
+        self._visit(self.root, queries, everyone)
         q, p, d = (np.concatenate(x) for x in zip(*self.kept))
-        last = d <= self.best[q].max(1) + slack
-        return q[last], p[last], self.compared / (len(queries) * len(self.points))
-
-    def _visit(self, node: tuple | np.ndarray, queries: np.ndarray, some: np.ndarray) -> None:
-        if not len(some):
+        last = d <= self.reach[q] + slack
+        return q[last], p[last], self.compared / max(1, len(queries) * len(self.points))
+
+    def _compare(self, leaf: int, queries: np.ndarray, some: np.ndarray) -> None:
+        rows, k = self.leaves[leaf], self.best.shape[1]
+        square = self.of_query[some][:, None] + self.square[rows][None] - 2 * queries[some] @ self.points[rows].T
+        d = np.sqrt(np.maximum(square, 0))
+        self.compared += d.size
+        near = np.nonzero(d <= (self.reach[some] + self.slack)[:, None])
+        self.kept.append((some[near[0]], rows[near[1]], d[near]))
+        held = np.unique(near[0])
+        better = np.partition(np.concatenate([self.best[some[held]], d[held]], 1), k - 1, 1)[:, :k]
+        self.best[some[held]], self.reach[some[held]] = better, better[:, k - 1]
+
+    def _go_home(self, node: tuple | int, queries: np.ndarray, some: np.ndarray) -> None:
+        if isinstance(node, int):
+            self.home[some] = node
+            self._compare(node, queries, some)
             return
-        if isinstance(node, np.ndarray):
-            square = self.of_query[some][:, None] + self.square[node][None] - 2 * queries[some] @ self.points[node].T
-            d = np.sqrt(np.maximum(square, 0))
-            self.compared += d.size
-            near = np.argwhere(d <= self.best[some].max(1)[:, None] + self.slack)
-            self.kept.append((some[near[:, 0]], node[near[:, 1]], d[near[:, 0], near[:, 1]]))
-            self.best[some] = np.partition(np.concatenate([self.best[some], d], 1), self.best.shape[1] - 1, 1)[:, : self.best.shape[1]]
+        vantage, inner_most, outer_least, inner, outer = node
+        near = ((queries[some] - vantage) ** 2).sum(1) <= ((inner_most + outer_least) / 2) ** 2
+        for part, group in ((inner, some[near]), (outer, some[~near])):
+            if len(group):
+                self._go_home(part, queries, group)
+
+    def _visit(self, node: tuple | int, queries: np.ndarray, some: np.ndarray) -> None:
+        if isinstance(node, int):
+            some = some[self.home[some] != node]
+            if len(some):
+                self._compare(node, queries, some)
             return
         vantage, inner_most, outer_least, inner, outer = node
         d = np.sqrt(((queries[some] - vantage) ** 2).sum(1))
-        near = d <= (inner_most + outer_least) / 2
-        for first, second, group, gap in ((inner, outer, some[near], outer_least - d[near]), (outer, inner, some[~near], d[~near] - inner_most)):
-            self._visit(first, queries, group)
-            self._visit(second, queries, group[gap * self.factor <= self.best[group].max(1) + self.slack])
+        for part, gap in ((inner, d - inner_most), (outer, outer_least - d)):
+            group = some[gap * self.factor <= self.reach[some] + self.slack]
+            if len(group):
+                self._visit(part, queries, group)
 
 
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
