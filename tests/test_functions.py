@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from parcelmint.functions import config, matching, prices, pricing, relevance, risk, titles
+from parcelmint.functions import conditions, config, matching, prices, pricing, relevance, risk, titles
+from parcelmint.operators import analytics
+from parcelmint.plans import condition_queries
 
 
 def value(spark, column, **texts):
@@ -90,3 +92,24 @@ def test_products(spark):
 def test_unenriched_listing_risk(spark):
     r = risk.report(F.lit("iPhone 15"), F.lit("一段足够长的描述文字一段足够长的描述文字"), F.lit("unknown"), F.lit(None).cast("double"), F.lit(0), F.lit(False), F.lit(1))
     assert value(spark, r, t="")["score"] == 49
+
+
+@pytest.mark.parametrize("text,verdicts,flags", condition_queries.CASES)
+def test_conditions(spark, text, verdicts, flags):
+    rows = spark.createDataFrame([(None, text, None)], f"title string, description string, product {titles.PRODUCT}")
+    got = conditions.with_conditions(rows).first()
+    assert {k: v for k, v in got.verdicts.asDict().items() if v} == verdicts and got.condition_flags == flags
+
+
+def test_storage_of_a_text_is_put_into_its_product(spark):
+    rows = titles.with_product(spark.createDataFrame([("MacBook Air M3", ""), ("iPhone 15", "1TB"), ("华为", "1TB")], "title string, description string"))
+    later = rows.withColumn("description", F.lit("容量: 1TB 有锁"))
+    got = [r.product for r in conditions.with_conditions(later).collect()]
+    assert got[0].standard_key == "MacBook Air M3 13 1TB" and got[0].storage_gb == 1024
+    assert got[1].standard_key == "iPhone 15 1024GB" and got[2] is None
+
+
+def test_exact_medians(spark):
+    rows = [("a", x) for x in (5.0, 1.25, 1.5, 900.0)] + [("b", 7.5)] * 9 + [("c", None), (None, 2.0), (None, 4.0), ("d", -3.5), ("d", -1.0), ("d", None)]
+    got = {r.k: r.median for r in analytics.exact_medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert got == {"a": 3.25, "b": 7.5, None: 3.0, "d": -2.25}
