@@ -76,7 +76,10 @@ def test_evaluate_export_and_summary(spark, tmp_path):
     exports.write_csv(done, str(tmp_path / "csv"))
     exports.write_json(done, str(tmp_path / "json"))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
-    assert back.count() == 3 and {r.hidden for r in back.collect()} <= {"YES", "NO"} and spark.read.json(str(tmp_path / "json")).count() == 3
+    assert back.count() == 3 and {r.Hidden for r in back.collect()} == {"YES", "NO"} and spark.read.json(str(tmp_path / "json")).count() == 3
+    header = next((tmp_path / "csv").glob("*.csv")).read_text(encoding="utf-8").split("\n")[0]
+    assert header.startswith("\ufeffProduct,Condition,Price_CNY,Acquisition_EUR") and header.rstrip().endswith("EU_Comps_Count,Goofish_Title,Description") and header.count(",") == 44
+    assert exports.meta(done, "iphone").first().asDict() == {"query": "iphone", "total_listings": 3, "viable_listings": sum(not r.hidden for r in rows.values())}
 
 
 def test_read_references(spark, tmp_path):
