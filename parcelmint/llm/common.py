@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,32 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
 
 
+@functools.lru_cache(1)
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, which gives what it no longer needs back to the machine at the end of each task.
+
+    Python workers live on from stage to stage; without this, each would keep the most that any of its tasks took.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if _libc() is not None:
+                _libc().malloc_trim(0)
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

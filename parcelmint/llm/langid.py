@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelmint.llm.common import crc_mod, table, text_batches, unit_hash
+from parcelmint.llm.common import crc_mod, lean, table, text_batches, unit_hash
 
 UNDETERMINED = "und"
 #: Bytes of text and windows that a task scores at a time.
-_BYTES, _WINDOWS = 1_000_000, 2048
+_BYTES, _WINDOWS = 500_000, 2048
 
 
 def _gate(x: np.ndarray) -> np.ndarray:
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, model: ByteGru | None, keep: list[str] | None = No
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*keep, F.when(F.rlike("text", F.lit(r"\p{L}")), F.col("text")).alias("text__"))
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predictor(model, to_arrow_schema(schema), window), schema)
+    return rows.mapInArrow(lean(_predictor(model, to_arrow_schema(schema), window)), schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelmint.llm.common import components, durable as written, scratch, small, table, text_batches
+from parcelmint.llm.common import components, durable as written, lean, scratch, small, table, text_batches
 from parcelmint.llm.shingles import list_array, mixed, sets_in
 
 #: So many of the most frequent shingles are known to all tasks and come last in the order; which ones they are
@@ -59,7 +59,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[int, np.ndarray, np.
     """Counts over all documents: (buckets, the most frequent shingles' bucket and low bits, sorted, their counts)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << 20, max(16, size // _BUCKET_BYTES))
-    runs = docs.select("text").mapInArrow(_count_runs(words, buckets), "bucket int, low binary")
+    runs = docs.select("text").mapInArrow(lean(_count_runs(words, buckets)), "bucket int, low binary")
     top = runs.groupBy("bucket").applyInArrow(_count_bucket, "shingle long, n long").orderBy(F.desc("n"), "shingle").limit(_FREQUENT).toArrow().sort_by("shingle")
     return buckets, top["shingle"].to_numpy(), top["n"].to_numpy()
 
@@ -150,10 +150,10 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, pe
         return rows.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("signature").alias(f"signature_{side}"))
 
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "signature_a", "signature_b")
-    pairs = durable(both.mapInArrow(_plausible(percent), "a long, b long"))
+    pairs = durable(both.mapInArrow(lean(_plausible(percent)), "a long, b long"))
     wanted = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     texts = docs.join(small(wanted), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
-    sets = durable(texts.mapInArrow(_whole_sets(words), "doc_id long, shingles array<long>"))
+    sets = durable(texts.mapInArrow(lean(_whole_sets(words)), "doc_id long, shingles array<long>"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_of_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_of_b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("set_of_a", "set_of_b")))
@@ -276,7 +276,7 @@ def _classes(docs: DataFrame, words: int, percent: int, rounds: int, neighbours:
     made = "doc_id long, n int, set_a long, set_b long, prefix_a long, prefix_b long, prefix array<long>, signature binary"
     group, member = ["n", "prefix_a", "prefix_b"], ["n", "prefix_a", "prefix_b", "set_a", "set_b"]
     with scratch(docs.sparkSession) as durable:
-        rows = durable(docs.mapInArrow(_prefixes(words, percent, buckets, frequent, counts), ", ".join([made, *(f"{b} long" for b in _BITS)])))
+        rows = durable(docs.mapInArrow(lean(_prefixes(words, percent, buckets, frequent, counts)), ", ".join([made, *(f"{b} long" for b in _BITS)])))
         members = rows.where("n > 0 and doc_id is not null").groupBy(*member).agg(F.min("doc_id").alias("id"), *[F.max(b).alias(b) for b in _BITS])
         groups = members.groupBy(*group).agg(F.min("id").alias("g"))
         members = durable(members.join(groups, group).select(*member, "id", "g", *_BITS))

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelmint.llm.common import durable, table, text_batches
+from parcelmint.llm.common import durable, lean, table, text_batches
 
 _PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, emitted boolean, ids binary"
 #: Bytes of text that are tokenized at a time, and words that a task remembers.
-_BYTES, _WORDS = 2_000_000, 400_000
+_BYTES, _WORDS = 1_000_000, 200_000
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +245,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     def packer(first_sequence: int) -> Packer:
         return Packer(window, open_windows, least_cut, first_sequence, with_ids)
 
-    pieces = durable(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_first_stage(tokenizer, end_id, arrow, packer), schema))
+    pieces = durable(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(_first_stage(tokenizer, end_id, arrow, packer)), schema))
     out, level = pieces.where("emitted"), 0
     rest = pieces.where("not emitted").withColumn("part", F.shiftright("sequence_id", 32))
     parts = (rest.agg(F.max("part")).first()[0] or 0) + 1
