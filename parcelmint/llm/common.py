@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +128,31 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
+#: A scaled component beyond this stays at it: doubles hold every whole number up to here.
+WIDEST = 1 << 53
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector (array of double) is not null and holds neither null nor not finite components."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)), F.lit(False))
+
+
+def whole(vector: Column, scale: int) -> Column:
+    """floor(scale * component) of each component, as long."""
+    return F.transform(vector, lambda c: F.floor(F.greatest(F.least(c * scale, F.lit(float(WIDEST))), F.lit(-float(WIDEST)))))
+
+
+def commonest_length(rows: DataFrame, vector: str) -> int | None:
+    """The length that most rows' vectors have, of equally common ones the shorter; None without rows."""
+    found = rows.groupBy(F.size(vector).alias("dims")).count().orderBy(F.desc("count"), "dims").first()
+    return found and found.dims
+
+
+def matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """A batch's vectors of equal length, one a row."""
+    return np.asarray(column.flatten()).reshape(-1, dims)
+
+
 def components(edges: DataFrame, rounds: int = 100, durable: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """The connected components of undirected edges (a, b): one row (id, component) for each node, component its smallest id.
 

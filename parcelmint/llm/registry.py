@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parcelmint.llm.codes import op13_vector_codes
 from parcelmint.llm.langid import op3_language_id
 from parcelmint.llm.mixing import op1_mixing
 from parcelmint.llm.neardup import op8_embedding_neardup
@@ -17,6 +18,7 @@ from parcelmint.llm.stages import run
 from parcelmint.llm.toxicity import op7_toxicity
 from parcelmint.llm.urls import op6_url_filters
 from parcelmint.llm.vptree import op2_nearest
+from parcelmint.llm.whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
@@ -29,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_neardup": op8_embedding_neardup,
     "op9_secret_scans": op9_secret_scans,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_whitening": op11_whitening,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": run,
 }
 
@@ -50,11 +54,34 @@ _NEAR = f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, label, embedding::DOUB
 links AS (SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.label = y.label AND x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.93), {_REACH}
 SELECT id AS vec_id, (SELECT count(*) FROM links WHERE links.a = nodes.id) AS n_links, component_id, id = component_id AS kept FROM nodes JOIN least ON least.a = nodes.id"""
 
-_JACCARD = rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+_JACCARD = rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 sets AS (SELECT doc_id AS id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM words),
 nodes AS (SELECT id, len(s) AS n FROM sets), held AS (SELECT id, unnest(s) AS shingle FROM sets),
 common AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM held x JOIN held y ON x.shingle = y.shingle AND x.id <> y.id GROUP BY 1, 2),
 links AS (SELECT a, b FROM common JOIN nodes p ON p.id = a JOIN nodes q ON q.id = b WHERE 100 * c >= 90 * (p.n + q.n - c)), {_REACH}
 SELECT id AS doc_id, n AS n_shingles, component_id FROM nodes JOIN least ON least.a = nodes.id"""
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": _URLS, "op8_embedding_neardup": _NEAR, "op10_ngram_jaccard": _JACCARD}
+#: One round: each part's nearest entry, ties to the lower index, and the floors of the means of those that an entry got.
+_NEAREST = """near{k} AS (SELECT row, p, arg_min(e, dist * 64 + e) AS e, min(dist) AS dist FROM (
+  SELECT row, p, e, (parts.a - b.a) ** 2 + (parts.b - b.b) ** 2 + (parts.c - b.c) ** 2 + (parts.d - b.d) ** 2 AS dist FROM parts JOIN book{k} b USING (p)) GROUP BY row, p)"""
+
+_MEANS = """mean{k} AS (SELECT p, e, {means} FROM parts JOIN near{k} USING (row, p) GROUP BY p, e),
+book{after} AS (SELECT p, e, {entries} FROM book{k} old LEFT JOIN mean{k} new USING (p, e))"""
+
+
+def _codes_sql() -> str:
+    means = ", ".join(f"((sum({c}) - ((sum({c}) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS {c}" for c in "abcd")
+    entries = ", ".join(f"coalesce(new.{c}, old.{c}) AS {c}" for c in "abcd")
+    rounds = ",\n".join([_NEAREST.format(k=k) + (",\n" + _MEANS.format(k=k, after=k + 1, means=means, entries=entries) if k < 2 else "") for k in range(3)])
+    return f"""WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding::DOUBLE[], lambda c: floor(256 * c)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+parts AS MATERIALIZED (SELECT row, p, x[4 * p + 1] AS a, x[4 * p + 2] AS b, x[4 * p + 3] AS c, x[4 * p + 4] AS d FROM kept, range(16) AS t(p)),
+book0 AS (SELECT p, row - 1 AS e, a, b, c, d FROM parts WHERE row <= 64),
+{rounds},
+coded AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM near2 GROUP BY row),
+said AS (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row), said"""
+
+
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": _URLS, "op8_embedding_neardup": _NEAR, "op10_ngram_jaccard": _JACCARD, "op13_vector_codes": _codes_sql()}
