@@ -18,6 +18,7 @@ from parcelmint.llm.stages import run
 from parcelmint.llm.toxicity import op7_toxicity
 from parcelmint.llm.urls import op6_url_filters
 from parcelmint.llm.vptree import op2_nearest
+from parcelmint.llm.warc import op12_warc
 from parcelmint.llm.whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scans": op9_secret_scans,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_whitening": op11_whitening,
+    "op12_warc": op12_warc,
     "op13_vector_codes": op13_vector_codes,
     "pipeline": run,
 }
@@ -84,4 +86,10 @@ said AS (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY p, e)
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row), said"""
 
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": _URLS, "op8_embedding_neardup": _NEAR, "op10_ngram_jaccard": _JACCARD, "op13_vector_codes": _codes_sql()}
+#: Base 32 takes five bits a letter: four letters of five hex digits.
+_WARC = """WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+facts AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS first FROM payloads)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || substr(hex, (5 * (i // 4) + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1]), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact FROM facts"""
+
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": _URLS, "op8_embedding_neardup": _NEAR, "op10_ngram_jaccard": _JACCARD, "op12_warc": _WARC, "op13_vector_codes": _codes_sql()}
