@@ -416,14 +416,3 @@ def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = pages.pasted(_captured(spark, sf_dir, *map(block, (1, 2, 3, 4))), least=1500)
     return found.select("page_id", "place", "title", "price")
-
-
-@query("S09", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS way, CASE page_id % 3 WHEN 0 THEN 'Embedded' WHEN 1 THEN 'Linked product' ELSE 'Near a price' END AS title, page_id % 500 + 10.5 AS price FROM pages")
-def s09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products of pages by the first way that finds any."""
-    k, price = F.col("page_id") % 3, (F.col("page_id") % 500 + 10).cast("string")
-    embedded = F.concat(F.lit('<script id="__NEXT_DATA__">{"props":{"pageProps":{"products":[{"name":"Embedded","price":'), price, F.lit('.5,"store":"s","url":"/p"}]}}}</script>'))
-    linked = F.concat(F.lit('<a href="/produto/1">Linked product</a> <b>'), price, F.lit(",50 €</b>"))
-    near = F.concat(F.lit("<h2>Near a price</h2> "), price, F.lit(",50 €"))
-    found = pages.listed_products(_captured(spark, sf_dir, F.when(k == 0, embedded).when(k == 1, linked).otherwise(near)), "https://k")
-    return found.select("page_id", "way", "title", "price")

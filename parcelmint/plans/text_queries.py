@@ -291,27 +291,6 @@ def x14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.with_product(rows).select("id", F.col("product.family").alias("family"))
 
 
-@query("J8", "SELECT page_id, CAST(1 AS INT) AS pairs FROM pages")
-def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles paired with the price after them, on pages with one title in reach of its price and one out of it."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<h2>A</h2> 100 € <h2>B</h2>"), F.rpad(F.lit(""), 1600, "x"), F.lit(" 250,50 €")).alias("html"))
-    return pages.proximity_pairs(p).groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("pairs"))
-
-
-@query("S11", "SELECT page_id, CAST(1 AS INT) AS cards, page_id % 900 + 100.0::DOUBLE AS euros FROM pages")
-def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards of a retail result page made from a page's id."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('x data-component-type="s-search-result"><h2>iPhone</h2> '), (F.col("page_id") % 900 + 100).cast("string"), F.lit(',00 € data-component-type="s-search-result"><h2>none</h2>')).alias("html"))
-    return pages.cards(p).groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("cards"), F.max("euros").alias("euros"))
-
-
-@query("S03", "SELECT page_id, CAST(1 AS INT) AS results, page_id + 1.0::DOUBLE AS price FROM pages")
-def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a search result's JSON made from a page's id."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('[{"title":"A","price":"'), (F.col("page_id") + 1).cast("string"), F.lit('","desc":"d","pic":"/p"},{"title":"","price":"3","desc":"","pic":""}]')).alias("html"))
-    return pages.search_results(p).groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("results"), F.max("price").alias("price"))
-
-
 @query("C15", "SELECT p_partkey AS id, [93, 88, 91, NULL, NULL][p_partkey % 5 + 1] AS health, [NULL, 120, 45, 88, NULL][p_partkey % 5 + 1] AS cycles FROM part")
 def c15(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = pick(["电池健康93%", "电池 88% 充电 120 次", "battery health: 91%, 45 cycles", "充电88次", "电池健康12%"], F.col("p_partkey") % 5)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parcelmint.operators import evaluate, relational
 from parcelmint.functions.config import Config
-from parcelmint.sources import exports, pages
+from parcelmint.sources import elements, exports, market, pages
 from parcelmint.streaming import ingest
 
 
@@ -29,10 +29,27 @@ def test_products_at_any_place(spark):
     assert pages.products(page(spark, "<html>"), "https://k").count() == 0
 
 
+BLOCK = '<div data-component-type="s-search-result">'
+
+
 def test_cards(spark):
-    html = 'x data-component-type="s-search-result"><h2 class=a><span>iPhone 15</span></h2> 1 250,00 € prime data-component-type="s-search-result" aria-label="Galaxy S24"> <b>799 €</b> data-component-type="s-search-result"><h2>no price</h2>'
-    got = [(r.title, r.euros, r.prime) for r in pages.cards(page(spark, html)).orderBy("place").collect()]
-    assert got[1] == ("Galaxy S24", 799.0, False) and got[0][0] == "iPhone 15" and got[0][2]
+    html = (
+        f'x{BLOCK}<h2 class=a><span>iPhone 15</span></h2> 1 250,00 € prime{BLOCK}<h2 aria-label="Galaxy S24"></h2> <b>799 €</b><a href="/x/dp/B0">{BLOCK}<h2>no price</h2>'
+        f'{BLOCK}<i aria-label="not the heading">5 €</i>{BLOCK}<h2><a href="/gp/1"><b>x</b><span class=c>With a link</span></a></h2> 0 € €1.099,90{BLOCK}<h2><span>four</span></h2> 8 €'
+    )
+    got = [(r.title, r.euros, r.prime, r.url) for r in pages.cards(page(spark, html), "https://a").orderBy("place").collect()]
+    assert got == [("iPhone 15", 1250.0, True, None), ("Galaxy S24", 799.0, False, "https://a/x/dp/B0"), ("With a link", 1099.9, False, "https://a/gp/1")]
+
+
+def test_cards_fall_back_to_headings(spark):
+    spans = "".join(f'<h2 class="h">{a}<span class="x a-text-normal y"> Title {k} </span></h2> {k + 2},50 €' for k, a in enumerate(('<a href="/dp/0">', '<a href="http://b">', "")))
+    html = f"<h2>plain</h2>{BLOCK}<h2><span>no price</span></h2>{spans}"
+    got = [(r.title, r.euros, r.url) for r in pages.cards(page(spark, html), "https://a").orderBy("place").collect()]
+    # the block has a price further down, so it is a card; without a block, headings count
+    assert got == [("no price", 2.5, None)]
+    got = [(r.title, r.euros, r.url) for r in pages.cards(page(spark, spans), "https://a").orderBy("place").collect()]
+    assert got == [("Title 0", 2.5, "https://a/dp/0"), ("Title 1", 3.5, "http://b"), ("Title 2", 4.5, None)]
+    assert pages.cards(page(spark, None), "https://a").collect() == []
 
 
 def test_products_are_not_cut(spark):
@@ -43,11 +60,12 @@ def test_products_are_not_cut(spark):
 
 
 def test_cards_are_counted_after_the_filter(spark):
-    block = ' data-component-type="s-search-result"><h2>'
+    block = f"{BLOCK}<h2><span>"
     for valid in (50, 55):
-        html = "x" + (block + "no price</h2>") * 5 + (block + "</h2> 7 €") * 5 + "".join(f"{block}c{i} x</h2> {i + 1} €" for i in range(valid))
+        html = "x" + (block + "no price</span></h2>") * 5 + (block + "</span></h2> 7 €") * 5 + "".join(f"{block}card {i}</span></h2> {i + 1} €" for i in range(valid))
         got = [(r.place, r.title, r.euros) for r in pages.cards(page(spark, html)).orderBy("place").collect()]
-        assert got == [(i, f"c{i} x", 1.0 + i) for i in range(50)]
+        assert got == [(i, f"card {i}", 1.0 + i) for i in range(50)]
+        assert pages.cards(page(spark, html), most=None).count() == valid
 
 
 def test_proximity_pairs_take_each_price_once(spark):
@@ -56,6 +74,95 @@ def test_proximity_pairs_take_each_price_once(spark):
     assert got == [("A", 100.0), ("D", 300.0)]
 
 
+def test_pairs_count_what_is_kept(spark):
+    bad = "<p>0 €</p>" * 250 + "<p>12.000 €</p>" * 250
+    html = bad + "<h2>A phone</h2> 300 €"
+    assert [(r.title, r.euros) for r in pages.proximity_pairs(page(spark, html)).collect()] == [("A phone", 300.0)]
+    many = "".join(f"<h2>t{k}</h2> {k + 2} €" for k in range(120))
+    assert pages.proximity_pairs(page(spark, many)).count() == 50
+    assert pages.proximity_pairs(page(spark, many), most=None).count() == 100
+    assert pages.proximity_pairs(page(spark, many), most=None, most_titles=None).count() == 120
+
+
+def test_pairs_reach_from_the_title_on(spark):
+    # reach counts from where the title begins, plus its length: 1,500 is within
+    for gap, found in ((1500, 1), (1501, 0)):
+        html = "<h2>Title</h2>" + "x" * (gap - len("<h2></h2>")) + "200 €"
+        assert pages.proximity_pairs(page(spark, html)).count() == found
+    # a price inside the title's element counts
+    inside = '<h2 class="9 €">Title</h2>'
+    assert [r.euros for r in pages.proximity_pairs(page(spark, inside)).collect()] == [9.0]
+
+
+def test_many_titles_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        html = "".join(f"<h2>t{k}</h2> {k % 900 + 2} €" for k in range(n))
+        began = time.process_time()
+        assert len(list(pages.merged(pages.headings(html), pages.amounts_in(html, None), 1500, None))) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_third_way_of_products(spark):
+    html = '<h3>Short</h3><a href="/x">Pesquisa avançada</a><h2>A product title</h2> 1 € 20,50 €<a class=b href="/y">Another title</a> 30 €<a href="javascript:0">Third title</a> 40 €'
+    got = [(r.title, r.price, r.url, r.store, r.way) for r in pages.listed_products(page(spark, html), "https://k").orderBy("place").collect()]
+    assert got == [("A product title", 20.5, None, "Loja", 3), ("Another title", 30.0, "https://k/y", "Loja", 3), ("Third title", 40.0, None, "Loja", 3)]
+    assert pages.listed_products(page(spark, None), "https://k").collect() == []
+
+
+def test_trees(spark):
+    html = '<ul class="a"><li>one<li>two <b>bold</b> &amp; more<br></ul></i><script>if (a < b) {}</script><p>un<em>closed'
+    row = elements.trees(page(spark, html)).first()
+    assert row.text == "onetwo bold & moreif (a < b) {}unclosed"
+    got = [(n.tag, n.parent, n.last, row.text[n.begin : n.end], list(n.path)) for n in row.nodes]
+    assert got == [
+        ("ul", -1, 4, "onetwo bold & more", []), ("li", 0, 1, "one", [0]), ("li", 0, 4, "two bold & more", [0]), ("b", 2, 3, "bold", [2, 0]), ("br", 2, 4, "", [2, 0]),
+        ("script", -1, 5, "if (a < b) {}", []), ("p", -1, 7, "unclosed", []), ("em", 6, 7, "closed", [6]),
+    ]
+    assert [list(n.own) for n in row.nodes][2] == [3, 7, 11, 18]
+    assert elements.trees(page(spark, None)).first().nodes == []
+
+
+def listing(n, price, title=None):
+    return f'<div class="c"><a href="/item/{n}"><b><i class="main-title">{title or f"Title {n}"}</i></b>{price}<img data-src="/p{n}"></a></div>'
+
+
+def price(text):
+    return f'<u class="row3-wrap-price">{text}</u>'
+
+
+def test_cards_by_tree(spark):
+    whole = listing(1, price("<s>¥3,799</s><s>17人想要</s>")) + listing(2, price("¥26.50<q>54人想要</q>")) + listing(3, price("¥2千")) + listing(4, price("只要 <s>面议</s> ¥880"))
+    got = [(r.place, r.title, r.price, r.picture, r.href) for r in market.cards(page(spark, f"<main>{whole}</main>"), "https://m").orderBy("place").collect()]
+    assert got == [(0, "Title 1", 3799, "/p1", "https://m/item/1"), (1, "Title 3", 2000, "/p3", "https://m/item/3"), (2, "Title 4", 880, "/p4", "https://m/item/4")]
+    # numbers differ: every title takes the price of its own card, and one without a price takes none
+    fewer = listing(1, price("¥100")) + listing(2, "") + listing(3, price("¥300"))
+    assert [(r.title, r.price) for r in market.cards(page(spark, f"<main>{fewer}</main>"), "").orderBy("place").collect()] == [("Title 1", 100), ("Title 3", 300)]
+    # equal numbers, a price without sense: it is not looked for in another card
+    odd = listing(1, price("¥2019年")) + listing(2, price("¥70"))
+    assert [(r.title, r.price) for r in market.cards(page(spark, f"<main>{odd}</main>"), "").collect()] == [("Title 2", 70)]
+    # more than six elements up is too far
+    far = f'<div>{"<p><span>" * 4}<i class="main-title">Far</i>{"</span></p>" * 4}{price("¥99")}{price("x")}</div>'
+    assert market.cards(page(spark, far), "").collect() == []
+    assert [r.price for r in market.cards(page(spark, f"<main>{fewer}</main>"), "", least=150, most=400).collect()] == [300]
+    assert market.cards(page(spark, "<p>猜你喜欢</p>" + whole), "").collect() == [] and market.cards(page(spark, None), "").collect() == []
+
+
+def test_details(spark):
+    html = (
+        '<span class="item-user-info-label">x</span><span class="item-user-info-label">好评率 97%</span><ul><li class="item-main-window-list-item"><img src="//a/1"></li><li class="item-main-window-list-item"><i></i></li></ul>'
+        '<div class="desc">short</div><div class="main-desc">the  longest\n text</div><div class="params">品牌 x</div><div class="spec">版本 国行</div>'
+    )
+    r = market.details(page(spark, html)).first()
+    assert (r.rating, r.images, r.pictures, r.description, r.labels) == (97, 2, ["https://a/1"], "the longest text", "版本 国行")
+    r = market.details(page(spark, "<p>nothing</p>")).first()
+    assert (r.rating, r.images, r.pictures, r.description, r.labels) == (None, 0, None, None, None)
+    assert market.details(page(spark, None)).first().images == 0
+
+
 def test_zip_needs_equal_numbers(spark):
     row = spark.range(1).select(pages.zipped(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("1"), F.lit("2"))).alias("x"), pages.zipped(F.array(F.lit("a")), F.array(F.lit("1"), F.lit("2"))).alias("y")).first()
     assert [tuple(p) for p in row.x] == [("a", "1"), ("b", "2")] and row.y == []
