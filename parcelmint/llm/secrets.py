@@ -11,7 +11,7 @@ Case is folded in the index (A-Z and a-z are one there), which can only add cand
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser
@@ -127,20 +127,56 @@ def candidates(postings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return per_doc.select("doc_id", F.array_compact(F.array(*fits)).alias("rules")).where("size(rules) > 0")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Elements of a run and levels of runs in running(): work grows with the elements up to RUN ** (LEVELS + 1) of them.
+RUN, LEVELS = 64, 3
+
+
+def running(values: Column, first: Column, combine: Callable[[Column, Column], Column], levels: int = LEVELS) -> Column:
+    """For each of an array's values, the combination of first and all values before it, in order.
+
+    An array that grows by one is copied each time, so it is made in short runs: the runs' own combinations are
+    treated in the same way, which tells where each run begins.
+    """
+
+    def fold(run: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.slice(run, 1, 0).alias("out"))
+        return F.aggregate(run, zero, lambda s, v: F.struct(combine(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    if levels == 0:
+        return fold(values, first)
+
+    def runs(v: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(v) / RUN) - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.slice(v, (i * RUN + 1).cast("int"), F.lit(RUN)))
+
+    def joined(cut: Column) -> Column:
+        begins = running(F.transform(cut, lambda r: F.aggregate(F.slice(r, 2, RUN), F.get(r, F.lit(0)), combine)), first, combine, levels - 1)
+        return F.flatten(F.zip_with(cut, begins, fold))
+
+    return let(let(values, runs), joined)
+
+
+_SPAN = "array<struct<start:bigint,end:bigint,order:int,kind:string>>"
+
+
 def _spans(rule: Rule, order: int) -> Column:
     """The rule's spans in the column text: array of (start, end, order, kind), in code points."""
     whole, piece = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)), F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group))
+    lengths = lambda a: F.transform(a, lambda x: F.length(x).cast("long"))
     gaps = F.split("text", rule.pattern, -1)
-    found = F.arrays_zip(F.transform(whole, lambda x: F.length(x).cast("long")).alias("n"), F.transform(piece, lambda x: F.length(x).cast("long")).alias("m"), F.transform(F.slice(gaps, F.lit(1), F.size(whole)), lambda x: F.length(x).cast("long")).alias("gap"))
-    span = "array<struct<start:bigint,end:bigint,order:int,kind:string>>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("out"))
+    found = F.arrays_zip(lengths(whole).alias("n"), lengths(piece).alias("m"), lengths(F.slice(gaps, F.lit(1), F.size(whole))).alias("gap"))
 
-    def step(s: Column, x: Column) -> Column:
-        start, end = s["at"] + x["gap"], s["at"] + x["gap"] + x["n"]
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind")))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.when(x["m"] >= rule.least, one).otherwise(F.array().cast(span))).alias("out"))
+    def spans(found: Column) -> Column:
+        before = running(F.transform(found, lambda x: x["gap"] + x["n"]), F.lit(0).cast("long"), lambda a, x: a + x)
+        placed = F.zip_with(found, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), x["m"].alias("m")))
+        return F.transform(F.filter(placed, lambda x: x["m"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["order"].alias("order"), x["kind"].alias("kind")))
 
-    return F.when(F.rlike("text", F.lit(rule.pattern)), F.aggregate(found, zero, step, lambda s: s["out"])).otherwise(F.array().cast(span))
+    return F.when(F.rlike("text", F.lit(rule.pattern)), let(found, spans)).otherwise(F.array().cast(_SPAN))
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -162,21 +198,36 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     for order, rule in enumerate(rules):
         spans = _spans(rule, order)
         if queries[rule.kind] is not None:
-            spans = F.when(F.col("doc_id").isNull() | F.coalesce(F.array_contains("hit_rules__", rule.kind), F.lit(False)), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,order:int,kind:string>>"))
+            spans = F.when(F.col("doc_id").isNull() | F.coalesce(F.array_contains("hit_rules__", rule.kind), F.lit(False)), spans).otherwise(F.array().cast(_SPAN))
         found.append(spans)
     return restored(out, spans=F.array_sort(F.concat(*found)))
 
 
+#: Characters of a piece of text that is cut at once.
+_PIECE = 1024
+
+
 def redact(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """The rows of scan() with every span's characters replaced by the mask (overlapping spans by one), without spans."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The rows of scan() with every span's characters replaced by the mask (overlapping spans by one), without spans.
+
+    A character far into a text is reached by counting all before it, so the text is cut into pieces first.
+    """
+
+    def between(pieces: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / _PIECE)
+        some = F.array_join(F.slice(pieces, (first + 1).cast("int"), (F.floor(end / _PIECE) - first + 1).cast("int")), "")
+        return F.substring(some, (start - first * _PIECE + 1).cast("int"), (end - start).cast("int"))
+
+    def masked(pieces: Column) -> Column:
+        def cut(reached: Column) -> Column:
+            gap = lambda x, at: F.when(x["start"] >= at, F.concat(between(pieces, at, x["start"]), F.lit(mask))).otherwise(F.lit(""))
+            return F.array_join(F.zip_with("spans", reached, gap), "")
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.when(x["start"] >= s["at"], F.concat(F.substring("text", (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap).alias("out"))
+        reached = running(F.transform("spans", lambda x: x["end"]), F.lit(0).cast("long"), lambda a, x: F.greatest(a, x))
+        return F.concat(let(reached, cut), between(pieces, F.array_max(F.transform("spans", lambda x: x["end"])), F.length("text").cast("long")))
 
-    masked = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring("text", (s["at"] + 1).cast("int"), F.length("text"))))
-    return scanned.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text"))).drop("spans")
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    return scanned.withColumn("text", F.when(F.size("spans") > 0, let(pieces, masked)).otherwise(F.col("text"))).drop("spans")
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
