@@ -60,8 +60,13 @@ def directions(dims: int, projections: int) -> np.ndarray:
     return np.random.default_rng(29).normal(size=(dims, projections))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors (the last axis) by powers of two, which round nothing, so that their squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
 def _vectors(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
-    return [np.asarray(v, float) for v in column.to_pylist()]
+    return [_scaled(np.asarray(v, float)) for v in column.to_pylist()]
 
 
 def _first_projection(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,6 +103,7 @@ def _pairs_of_blocks(cosine: float, counting: Counting) -> Callable:
         order = np.lexsort((ids, block))
         ids, copies, block = ids[order], copies[order], block[order]
         x = np.array(part.column("vector").combine_chunks().flatten()).reshape(len(part), -1)[order]
+        x = _scaled(x)
         norm = np.sqrt((x * x).sum(1))
         inner = part.column("one")[0].as_py() == part.column("other")[0].as_py()
         cut = 0 if inner else int(np.searchsorted(block, block[-1]))

@@ -115,14 +115,19 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     by_point = np.argsort(same.ravel(), kind="stable")
     starts = np.searchsorted(same.ravel()[by_point], np.arange(len(one) + 1))
     distinct = vectors[one]
-    square = (distinct * distinct).sum(1)
+    # powers of two round nothing: squares of the shard's largest component, and of a query's far from it, neither overflow nor vanish
+    size = lambda x: np.frexp(np.abs(x).max(-1, keepdims=True))[1]
+    of_shard, of_query = int(size(distinct).max()), size(queries)
+    scaled, aim = np.ldexp(distinct, -of_shard), np.ldexp(queries, -np.where(np.abs(of_query - of_shard) <= 64, of_shard, of_query))
+    square = (scaled * scaled).sum(1)
     top = square.max()
-    points = np.column_stack([distinct, np.sqrt(np.maximum(top - square, 0))])
-    asked = np.column_stack([queries, np.zeros(len(queries))])
+    points = np.column_stack([scaled, np.sqrt(np.maximum(top - square, 0))])
+    asked = np.column_stack([aim, np.zeros(len(queries))])
     # a distance is the root of a difference of squares: what rounding adds to it near 0 is the root of that of the squares
-    slack = 1e-7 * float(np.sqrt(top + (queries * queries).sum(1).max()))
+    slack = 1e-7 * float(np.sqrt(top + (aim * aim).sum(1).max()))
     q, p, compared = VpTree(points, leaf, np.random.default_rng(1)).search(asked, k + 1, factor, slack)
-    score = np.concatenate([np.zeros(0), *((distinct[p[a : a + 65_536]] * queries[q[a : a + 65_536]]).sum(1) for a in range(0, len(p), 65_536))])
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = np.concatenate([np.zeros(0), *((distinct[p[a : a + 65_536]] * queries[q[a : a + 65_536]]).sum(1) for a in range(0, len(p), 65_536))])
     copies = np.minimum(starts[p + 1] - starts[p], k + 1)
     at = np.repeat(starts[p], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
     q, score, vec = np.repeat(q, copies), np.repeat(score, copies), ids[by_point[at]]
@@ -154,16 +159,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = F
 
     score is the inner product in double precision, the nearest has the largest, ties go to the smaller id; the
     query itself is no candidate, its copies are. Vectors of other lengths than the query's are no candidates.
+    Products beyond a double are infinite, or NaN where both signs are; NaN comes last.
     """
-    vectors = durable(vectors.withColumn("dims", F.size("vector")))
-    n, queries = vectors.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
+    vectors = durable(vectors.select("id", "vector", F.size("vector").alias("dims"), is_query.alias("asked")))
+    n, queries = vectors.agg(F.count(F.lit(1)), F.count_if("asked")).first()
+    # columns of their own on each side, or the two sides of a cogroup could be taken for one another
+    asked, vectors = (df.select(*[F.col(c).alias(c) for c in ("id", "vector", "dims")]) for df in (vectors.where("asked"), vectors))
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-queries // query_rows))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.withColumn("shard", F.pmod(F.xxhash64(F.lit(41), "id"), F.lit(shards)).cast("int")).withColumn("block", each(blocks))
-    right = vectors.where(is_query).withColumn("block", F.pmod(F.xxhash64(F.lit(42), "id"), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
+    right = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(42), "id"), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
     key = ["dims", "shard", "block"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_searcher(k, factor, leaf), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
