@@ -1,10 +1,12 @@
 """Golden cases for what is read from texts, and for prices and risk."""
 
+import random
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from parcelmint.functions import conditions, config, matching, prices, pricing, relevance, risk, titles
+from parcelmint.functions import conditions, config, folds, matching, prices, pricing, relevance, risk, titles
 from parcelmint.operators import analytics
 from parcelmint.plans import condition_queries
 
@@ -113,3 +115,14 @@ def test_exact_medians(spark):
     rows = [("a", x) for x in (5.0, 1.25, 1.5, 900.0)] + [("b", 7.5)] * 9 + [("c", None), (None, 2.0), (None, 4.0), ("d", -3.5), ("d", -1.0), ("d", None)]
     got = {r.k: r.median for r in analytics.exact_medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
     assert got == {"a": 3.25, "b": 7.5, None: 3.0, "d": -2.25}
+
+
+def test_running(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 63, 64, 65, 4096, 5000):
+        values = [rng.randrange(-50, 50) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<bigint>")
+        zero, low = F.lit(0).cast("long"), F.lit(-1000).cast("long")
+        row = df.select(folds.running(F.col("v"), zero, lambda a, x: a + x).alias("sums"), folds.running(F.col("v"), low, lambda a, x: F.greatest(a, x), levels=1).alias("most")).first()
+        assert row.sums == [sum(values[:k]) for k in range(n)]
+        assert row.most == [max([-1000, *values[:k]]) for k in range(n)]
