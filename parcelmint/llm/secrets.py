@@ -11,7 +11,7 @@ Case is folded in the index (A-Z and a-z are one there), which can only add cand
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser
@@ -19,6 +19,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelmint.functions.folds import let, running
 from parcelmint.llm.common import durable, small, table, veiled
 
 
@@ -127,40 +128,6 @@ def candidates(postings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return per_doc.select("doc_id", F.array_compact(F.array(*fits)).alias("rules")).where("size(rules) > 0")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value is worked out once however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-#: Elements of a run and levels of runs in running(): work grows with the elements up to RUN ** (LEVELS + 1) of them.
-RUN, LEVELS = 64, 3
-
-
-def running(values: Column, first: Column, combine: Callable[[Column, Column], Column], levels: int = LEVELS) -> Column:
-    """For each of an array's values, the combination of first and all values before it, in order.
-
-    An array that grows by one is copied each time, so it is made in short runs: the runs' own combinations are
-    treated in the same way, which tells where each run begins.
-    """
-
-    def fold(run: Column, start: Column) -> Column:
-        zero = F.struct(start.alias("at"), F.slice(run, 1, 0).alias("out"))
-        return F.aggregate(run, zero, lambda s, v: F.struct(combine(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
-
-    if levels == 0:
-        return fold(values, first)
-
-    def runs(v: Column) -> Column:
-        last = F.greatest(F.ceil(F.size(v) / RUN) - 1, F.lit(0))
-        return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.slice(v, (i * RUN + 1).cast("int"), F.lit(RUN)))
-
-    def joined(cut: Column) -> Column:
-        begins = running(F.transform(cut, lambda r: F.aggregate(F.slice(r, 2, RUN), F.get(r, F.lit(0)), combine)), first, combine, levels - 1)
-        return F.flatten(F.zip_with(cut, begins, fold))
-
-    return let(let(values, runs), joined)
-
-
 _SPAN = "array<struct<start:bigint,end:bigint,order:int,kind:string>>"
 
 

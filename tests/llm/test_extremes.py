@@ -1,6 +1,5 @@
-"""Vectors of extreme size, texts with very many secrets, sums in runs."""
+"""Vectors of extreme size, and texts with very many secrets."""
 
-import random
 import time
 
 import pytest
@@ -10,17 +9,6 @@ from parcelmint.llm import neardup, secrets, vptree
 from tests.llm.test_operators import base_spans
 
 
-def test_running(spark):
-    rng = random.Random(3)
-    for n in (0, 1, 63, 64, 65, 4096, 5000):
-        values = [rng.randrange(-50, 50) for _ in range(n)]
-        df = spark.createDataFrame([(values,)], "v array<bigint>")
-        zero, low = F.lit(0).cast("long"), F.lit(-1000).cast("long")
-        row = df.select(secrets.running(F.col("v"), zero, lambda a, x: a + x).alias("sums"), secrets.running(F.col("v"), low, lambda a, x: F.greatest(a, x), levels=1).alias("most")).first()
-        assert row.sums == [sum(values[:k]) for k in range(n)]
-        assert row.most == [max([-1000, *values[:k]]) for k in range(n)]
-
-
 def many(n):
     return "".join(f"x{'é' * (k % 7)} token={'a1' * 5}{k} {'password: short' if k % 5 == 0 else 'AKIA' + 'Z' * 14}\n" for k in range(n // 2))
 
