@@ -20,13 +20,17 @@ def hourly(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.window("seen", "1 hour"), "source").agg(F.count(F.lit(1)).alias("n"), F.avg("price").alias("mean"))
 
 
-def write_once(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes each batch to a folder of its own, so a batch that runs again replaces itself."""
+def write_once(rows: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Writes each batch to a folder of its own, so a batch that runs again replaces itself; every: how often, None for what there is and no more.
+
+    State that goes by the clock needs an interval: there is always another batch to come.
+    """
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
