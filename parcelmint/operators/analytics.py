@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelmint.functions.compat import js_round
+from parcelmint.operators.folders import work_folder
 
 CONDITION_ORDER = ["new", "open_box", "excellent", "very_good", "good", "fair", "unknown"]
 
@@ -15,15 +18,26 @@ def floor_price(category: Column) -> Column:
     return F.when(category == "macbook", 2000).when(category == "ipad", 800).when(category == "ps5", 1000).otherwise(500)
 
 
-def exact_medians(rows: DataFrame, by: list[str], value: str, rounding: str = "none") -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
+    """df written in the shared folder and read again: what several reports are made from is worked out once, and outlives lost executors."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exact_medians(rows: DataFrame, by: list[str], value: str, rounding: str = "none", weight: str | None = None) -> DataFrame:
     """(by, median): the exact median of a group's values, nulls left out, with no group in one task.
 
-    Equal values are counted first, then counts are summed over ranges of one unit, which are few; the middle of a
-    group lies in one or two of them, and only those are sorted. Groups without a value are left out. rounding: as of
-    compat.median().
+    Equal values are counted first, then counts are summed over ranges, some thousands for the whole spread of values;
+    the middle of a group lies in one or two of them, and only those are sorted. Groups without a value are left out.
+    rounding: as of compat.median(). weight: how often a row counts; rows are then taken as counted by value already.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("value_")).agg(F.count(F.lit(1)).alias("n_"))
-    counts = counts.withColumn("range_", F.floor("value_"))
+    rows = rows.where(F.col(value).isNotNull())
+    counts = rows.select(*by, F.col(value).cast("double").alias("value_"), F.col(weight).alias("n_")) if weight else rows.groupBy(*by, F.col(value).cast("double").alias("value_")).agg(F.count(F.lit(1)).alias("n_"))
+    # ranges of one unit, wider where values spread far, narrower where all lie within a few units
+    spread = counts.agg(F.max("value_") - F.min("value_")).first()[0] if weight else None
+    width = 1.0 if spread is None or 16 <= spread <= 65_536 else 2.0 ** math.ceil(math.log2(max(spread, 1e-9) / 4096))
+    counts = counts.withColumn("range_", F.floor(F.col("value_") / width))
     ranges = counts.groupBy(*by, "range_").agg(F.sum("n_").alias("n_"))
     ordered = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before_", F.coalesce(F.sum("n_").over(ordered), F.lit(0))).withColumn("all_", F.sum("n_").over(Window.partitionBy(*by)))
@@ -47,12 +61,13 @@ def exact_medians(rows: DataFrame, by: list[str], value: str, rounding: str = "n
 def heatmap(rows: DataFrame) -> DataFrame:
     """(family, condition, median_profit, n, mean_margin, least, most): all conditions for every family; least and most of all medians.
 
-    One aggregation by family and condition, and exact medians; the grid is made from their result, a row for each
-    family, not from a join of the input.
+    Rows are counted once by family, condition and profit; cells and exact medians are made from the counts, and the
+    grid from the cells, a row for each family, not from a join of the input.
     """
     by = ["family", "condition"]
-    cells = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("margin").alias("mean_margin"))
-    medians = exact_medians(rows, by, "profit").select(*[F.col(c).alias(f"{c}_") for c in by], F.col("median").alias("median_profit"))
+    counted = stored(rows.groupBy(*by, "profit").agg(F.count(F.lit(1)).alias("n"), F.sum("margin").alias("margins"), F.count("margin").alias("known")))
+    cells = counted.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("margins") / F.nullif(F.sum("known"), F.lit(0))).alias("mean_margin"))
+    medians = exact_medians(counted, by, "profit", weight="n").select(*[F.col(c).alias(f"{c}_") for c in by], F.col("median").alias("median_profit"))
     cells = cells.join(medians, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in by], "left")
     by_family = cells.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("condition", F.struct("median_profit", "n", "mean_margin")))).alias("cells"))
     grid = by_family.select("family", "cells", F.explode(F.array(*map(F.lit, CONDITION_ORDER))).alias("condition")).withColumn("cell", F.try_element_at("cells", F.col("condition")))
@@ -66,12 +81,16 @@ def profit_bucket(x: Column) -> Column:
 
 
 def market_preview(offers: DataFrame) -> DataFrame:
-    """(source, n, mean, median, least, most) for each platform and for new and used, over distinct (platform, title, euros)."""
-    distinct = offers.select("platform", "title", "euros").distinct()
+    """(source, n, mean, median, least, most) for each platform and for new and used, over distinct (platform, title, euros).
+
+    Offers are counted once by platform and price; both kinds of sources are sums of these counts.
+    """
+    counted = stored(offers.select("platform", "title", "euros").distinct().groupBy("platform", "euros").agg(F.count(F.lit(1)).alias("n")))
     side = F.when(F.col("platform").isin("kuantokusta", "amazon"), "new").otherwise("used")
-    sides = distinct.select("euros", F.explode(F.array(F.col("platform"), side)).alias("source"))
-    facts = sides.groupBy("source").agg(F.count(F.lit(1)).alias("n"), js_round(F.avg("euros")).alias("mean"), F.min("euros").alias("least"), F.max("euros").alias("most"))
-    medians = exact_medians(sides, ["source"], "euros", "even").withColumnRenamed("source", "source_")
+    sides = counted.select("euros", "n", F.explode(F.array(F.col("platform"), side)).alias("source")).groupBy("source", "euros").agg(F.sum("n").alias("n"))
+    mean = F.sum(F.col("euros") * F.col("n")) / F.nullif(F.sum(F.when(F.col("euros").isNotNull(), F.col("n"))), F.lit(0))
+    facts = sides.groupBy("source").agg(F.sum("n").alias("n"), js_round(mean).alias("mean"), F.min("euros").alias("least"), F.max("euros").alias("most"))
+    medians = exact_medians(sides, ["source"], "euros", "even", weight="n").withColumnRenamed("source", "source_")
     return facts.join(medians, F.col("source").eqNullSafe(F.col("source_")), "left").select("source", "n", "mean", "median", "least", "most")
 
 

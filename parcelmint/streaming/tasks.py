@@ -6,8 +6,6 @@ against them, restarts included.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -15,6 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from parcelmint.operators.folders import work_folder
 from parcelmint.operators.tasks import ENDED, OPENING, move
 from parcelmint.streaming import ingest
 
@@ -32,16 +31,6 @@ def with_states(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        local = spark.sparkContext.master.startswith("local")
-        shared = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared}/parcelmint/{uuid.uuid4().hex}"
-
-
 def _in_micros(rows: DataFrame) -> DataFrame:
     """rows with at as a number, which state holds and compares alike whatever the session's time zone is."""
     return rows.withColumn("micros", F.unix_micros("at"))
