@@ -56,3 +56,25 @@ def absolute(url: Column, base: str) -> Column:
 def search_url(base: Column, query: Column, page: Column) -> Column:
     """A search address; spaces are %20, the page is named from the second on."""
     return F.concat(base, F.lit("?q="), F.regexp_replace(F.url_encode(query), r"\+", "%20"), F.when(page > 1, F.concat(F.lit("&page="), page.cast("string"))).otherwise(F.lit("")))
+
+
+def _encoded(query: Column) -> Column:
+    return F.regexp_replace(F.url_encode(query), r"\+", "%20")
+
+
+#: How each site's search is asked: what comes before the query, whether the query is a slug, and what names a later page.
+SEARCHES = {"olx": (True, "/?page="), "vinted": (False, "&page="), "kuantokusta": (False, "&page="), "amazon": (False, "&page=")}
+
+
+def site_search_url(site: str, start: str, query: Column, page: Column) -> Column:
+    """The address of a page of a site's search; start: the address up to the query. A slug is in lower case with hyphens for spaces, else the query is percent-encoded."""
+    slug, more = SEARCHES[site]
+    said = F.regexp_replace(F.lower(query), f"[{SPACES}]+", "-") if slug else _encoded(query)
+    later = F.concat(F.lit(more), page.cast("string"))
+    return F.concat(F.lit(start), said, F.when(page > 1, later).otherwise(F.lit("/" if slug else "")))
+
+
+def source_search_url(start: str, query: Column, least: Column, most: Column) -> Column:
+    """The address of the source's search for a query in its own words, with bounds of prices where they are above 0."""
+    bound = lambda x, a, b: F.when(x > 0, F.concat(F.lit(f"&{a}="), x.cast("string"), F.lit(f"&{b}="), x.cast("string"))).otherwise(F.lit(""))
+    return F.concat(F.lit(start), _encoded(query), F.lit("&spm=a21ybx.search.searchInput.0"), bound(least, "minPrice", "startPrice"), bound(most, "maxPrice", "endPrice"))

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from parcelmint.plans import condition_queries, desk_queries, history_queries, margin_queries, page_queries, task_queries, text_queries  # noqa: E402, F401
+from parcelmint.plans import condition_queries, desk_queries, history_queries, margin_queries, page_queries, shown_queries, task_queries, text_queries  # noqa: E402, F401

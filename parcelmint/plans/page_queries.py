@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelmint.plans.bindings import pick, table
 from parcelmint.plans.catalog import query
-from parcelmint.sources import market, pages
+from parcelmint.sources import goods, market, pages
 
 
 def _id() -> Column:
@@ -154,3 +154,83 @@ def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = captured(spark, sf_dir, rating, F.when(_id() % 3 == 0, listed).when(_id() % 3 == 1, framed).otherwise(hosted), described, labels)
     found = market.details(html)
     return found.withColumn("pictures", F.concat(F.lit("["), F.concat_ws(", ", "pictures"), F.lit("]"))).withColumn("pictures", F.when(F.col("pictures") != "[]", F.col("pictures")))
+
+
+def _unlike(name: Column | str) -> Column:
+    """An element of text without marks around it, as cards hold it."""
+    return _say("<div><span>", name, "</span></div>")
+
+
+@query(
+    "S07",
+    """WITH rows AS (SELECT page_id, n FROM pages, range(4) t(n) WHERE n <> 1)
+    SELECT page_id, CAST(n - CASE WHEN n > 1 THEN 1 ELSE 0 END AS INT) AS place, ['iPhone ' || page_id || ' Pro', NULL, 'Galaxy S24 Ultra', 'Outro'][n + 1] AS title, [1000.5 + page_id % 900, NULL, page_id % 90 + 10, 7][n + 1]::DOUBLE AS euros,
+      CASE n WHEN 0 THEN 'good' WHEN 2 THEN ['new', 'excellent'][page_id % 2 + 1] ELSE 'very_good' END AS condition, CASE n WHEN 0 THEN 'Vila ' || chr(65 + (page_id % 26)::INT) || ' -' WHEN 2 THEN 'Porto' ELSE 'Portugal' END AS location,
+      CASE n WHEN 0 THEN 'https://o/d/anuncio/' || page_id WHEN 2 THEN 'https://o/any' END AS url FROM rows""",
+)
+def s07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of a used-goods site: price, condition and place from their text, one card without a price between them."""
+    card = lambda *parts: _say('<div data-cy="l-card">', *parts, "</div>")
+    thousands = F.lpad((_id() % 900).cast("string"), 3, "0")
+    letter = F.char(F.lit(65) + _id() % 26)
+    blocks = [
+        card('<a href="/x"></a><a href="/d/anuncio/', _id(), '"><h4>iPhone ', _id(), " Pro</h4></a>", _unlike(_say("1.", thousands, ",50 €")), " Usado Vila ", letter, " - 12 de maio"),
+        card("<h6>No price</h6> Novo"),
+        card('<a href="/any">x</a><h6> Galaxy S24 Ultra </h6>', _unlike(_say(_id() % 90 + 10, " €")), F.when(_id() % 2 == 0, "Novo").otherwise("Como novo"), " Porto 3 de maio"),
+        card("<h4>Outro</h4>7 €"),
+    ]
+    return goods.used_goods(captured(spark, sf_dir, *blocks), goods.OLX, "https://o").drop("brand")
+
+
+@query(
+    "S08",
+    """SELECT page_id, CAST(n AS INT) AS place, CASE n WHEN 0 THEN 'Samsung ' || page_id || ' x' ELSE 'sem título ' || page_id || ' por 20 €' END AS title, CASE n WHEN 0 THEN page_id % 500 + 1.0 ELSE 20.0 END AS euros, CASE n WHEN 0 THEN 'good' ELSE 'very_good' END AS condition,
+      CASE n WHEN 0 THEN 'Samsung' ELSE 'Unknown' END AS brand, CASE n WHEN 0 THEN 'https://v/items/' || page_id END AS url FROM pages, range(2) t(n)""",
+)
+def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of the other used-goods site, told by the first of five rules that any element fits; one without a title is named by its text."""
+    rule = pick(['class="x feed-grid__item y"', 'class="a-ItemBox"', 'class="item-box__z"', 'data-testid="catalog-item"', 'class="u-word-break"'], _id() % 5)
+    later = F.when(_id() % 5 < 4, '<div class="u-word-break"><h3>later rule</h3>9 €</div>').otherwise("")
+    one = _say("<div ", rule, '><p class="t-title"> Samsung ', _id(), " x</p><b>", _id() % 500 + 1, ' €</b> Bom estado<a href="/items/', _id(), '"></a></div>')
+    two = _say("<div ", rule, "><i>sem título ", _id(), "</i> por 20 €</div>")
+    return goods.used_goods(captured(spark, sf_dir, later, one, two), goods.VINTED, "https://v").drop("location")
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four pages a scan."""
+    return table(spark, sf_dir, "pages").select("page_id", F.floor(_id() / 4).alias("scan"), (_id() % 4 + 1).alias("round"))
+
+
+#: Three products on each page; titles come again on later pages, and pages 3 of every third scan bring nothing new.
+_FOUND = """WITH items AS (SELECT page_id // 4 AS scan, page_id % 4 + 1 AS round, n, CASE WHEN n = 2 THEN 'Capa iPhone 15 Pro ' || page_id ELSE 'iPhone 15 Pro loja ' || CASE WHEN page_id // 4 % 3 = 0 AND page_id % 4 = 2 THEN 0 ELSE (page_id % 4 * 2 + n) // 2 * 2 + n END END AS title,
+    CASE WHEN n = 1 AND page_id % 5 = 0 THEN 50 ELSE 500 + page_id % 100 END + 0.5 AS euros, page_id FROM pages, range(3) t(n) WHERE {where}),
+  first AS (SELECT * FROM items WHERE n < 2 AND euros >= 100 QUALIFY row_number() OVER (PARTITION BY scan, title ORDER BY round, n) = 1),
+  ended AS (SELECT page_id // 4 AS scan, min(page_id % 4 + 1) AS round FROM pages WHERE NOT EXISTS (SELECT 1 FROM first WHERE first.page_id = pages.page_id) GROUP BY 1)
+  SELECT first.scan, '{name}-live-' || (row_number() OVER (PARTITION BY first.scan ORDER BY first.round, n) - 1) AS offer, title, euros, {more} 'new' AS condition, true AS retail FROM first LEFT JOIN ended ON ended.scan = first.scan WHERE ended.round IS NULL OR first.round < ended.round"""
+
+
+def _product(n: int) -> tuple[Column, Column]:
+    shown = _id() % 4 * 2 + n
+    number = F.when((F.floor(_id() / 4) % 3 == 0) & (_id() % 4 == 2), 0).otherwise(F.floor(shown / 2) * 2 + n)
+    title = _say("Capa iPhone 15 Pro ", _id()) if n == 2 else _say("iPhone 15 Pro loja ", number)
+    return title, (F.when(_id() % 5 == 0, 50).otherwise(500 + _id() % 100) if n == 1 else 500 + _id() % 100)
+
+
+@query("S10", _FOUND.format(where="true", name="kuantokusta", more="'s' || n AS vendor,"))
+def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New devices of a price comparison, from each scan's pages: first titles, no accessories, until a page brings nothing new."""
+    item = lambda n: _say('{"name":"', _product(n)[0], '","price":', _product(n)[1], f'.5,"store":"s{n}","url":"/p"}}')
+    embedded = F.concat(F.lit('<script id="__NEXT_DATA__">{"props":{"pageProps":{"products":['), F.concat_ws(",", *map(item, range(3))), F.lit("]}}}</script>"))
+    rows = pages.listed_products(captured(spark, sf_dir, embedded), "https://k").withColumnRenamed("price", "euros").drop("way", "url")
+    found = goods.retail_offers(_scans(spark, sf_dir), rows, "iPhone 15 Pro", "kuantokusta", F.col("store"))
+    return found.drop("store")
+
+
+@query("S12", _FOUND.format(where="page_id % 8 <> 5", name="amazon", more="CASE WHEN n = 0 THEN 'Amazon Prime' ELSE 'Amazon' END AS vendor,"))
+def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New devices of a shop, from pages of which some hold a check for robots instead of results."""
+    block = lambda n: _say('<div data-component-type="s-search-result"><h2><span>', _product(n)[0], "</span></h2>", _product(n)[1], ",50 €", " prime" if n == 0 else "", "</div>")
+    html = captured(spark, sf_dir, F.when(_id() % 8 == 5, "<p>Robot Check: enter the characters</p>").otherwise(""), *map(block, range(3)))
+    rows = pages.cards(html.where(~goods.looks_blocked(F.col("html"))), "https://a")
+    found = goods.retail_offers(_scans(spark, sf_dir), rows, "iPhone 15 Pro", "amazon", F.when(F.col("prime"), "Amazon Prime").otherwise("Amazon"))
+    return found.drop("prime", "url")

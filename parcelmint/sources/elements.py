@@ -18,9 +18,9 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 ENDS_LIKE = frozenset("p li option tr td th dt dd".split())
 
 _NODE = pa.struct(
-    [(c, pa.int32()) for c in ("element", "parent", "last", "begin", "end")] + [(c, pa.string()) for c in ("tag", "class", "href", "src")] + [("path", pa.list_(pa.int32())), ("own", pa.list_(pa.int32()))]
+    [(c, pa.int32()) for c in ("element", "parent", "last", "begin", "end")] + [(c, pa.string()) for c in ("tag", "class", "href", "src", "data")] + [("path", pa.list_(pa.int32())), ("own", pa.list_(pa.int32()))]
 )
-_KIND = "array<struct<element:int,parent:int,last:int,begin:int,end:int,tag:string,class:string,href:string,src:string,path:array<int>,own:array<int>>>"
+_KIND = "array<struct<element:int,parent:int,last:int,begin:int,end:int,tag:string,class:string,href:string,src:string,data:string,path:array<int>,own:array<int>>>"
 
 
 class _Fold(HTMLParser):
@@ -34,7 +34,7 @@ class _Fold(HTMLParser):
         if tag in ENDS_LIKE and self.open and self.nodes[self.open[-1]]["tag"] == tag:
             self._close(1)
         said = dict(reversed(attrs))
-        node = {"element": len(self.nodes), "parent": self.open[-1] if self.open else -1, "tag": tag, "class": said.get("class") or "", "href": said.get("href"), "src": said.get("src") or said.get("data-src")}
+        node = {"element": len(self.nodes), "parent": self.open[-1] if self.open else -1, "tag": tag, "class": said.get("class") or "", "href": said.get("href"), "src": said.get("src") or said.get("data-src"), "data": said.get("data-cy") or said.get("data-testid")}
         self.nodes.append(node | {"path": self.open[::-1], "begin": self.at, "end": self.at, "last": len(self.nodes), "own": []})
         if tag not in VOID:
             self.open.append(node["element"])
@@ -67,7 +67,7 @@ def trees(pages: DataFrame, text: str = "html") -> DataFrame:
     """(page_id, html, text, nodes) of each page: its text, and its elements in document order.
 
     A node has its number (element), parent (-1 at the top), the last of its descendants, where its text begins and
-    ends in text, tag, class, href, src (else data-src), path (its ancestors, the nearest first), and own (begin and
+    ends in text, tag, class, href, src (else data-src), data (data-cy, else data-testid), path (its ancestors, the nearest first), and own (begin and
     end by turns of the pieces of text that are its own). A tag that closes nothing is left out; what is never closed
     ends with what it is in; a null page has no nodes.
     """
