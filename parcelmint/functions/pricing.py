@@ -68,3 +68,23 @@ def profit(resale: Column, fee_rate: Column, landed_total: Column, config: Confi
     margin = F.when(landed_total > 0, net / landed_total * 100).otherwise(0.0)
     enough_margin, enough_profit = margin >= config.min_margin * 100, net >= config.min_profit
     return F.struct(resale.alias("resale"), fee.alias("fee"), (resale - fee).alias("net_resale"), net.alias("profit"), margin.alias("margin"), enough_margin.alias("enough_margin"), enough_profit.alias("enough_profit"), (~enough_margin | ~enough_profit).alias("hidden"))
+
+
+def exchange_rate(cached: Column, valid: Column, fetched: Column, own: Column, default: float) -> Column:
+    """(rate, source): a cached rate while it is valid, else a fetched one, else the user's, else the default; rates that are not above 0 do not count."""
+    some = {"cache": F.when(valid & (cached > 0), cached), "api": F.when(fetched > 0, fetched), "user": F.when(own > 0, own), "default": F.lit(default)}
+    first = F.coalesce(*[F.when(v.isNotNull(), F.struct(v.cast("double").alias("rate"), F.lit(k).alias("source"))) for k, v in some.items()])
+    return first
+
+
+def scan_seconds(pages: Column, enrich: Column, pasted: Column | None = None, sources: Column | None = None) -> Column:
+    """How long a scan takes, as it is told before: by its pages and whether listings are enriched; a pasted page by the other sources that are asked."""
+    live = F.greatest(F.lit(12), js_round(pages * 4.5 + F.when(enrich, 6).otherwise(2) + 6))
+    if pasted is None:
+        return live.cast("int")
+    return F.when(pasted, F.greatest(F.lit(6), sources * 2 + 4)).otherwise(live).cast("int")
+
+
+def pages_asked(own: Column, default: int = 3) -> Column:
+    """The pages of a scan: those asked for if there are any, else the default."""
+    return F.when(own > 0, own).otherwise(default).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelmint.functions import labels, prices, pricing, risk, titles
 from parcelmint.functions.config import BOUNDS, Config
 from parcelmint.operators import analytics, evaluate, references, relational, results
-from parcelmint.plans.bindings import LISTINGS_SQL, OFFERS_SQL, listings, offers, out, pick, sql_list, table
+from parcelmint.plans.bindings import LISTINGS_SQL, NOTES, OFFERS_SQL, TOKENS, listings, offers, out, pick, sql_list, table
 from parcelmint.plans.catalog import query
 from parcelmint.plans.margin_queries import C, _r, evaluated, evaluated_sql
 from parcelmint.sources import exports, pages
@@ -181,12 +181,11 @@ def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _enriched(spark, sf_dir).select("id", "rating", F.col("images").cast("int").alias("images"), F.length("description").alias("n"))
 
 
-@query("C25", f"WITH {LISTINGS_SQL} SELECT id, CASE WHEN id % 6 = 0 THEN {sql_list([_LONG])}[1] WHEN id % 9 = 0 THEN 'own text' END AS said, id % 9 = 0 AS labelled FROM listings WHERE id % 3 = 0")
+@query("C25", f"""WITH {LISTINGS_SQL}, said AS (SELECT id, {sql_list(NOTES)}[note + 1] AS own, CASE WHEN id % 2 = 0 THEN '{_LONG}' ELSE '短' END AS found FROM listings WHERE id % 3 = 0)
+  SELECT id, trim(CASE WHEN length(found) > length(own) THEN found ELSE own END || CASE WHEN id % 9 = 0 THEN ' 版本 海外有锁' ELSE '' END) AS description FROM said""")
 def c25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longer description with the block of labels."""
-    rows = _enriched(spark, sf_dir).where("id % 3 = 0")
-    said = F.when(F.startswith("description", F.lit(_LONG)), _LONG).when(F.col("id") % 9 == 0, "own text")
-    return rows.select("id", said.alias("said"), F.endswith("description", F.lit("版本 海外有锁")).alias("labelled"))
+    return _enriched(spark, sf_dir).where("id % 3 = 0").select("id", "description")
 
 
 _MODELS = [(0, "apple", "phone", "iphone", "15", "Pro", "iPhone 15 Pro"), (1, "apple", "phone", "iphone", "15", "Base", "iPhone 15"), (2, "apple", "phone", "iphone", "old", "Base", "iphone 15"), (3, "apple", "tablet", "ipad", "air", "Air 5", "iPad Air 5"), (4, "samsung", "phone", "samsung", "s24", "Ultra", "Galaxy S24 Ultra"), (5, "apple", "phone", "ipad", "x", "wrong category", "MacBook Air M3")]
@@ -231,21 +230,40 @@ def l01k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_
 
 
-@query("P22", evaluated_sql(C) + " SELECT id FROM evaluated WHERE (by_risk OR by_profit) AND NOT (dropped OR score >= 60) AND family = 'iPhone 15 Pro'")
+@query("P22", evaluated_sql(C) + """ SELECT 'card' AS export, id FROM evaluated WHERE (by_risk OR by_profit) AND (dropped OR score >= 60)
+  UNION ALL SELECT 'cell', id FROM evaluated WHERE family = 'iPhone 15 Pro' AND cond = 'good' UNION ALL SELECT 'both', id FROM evaluated WHERE (by_risk OR by_profit) AND (dropped OR score >= 60) AND family = 'Galaxy S24 Ultra' AND cond = 'new'""")
 def p22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An export of a card's listings of one family, hidden ones too."""
-    return results.exported(evaluated(spark, sf_dir), "profit", "iPhone 15 Pro").select("id")
-
-
-_EXPORT = ["Product", "Condition", "Price_CNY", "Total_Landed_EUR", "Net_Profit_EUR", "Margin_Pct", "Risk_Score", "Hidden"]
-_CENTS = "floor(({}) * 100 + 0.5) / 100"
-
-
-@query("S19", evaluated_sql(C) + f""" SELECT id, standard_key AS Product, CASE cond WHEN 'new' THEN 'New' WHEN 'open_box' THEN 'Open Box' WHEN 'excellent' THEN 'Excellent' WHEN 'very_good' THEN 'Very Good' ELSE 'Good' END AS Condition,
-  price AS Price_CNY, {_CENTS.format('landed')} AS Total_Landed_EUR, {_CENTS.format('profit')} AS Net_Profit_EUR, floor(margin * 10 + 0.5) / 10 AS Margin_Pct, CAST(score AS INT) AS Risk_Score, CASE WHEN by_risk OR by_profit THEN 'YES' ELSE 'NO' END AS Hidden FROM evaluated""")
+    """Exports of a card's listings, of a heatmap's cell and of both, hidden ones too."""
+    e, found = evaluated(spark, sf_dir), None
+    for name, chosen in (("card", ("scam",)), ("cell", (None, "iPhone 15 Pro", "good")), ("both", ("scam", "Galaxy S24", "new"))):
+        rows = results.exported(e, *chosen).select(F.lit(name).alias("export"), "id")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+_ACQ = f"(price * {C.rate} * {1 + C.exchange_fee})"
+_BASE = f"({_ACQ} + {_ACQ} * {C.agent_fee} + {C.inspection} + {C.source_shipping} + {_ACQ} * {C.insurance} + {C.freight})"
+_YES = "CASE WHEN {} THEN 'YES' ELSE 'NO' END"
+#: All columns of an export from the numbers that the texts were made of.
+_EXPORTED = {
+    "Product": "standard_key", "Condition": "CASE cond WHEN 'new' THEN 'New' WHEN 'open_box' THEN 'Open Box' WHEN 'excellent' THEN 'Excellent' WHEN 'very_good' THEN 'Very Good' ELSE 'Good' END", "Price_CNY": "price",
+    **{k: f"floor(({v}) * 100 + 0.5) / 100" for k, v in {
+        "Acquisition_EUR": _ACQ, "Agent_Fee_EUR": f"{_ACQ} * {C.agent_fee}", "Inspection_EUR": C.inspection, "CN_Domestic_EUR": C.source_shipping, "Insurance_EUR": f"{_ACQ} * {C.insurance}", "Intl_Shipping_EUR": C.freight,
+        "Customs_Clearance_EUR": C.customs, "Import_Duty_EUR": f"{_BASE} * {C.duty}", "Import_VAT_EUR": f"({_BASE} + {C.customs} + {_BASE} * {C.duty}) * {C.vat}", "PT_Domestic_EUR": C.home_shipping, "Total_Landed_EUR": "landed",
+        "EU_Baseline_EUR": "resale", "Resale_Fee_EUR": "resale * fee_rate", "Net_Resale_EUR": "resale - resale * fee_rate", "Net_Profit_EUR": "profit"}.items()},
+    "Margin_Pct": "floor(margin * 10 + 0.5) / 10", "Risk_Score": "CAST(score AS INT)", "Dropped": _YES.format("dropped"), "Hidden": _YES.format("by_risk OR by_profit"),
+    "Hidden_Reason": f"CASE WHEN dropped THEN 'blacklist' WHEN by_risk THEN 'risk' WHEN margin < {C.min_margin * 100} AND profit < {C.min_profit} THEN 'margin, profit' WHEN margin < {C.min_margin * 100} THEN 'margin' WHEN profit < {C.min_profit} THEN 'profit' ELSE '' END",
+    "Seller_Location": "NULL", "Seller_Verified": _YES.format("verified"), "Seller_Transactions": "transactions", "Seller_Rating": "CAST(rating AS DOUBLE)", "Wants_Count": "NULL", "Image_Count": "images", "Condition_Flags": "NULL",
+    "Region_Version": "CASE WHEN note = 6 THEN 'china' ELSE 'unknown' END", "Lock_Status": "lock", "Storage_GB": "gb", "Color": "CASE WHEN note = 3 THEN '白色' END", "Chip": "CASE WHEN kind = 'macbook' THEN 'M3' END", "RAM_GB": "NULL",
+    "Display_Inch": "CASE WHEN kind = 'macbook' THEN 13 END", "Battery_Health": "CASE WHEN note = 3 AND kind IN ('iphone', 'samsung') THEN 93 END", "Release_Year": "NULL", "Form_Factor": "NULL", "Drive_Config": "NULL", "Goofish_Href": "NULL",
+    "EU_Comps_Count": "coalesce((SELECT v.offers FROM valued v WHERE v.id = evaluated.id), 0)", "Goofish_Title": "family || CASE WHEN gb IS NULL THEN '' ELSE ' ' || gb || 'G' END || ' ' || " + sql_list(TOKENS) + "[(id // 6) % 5 + 1]", "Description": sql_list(NOTES) + "[note + 1]",
+}
+
+
+@query("S19", evaluated_sql(C) + " SELECT id, " + ", ".join(f"{v} AS {k}" for k, v in _EXPORTED.items()) + " FROM evaluated")
 def s19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some of an export's 45 columns (P16)."""
-    return exports.flat(evaluated(spark, sf_dir)).select("id", *_EXPORT)
+    """All 45 columns of an export (P16)."""
+    return exports.flat(evaluated(spark, sf_dir))
 
 
 @query("P16", evaluated_sql(C) + " SELECT standard_key AS Product, CAST(count(*) AS INT) AS n, max(gb) AS Storage_GB FROM evaluated GROUP BY standard_key")

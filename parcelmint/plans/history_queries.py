@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parcelmint.functions import pricing
 from parcelmint.functions.compat import js_round, median
-from parcelmint.operators import relational
+from parcelmint.operators import logs, relational
 from parcelmint.plans.bindings import out, table
 from parcelmint.plans.catalog import query
+from parcelmint.sources import goods
 
 _R = "floor({x} * 1e4 + 0.5) / 1e4"
 
@@ -149,9 +151,24 @@ def s02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
+_ROUNDS = """WITH rounds AS (SELECT DISTINCT source, CAST(doc_id // 20 AS INT) + 1 AS round FROM documents), first AS (SELECT source, round, doc_id FROM (SELECT source, CAST(doc_id // 20 AS INT) + 1 AS round, doc_id, text, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS r FROM documents WHERE length(text) % 3 = 0) WHERE r = 1),
+  told AS (SELECT rounds.*, coalesce(max(CASE WHEN n > 0 THEN rounds.round END) OVER (PARTITION BY rounds.source ORDER BY rounds.round), 0) AS last FROM rounds LEFT JOIN (SELECT source, round, count(*) AS n FROM first GROUP BY 1, 2) c ON c.source IS NOT DISTINCT FROM rounds.source AND c.round = rounds.round),
+  ended AS (SELECT source, min(round) AS at_ FROM told WHERE round - last >= 5 GROUP BY source)
+  SELECT first.doc_id FROM first LEFT JOIN ended ON ended.source = first.source WHERE first.source IS NOT NULL AND (at_ IS NULL OR round < at_)"""
+
+
+@query("S02r", _ROUNDS)
+def s02r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source as a scan in rounds of ids: first texts only, until five rounds in a row bring none."""
+    docs = table(spark, sf_dir, "documents").where("source is not null").select("source", "doc_id", "text", (F.floor(F.col("doc_id") / 20) + 1).cast("int").alias("round"))
+    some = docs.where(F.length("text") % 3 == 0).withColumn("h", F.sha2("text", 256))
+    first = some.groupBy("source", "h").agg(F.min(F.struct("doc_id", "round")).alias("f")).select("source", "f.round", "f.doc_id")
+    return goods.until_empty(docs.select("source", "round"), first, ["source"], 5).select("doc_id")
+
+
 @query("A09", "SELECT event_type AS level, count(*) AS n FROM events GROUP BY event_type")
 def a09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return logs.counted(table(spark, sf_dir, "events"), "event_type", "level")
 
 
 @query("N01", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")
@@ -170,18 +187,17 @@ def n02(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ST5", f"SELECT user_id, count(*) AS kept FROM events WHERE NOT (event_type = 'purchase' AND ts < TIMESTAMP '{_NOW}' - INTERVAL 10 MINUTE) GROUP BY user_id")
 def st5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished entries go ten minutes after their end; the others stay."""
-    e = table(spark, sf_dir, "events")
-    return e.where(~((F.col("event_type") == "purchase") & F.expr(f"ts < TIMESTAMP '{_NOW}' - INTERVAL 10 MINUTE"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
+    e = logs.held(table(spark, sf_dir, "events"), F.col("event_type") == "purchase", "ts", F.lit(_NOW))
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("ST6", f"SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 AND ts > TIMESTAMP '{_NOW}' THEN 0.13 WHEN event_id % 3 = 0 THEN 0.128 WHEN event_id % 5 = 0 THEN 0.12 ELSE 0.127 END AS DOUBLE) AS rate, CASE WHEN event_id % 2 = 0 AND ts > TIMESTAMP '{_NOW}' THEN 'cache' WHEN event_id % 3 = 0 THEN 'api' WHEN event_id % 5 = 0 THEN 'user' ELSE 'default' END AS source FROM events")
 def st6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exchange rate: a valid cached one, else a fetched one, else the user's, else the default."""
-    e = table(spark, sf_dir, "events")
-    cached = F.when((F.col("event_id") % 2 == 0) & F.expr(f"ts > TIMESTAMP '{_NOW}'"), F.lit(0.13))
-    fetched, own = F.when(F.col("event_id") % 3 == 0, F.lit(0.128)), F.when(F.col("event_id") % 5 == 0, F.lit(0.12))
-    source = F.when(cached.isNotNull(), "cache").when(fetched.isNotNull(), "api").when(own.isNotNull(), "user").otherwise("default")
-    return e.select("event_id", F.coalesce(cached, fetched, own, F.lit(0.127)).alias("rate"), source.alias("source"))
+    number = F.col("event_id")
+    cached, fetched, own = F.when(number % 2 == 0, 0.13), F.when(number % 3 == 0, 0.128), F.when(number % 5 == 0, 0.12)
+    rate = pricing.exchange_rate(cached, F.expr(f"ts > TIMESTAMP '{_NOW}'"), fetched, own, 0.127)
+    return table(spark, sf_dir, "events").select("event_id", F.inline(F.array(rate)))
 
 
 @query("N07", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
@@ -205,14 +221,14 @@ def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("L10", "SELECT lower(event_type) AS q, max(event_id) AS last FROM events GROUP BY 1 ORDER BY last DESC LIMIT 20")
 def l10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.lower("event_type").alias("q")).agg(F.max("event_id").alias("last")).orderBy(F.desc("last")).limit(20)
+    return logs.recent(table(spark, sf_dir, "events"), "event_type", "event_id")
 
 
 @query("L11", "SELECT DISTINCT p_brand AS brand FROM part WHERE contains(lower(p_brand), '1')")
 def l11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.contains(F.lower("p_brand"), F.lit("1"))).select(F.col("p_brand").alias("brand")).distinct()
+    return logs.suggested(table(spark, sf_dir, "part"), "p_brand", "1", "brand")
 
 
 @query("A14", "SELECT DISTINCT p_type AS kind FROM part")
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_type").alias("kind")).distinct()
+    return logs.kinds(table(spark, sf_dir, "part"), "p_type")

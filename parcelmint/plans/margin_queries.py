@@ -267,11 +267,29 @@ def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(medians, "side").select("side", "n", out(F.col("median")).alias("median"))
 
 
-@query("U05", "SELECT 'synthetic' AS id, CAST(0 AS DOUBLE) AS price")
+@query("U05", """SELECT g.source, coalesce(p.p_name, 'synthetic') AS id, CAST(coalesce(p.p_retailprice, 0) AS DOUBLE) AS price FROM (VALUES ('none', 0), ('small', 3), ('all', 99)) g(source, most) LEFT JOIN part p ON p.p_size < g.most""")
 def u05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An empty source gives one row that stands for it."""
-    none = table(spark, sf_dir, "part").where("p_size < 0").select(F.col("p_name").alias("id"), F.col("p_retailprice").alias("price"))
-    return analytics.or_default(none, {"id": "synthetic", "price": 0.0})
+    """A source without rows gives one row that stands for it, others their own."""
+    part, found = table(spark, sf_dir, "part"), None
+    for name, most in (("none", 0), ("small", 3), ("all", 99)):
+        rows = part.where(F.col("p_size") < most).select(F.col("p_name").alias("id"), F.col("p_retailprice").cast("double").alias("price"))
+        rows = analytics.or_default(rows, {"id": "synthetic", "price": 0.0}).withColumn("source", F.lit(name))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+#: Listings of which every fifth is no known product.
+_SOME_UNKNOWN = f"""WITH {LISTINGS_SQL}, {OFFERS_SQL}, facts AS (SELECT task, count(*) FILTER (euros >= 100) AS offers, median(euros) FILTER (euros >= 100) AS resale,
+    avg(CASE platform WHEN 'vinted' THEN 0.05::DOUBLE WHEN 'amazon' THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END) AS fee FROM offers GROUP BY task)
+  SELECT id, offers, {_r('resale')} AS resale, {_r('fee')} AS fee_rate FROM listings JOIN facts ON facts.task = listings.task WHERE id % 5 = 0"""
+
+
+@query("P21", _SOME_UNKNOWN)
+def p21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings that are no known product are kept and share the value of all offers of their scan."""
+    rows = listings(spark, sf_dir).withColumn("title", F.when(F.col("id") % 5 == 0, "老式收音机 九成新").otherwise(F.col("title")))
+    found = evaluate.with_value(evaluate.with_product(rows), offers(spark, sf_dir), C).where("product is null")
+    return found.select("id", "offers", out(F.col("resale")).alias("resale"), out(F.col("fee_rate")).alias("fee_rate"))
 
 
 @query("P01", f"WITH {LISTINGS_SQL} SELECT id FROM listings WHERE price > 0 AND price >= 1000")
@@ -321,13 +339,14 @@ def l07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("product.family").alias("family")).agg(out(F.max("profit.profit")).alias("best"), F.max_by("id", F.struct(F.col("profit.profit"), -F.col("id"))).alias("id"))
 
 
-@query("C24", "SELECT CAST(p_size % 10 + 1 AS INT) AS pages, CAST(max(greatest(12, floor((p_size % 10 + 1) * 4.5 + 8 + 0.5))) AS INT) AS seconds FROM part GROUP BY 1")
+@query("C24", "SELECT p_partkey AS id, CAST(CASE WHEN p_partkey % 4 = 0 THEN greatest(6, p_partkey % 5 * 2 + 4) ELSE greatest(12, floor((p_size % 10 + 1) * 4.5 + CASE WHEN p_partkey % 3 = 0 THEN 6 ELSE 2 END + 6 + 0.5)) END AS INT) AS seconds FROM part")
 def c24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = (F.col("p_size") % 10 + 1).cast("int")
-    return table(spark, sf_dir, "part").select(n.alias("pages"), F.greatest(F.lit(12), js_round(n * 4.5 + 8)).cast("int").alias("seconds")).distinct()
+    """How long scans take: live ones by pages and enrichment, every fourth from a pasted page."""
+    key = F.col("p_partkey")
+    seconds = pricing.scan_seconds(F.col("p_size") % 10 + 1, key % 3 == 0, key % 4 == 0, key % 5)
+    return table(spark, sf_dir, "part").select(key.alias("id"), seconds.alias("seconds"))
 
 
 @query("C26", "SELECT p_partkey AS id, CAST(CASE WHEN p_size % 4 > 0 THEN p_size % 4 ELSE 3 END AS INT) AS pages FROM part")
 def c26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = (F.col("p_size") % 4).cast("int")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(own > 0, own).otherwise(3).alias("pages"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), pricing.pages_asked(F.col("p_size") % 4).alias("pages"))

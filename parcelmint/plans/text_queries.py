@@ -183,9 +183,18 @@ def x23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", matching.offer_query(p["category"], p["family"], p["storage_gb"], p["display_inch"], p["form_factor"], p["drive_config"]).alias("query"))
 
 
-@query("X24", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://cdn/x' WHEN 1 THEN 'https://shop/x' ELSE 'http://y' END AS url FROM pages")
+@query(
+    "X24",
+    """WITH found AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)) AS said, generate_subscripts(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1), 1) - 1 AS place FROM pages), varied AS (
+      SELECT page_id, place, CASE (page_id + place) % 3 WHEN 0 THEN '/' || said WHEN 1 THEN 'http://y' || said ELSE said END AS said FROM found)
+    SELECT page_id, CAST(place AS INT) AS place, CASE WHEN starts_with(said, '//') THEN 'https:' || said WHEN starts_with(said, '/') THEN 'https://shop' || said ELSE said END AS url FROM varied""",
+)
 def x24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", prices.absolute(pick(["//cdn/x", "/x", "http://y"], F.col("page_id") % 3), "https://shop").alias("url"))
+    """The addresses in pages, some with another host or another scheme put before them, as absolute ones."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), F.lit(1))).alias("place", "said"))
+    kind = (F.col("page_id") + F.col("place")) % 3
+    said = F.when(kind == 0, F.concat(F.lit("/"), "said")).when(kind == 1, F.concat(F.lit("http://y"), "said")).otherwise(F.col("said"))
+    return found.select("page_id", "place", prices.absolute(said, "https://shop").alias("url"))
 
 
 @query("C01", "SELECT p_partkey AS id, p_partkey % 3 <> 0 AS says FROM part")
