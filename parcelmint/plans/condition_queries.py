@@ -95,3 +95,28 @@ def c13a(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flags shown, with their rules of consistency."""
     return conditions.with_conditions(_cases(spark, sf_dir)).select("id", F.array_join("condition_flags", ", ").alias("flags"))
+
+
+#: Conditions whose phrases stand in one text without touching one another, by their places above.
+_TOGETHER = [i for i, (name, _, no) in enumerate(STATED_AND_DENIED) if no and name not in ("screen_replaced", "battery_replaced", "repaired", "cracked_screen")]
+_SEPARATORS, _FILLERS = ["，", "。", "; ", "\n", "！"], ["成色好", "配件齐全", "支持验货", "256G", "iPhone 15 Pro", "国行"]
+
+
+def _state(j: int) -> str:
+    """SQL and Spark alike: whether a part's text says nothing of the j-th of these conditions, states it or denies it."""
+    return f"CAST(floor(((p_partkey * 7919 + 13) % 59049) / {3 ** j}) AS BIGINT) % 3"
+
+
+@query("C13g", "SELECT p_partkey AS id, " + ", ".join(f"CAST([0, 2, 1][{_state(j)} + 1] AS INT) AS {STATED_AND_DENIED[i][0]}" for j, i in enumerate(_TOGETHER)) + " FROM part")
+def c13g(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on texts put together from phrases, fillers and separators, nearly every part's another one."""
+    key, said = F.col("p_partkey"), []
+    for j, i in enumerate(_TOGETHER):
+        _, yes, no = STATED_AND_DENIED[i]
+        phrase = pick(["", yes, no], F.expr(_state(j)))
+        filler = F.when((key + j) % 3 == 0, F.concat(pick(_FILLERS, (key + j) % len(_FILLERS)), pick(_SEPARATORS, (key + j) % len(_SEPARATORS)))).otherwise("")
+        said.append(F.concat(filler, phrase, F.when(phrase != "", pick(_SEPARATORS, (key * 3 + j) % len(_SEPARATORS))).otherwise("")))
+    half = len(said) // 2
+    none = F.lit(None).cast(PRODUCT).alias("product")
+    texts = table(spark, sf_dir, "part").select(key.alias("id"), F.concat(*said[:half]).alias("title"), F.concat(*said[half:]).alias("description"), none)
+    return conditions.with_conditions(texts).select("id", *[f"verdicts.{STATED_AND_DENIED[i][0]}" for i in _TOGETHER])
