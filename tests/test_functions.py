@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from parcelmint.functions import conditions, config, folds, matching, prices, pricing, relevance, risk, titles
-from parcelmint.operators import analytics
+from parcelmint.operators import analytics, logs, results
 from parcelmint.plans import condition_queries
 
 
@@ -126,3 +126,37 @@ def test_running(spark):
         row = df.select(folds.running(F.col("v"), zero, lambda a, x: a + x).alias("sums"), folds.running(F.col("v"), low, lambda a, x: F.greatest(a, x), levels=1).alias("most")).first()
         assert row.sums == [sum(values[:k]) for k in range(n)]
         assert row.most == [max([-1000, *values[:k]]) for k in range(n)]
+
+
+@pytest.mark.parametrize("values", [[0.1, 0.11, 0.2, 0.4], [1.0, 1e9, 3.0, 2e9, 5.0], [5.0, 5.0, 5.0], [-3.5, 2.0, None, 7.25, 7.25], list(map(float, range(200)))])
+def test_weighted_medians(spark, values):
+    rows = spark.createDataFrame([("a", v, 1 + k % 3) for k, v in enumerate(values)] + [(None, 1.5, 2)], "g string, v double, n long")
+    want = sorted(v for k, v in enumerate(values) if v is not None for _ in range(1 + k % 3))
+    middle = (want[(len(want) - 1) // 2] + want[len(want) // 2]) / 2
+    assert {r.g: r.median for r in analytics.exact_medians(rows, ["g"], "v", weight="n").collect()} == {"a": middle, None: 1.5}
+
+
+def test_heatmap_of_odd_rows(spark):
+    rows = spark.createDataFrame([("a", "new", 10.0, 1.0), ("a", "new", 20.0, None), ("a", "good", None, 3.0), (None, "new", -5.0, -1.0)], "family string, condition string, profit double, margin double")
+    found = {(r.family, r.condition): (r.median_profit, r.n, r.mean_margin, r.least, r.most) for r in analytics.heatmap(rows).collect()}
+    assert len(found) == 14 and found["a", "new"] == (15.0, 2, 1.0, -5.0, 15.0) and found["a", "good"] == (None, 1, 3.0, -5.0, 15.0) and found[None, "new"][:3] == (-5.0, 1, -1.0) and found["a", "fair"][1] == 0
+    assert analytics.heatmap(rows.limit(0)).collect() == []
+
+
+def test_logs_and_rates(spark):
+    rows = spark.createDataFrame([("iPhone", 1, 5), ("IPHONE", 9, 5), ("iPad", 3, None), (None, 4, 5)], "q string, at int, x int")
+    assert [tuple(r) for r in logs.recent(rows.where("q is not null"), "q", "at", 1).collect()] == [("iphone", 9)]
+    assert sorted(r.text for r in logs.suggested(rows, "q", "PH").collect()) == ["IPHONE", "iPhone"]
+    assert {r.kind: r.n for r in logs.counted(rows, "x").collect()} == {5: 3, None: 1}
+    rates = spark.createDataFrame([(0.1, True, 0.2, 0.3), (0.1, False, 0.2, 0.3), (None, True, 0.0, 0.3), (None, None, None, None)], "c double, ok boolean, f double, o double")
+    found = rates.select(pricing.exchange_rate(F.col("c"), F.col("ok"), F.col("f"), F.col("o"), 0.127).alias("r")).collect()
+    assert [tuple(x.r) for x in found] == [(0.1, "cache"), (0.2, "api"), (0.3, "user"), (0.127, "default")]
+    assert value(spark, pricing.scan_seconds(F.lit(3), F.lit(False)), t="") == 22 and value(spark, pricing.scan_seconds(F.lit(1), F.lit(True), F.lit(True), F.lit(0)), t="") == 6
+
+
+def test_enrichment_takes_the_longer_text(spark):
+    say = "href long, rating double, images int, pictures array<string>, description string, labels string"
+    own = spark.createDataFrame([(1, 90.0, 1, ["a"], "own words", None), (2, 90.0, 1, ["a"], None, None), (3, 90.0, 1, ["a"], "x", None)], say).drop("labels")
+    found = spark.createDataFrame([(1, None, 0, None, "short", "版本 国行"), (2, 97.0, 2, None, "", None)], say)
+    got = {r.href: (r.rating, r.images, r.pictures, r.description) for r in results.enriched(own, found).collect()}
+    assert got == {1: (90.0, 1, ["a"], "own words 版本 国行"), 2: (97.0, 2, ["a"], None), 3: (90.0, 1, ["a"], "x")}
