@@ -11,6 +11,7 @@ from parcelmint.functions.config import FORWARDERS, PRESETS, Config
 from parcelmint.operators import analytics, evaluate
 from parcelmint.plans.bindings import LISTINGS_SQL, OFFERS_SQL, REFERENCES_SQL, RISK_SQL, listings, offers, out, references, table
 from parcelmint.plans.catalog import query
+from parcelmint.sources import goods
 
 C = Config()
 
@@ -179,12 +180,34 @@ def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("P05", f"WITH {OFFERS_SQL} SELECT platform, count(*) AS n FROM offers WHERE euros BETWEEN 100 AND 3000 GROUP BY platform")
 def p05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offers(spark, sf_dir).where(F.col("euros").between(100, 3000)).groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
+    return offers(spark, sf_dir).where(analytics.price_bounds(F.col("euros"), goods.LEAST, goods.MOST)).groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("P18", f"WITH {OFFERS_SQL} SELECT platform, count(*) AS n FROM offers WHERE platform NOT IN ('olx', 'amazon') GROUP BY platform")
+_ASKED = [("all", "true"), ("two", "platform NOT IN ('olx', 'amazon')"), ("no used", "platform NOT IN ('olx', 'vinted')"), ("one", "platform = 'vinted'")]
+
+
+@query("P18", f"WITH {OFFERS_SQL} " + " UNION ALL ".join(f"SELECT '{name}' AS asked, platform, count(*) AS n FROM offers WHERE {test} GROUP BY platform" for name, test in _ASKED))
 def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offers(spark, sf_dir).where(~F.col("platform").isin("olx", "amazon")).groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
+    """Offers of the sources that are asked: all, without two, without those for used goods, and without retail and one more."""
+    o, found = offers(spark, sf_dir), None
+    for (name, _), how in zip(_ASKED, ({}, {"skipped": ("olx", "amazon")}, {"used": False}, {"skipped": ("olx",), "retail": False})):
+        rows = goods.asked(o, **how).groupBy("platform").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("asked"), "platform", "n")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query("P08", f"WITH {OFFERS_SQL} SELECT task, platform, title, min(offer) AS offer FROM offers GROUP BY ALL")
+def p08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each title of a scan and source once, where it is first seen."""
+    return goods.first_titles(offers(spark, sf_dir), ["task", "platform"], ["offer"]).select("task", "platform", "title", "offer")
+
+
+@query("A08", f"SELECT p_partkey AS id, {_r(landed_sql('p_retailprice', C))} AS total FROM part")
+def a08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grand total of an import as the sum of its parts."""
+    landed = pricing.landed_cost(F.col("p_retailprice"), C)
+    parts = [landed[f] for f in ("acquisition", "agent", "inspection", "source_shipping", "insurance", "freight", "customs", "duty", "vat", "home_shipping")]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), out(sum(parts[1:], parts[0])).alias("total"))
 
 
 @query("P02", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 1 THEN 2000 WHEN 2 THEN 800 WHEN 3 THEN 1000 ELSE 500 END AS floor_price FROM part")

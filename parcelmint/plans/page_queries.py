@@ -234,3 +234,21 @@ def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pages.cards(html.where(~goods.looks_blocked(F.col("html"))), "https://a")
     found = goods.retail_offers(_scans(spark, sf_dir), rows, "iPhone 15 Pro", "amazon", F.when(F.col("prime"), "Amazon Prime").otherwise("Amazon"))
     return found.drop("prime", "url")
+
+
+@query("L04", "SELECT page_id, kind, CAST(CASE kind WHEN 'products' THEN page_id % 80 + 30 WHEN 'pasted' THEN least(60, page_id % 80 + 30) WHEN 'all' THEN page_id % 80 + 30 ELSE least(50, page_id % 80 + 30) END AS BIGINT) AS n FROM pages, (VALUES ('results'), ('cards'), ('pairs'), ('pasted'), ('products'), ('all')) k(kind)")
+def l04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each parser gives of pages that hold 30 to 109, with its limit and without."""
+    each = lambda made: captured(spark, sf_dir, F.concat_ws("", F.transform(F.sequence(F.lit(1), (_id() % 80 + 30).cast("int")), made)))
+    say = lambda *parts: lambda k: F.concat(*[F.lit(p) if isinstance(p, str) else k.cast("string") for p in parts])
+    products = captured(spark, sf_dir, F.lit('<script id="__NEXT_DATA__">{"props":{"pageProps":{"products":['), F.concat_ws(",", F.transform(F.sequence(F.lit(1), (_id() % 80 + 30).cast("int")), say('{"name":"n', 0, '","price":', 0, "}"))), F.lit("]}}}</script>"))
+    results = each(say('{"title":"t', 0, '","price":"', 0, '","desc":"d","pic":"p"}'))
+    found = {
+        "results": pages.search_results(results), "all": pages.search_results(results, most=None), "products": pages.products(products, "https://k"), "pairs": pages.proximity_pairs(each(say("<h2>t", 0, "</h2> 1", 0, " €"))),
+        "cards": pages.cards(each(say('<i data-component-type="s-search-result"><h2><span>title ', 0, "</span></h2> 1", 0, " €"))), "pasted": pages.pasted(each(say('<p class="item-card"><b>title ', 0, "</b>¥ 1", 0, "</p>"))),
+    }
+    all_ = None
+    for kind, rows in found.items():
+        n = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).select("page_id", F.lit(kind).alias("kind"), "n")
+        all_ = n if all_ is None else all_.unionByName(n)
+    return all_

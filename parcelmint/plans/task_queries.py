@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelmint.operators import tasks
 from parcelmint.plans.bindings import pick, sql_list, table
 from parcelmint.plans.catalog import query
+from parcelmint.streaming import ingest
 from parcelmint.streaming import tasks as streams
 
 #: What an event says, by its number: each task is begun, moves on, is resumed and ends at some time.
@@ -71,3 +72,10 @@ def st4(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = entries.select(F.col("user_id").alias("task"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("level"), F.col("props").alias("message"))
     logs = streams.current_logs(spark, streams.written(streams.rolling_logs(entries, 40)))
     return logs.select(F.col("task").alias("user_id"), F.col("id").alias("event_id"), "level")
+
+
+@query("ST2", "WITH t AS (SELECT user_id AS task, event_id % 4 AS generation, event_id FROM events) SELECT task, event_id FROM t JOIN (SELECT task, max(generation) AS generation FROM t GROUP BY task) USING (task, generation)")
+def st2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What runs have written, of each task's latest generation only."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("task"), (F.col("event_id") % 4).alias("generation"), "event_id")
+    return ingest.latest(rows).select("task", "event_id")

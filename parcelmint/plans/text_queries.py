@@ -222,6 +222,14 @@ def c07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), risk.yellow_risk(risk.yellow(text)).alias("risk"))
 
 
+@query("A07", "SELECT p_partkey AS id, CAST(least(20, 10 * (CASE WHEN p_partkey % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 3 = 1 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 5 = 1 THEN 1 ELSE 0 END)) AS INT) AS risk FROM part")
+def a07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten points for each token that asks for care, twenty at most."""
+    key = F.col("p_partkey")
+    text = F.concat_ws("，", *[F.when(key % n == 1, t) for n, t in ((2, "换过电池"), (3, "换过屏幕"), (5, "无盒"))], F.lit("成色好"))
+    return table(spark, sf_dir, "part").select(key.alias("id"), risk.yellow_risk(risk.yellow(text)).cast("int").alias("risk"))
+
+
 # A title for each rule of a family's generation, some that name several, and one that names none.
 MARKED = [
     ("iPhone 15 Pro国行", "iphone 15"),

@@ -65,6 +65,8 @@ def used_goods(pages: DataFrame, site: Site, base: str, text: str = "html") -> D
 
 #: Fixed value: what a page says that holds a check for robots in place of results.
 BLOCKED = r"(?i)sentimos|lo sentimos|captcha|robot check|enter the characters|escribe los caracteres"
+#: Which sources sell used goods and which new ones.
+USED, RETAIL = ("olx", "vinted"), ("kuantokusta", "amazon")
 #: The least and the greatest price of a device in euros.
 LEAST, MOST = 100, 3000
 
@@ -95,7 +97,7 @@ def offers_found(pages: DataFrame, rows: DataFrame, query: str, platform: str, b
     """
     fits = F.col("euros").between(LEAST, MOST) & ~relevance.is_accessory(F.col("title")) & relevance.is_relevant(F.col("title"), query)
     kept = rows.where(F.coalesce(fits, F.lit(False))).join(pages.select(by, "round", "page_id"), "page_id")
-    first = kept.withColumn("r_", F.row_number().over(Window.partitionBy(by, "title").orderBy("round", "place"))).where("r_ = 1").drop("r_")
+    first = first_titles(kept, [by], ["round", "place"])
     found = until_empty(pages, first, [by])
     number = F.row_number().over(Window.partitionBy(by).orderBy("round", "place")) - 1
     extra = [c for c in rows.columns if c not in ("page_id", "place", "title", "euros")]
@@ -106,3 +108,14 @@ def retail_offers(pages: DataFrame, rows: DataFrame, query: str, platform: str,
     """offers_found() of a shop that sells new devices: condition new, retail, and the vendor's kind."""
     found = offers_found(pages, rows, query, platform)
     return found.withColumns({"condition": F.lit("new"), "retail": F.lit(True), "vendor": vendor})
+
+
+def asked(offers: DataFrame, skipped: tuple[str, ...] = (), used: bool = True, retail: bool = True) -> DataFrame:
+    """The offers of the sources that a scan asks: without those that are skipped, and without all of a kind that is switched off, whatever a source's own switch says."""
+    out = [*skipped, *(() if used else USED), *(() if retail else RETAIL)]
+    return offers.where(~F.col("platform").isin(out)) if out else offers
+
+
+def first_titles(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with each title of a group once, where it is first seen."""
+    return rows.withColumn("r_", F.row_number().over(Window.partitionBy(*by, "title").orderBy(*order))).where("r_ = 1").drop("r_")

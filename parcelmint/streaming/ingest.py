@@ -33,8 +33,12 @@ def write_once(rows: DataFrame, path: str, checkpoint: str, every: str | None =
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """rows of each task's latest generation: what a run wrote that another has taken the place of does not count."""
+    last = rows.groupBy("task").agg(F.max("generation").alias("generation"))
+    return rows.join(last, ["task", "generation"], "left_semi")
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
     """What has been written, of each task's latest generation only."""
-    rows = spark.read.parquet(path)
-    latest = rows.groupBy("task").agg(F.max("generation").alias("generation"))
-    return rows.join(latest, ["task", "generation"], "left_semi")
+    return latest(spark.read.parquet(path))
