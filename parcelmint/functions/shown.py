@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parcelmint.functions.compat import SPACES, cases
+from parcelmint.functions.folds import let
 
 _NBSP = "\u00a0"
 #: Fixed value: months as British English shortens them.
@@ -67,8 +68,7 @@ def step_parts(step: Column) -> Column:
     """
     parts = F.when(F.contains(step, F.lit("|")), F.transform(F.split(step, r"\|"), lambda p: F.regexp_replace(p, f"^[{SPACES}]+|[{SPACES}]+$", ""))).otherwise(F.array().cast("array<string>"))
 
-    def told(source: str) -> Column:
-        part = F.try_element_at(F.filter(parts, lambda p: F.contains(F.lower(p), F.lit(source.lower()))), F.lit(1))
+    def told(source: str, part: Column) -> Column:
         count = r"(?i)(\d+)[" + SPACES + r"]+(?:listings|comps)"
         items = F.nullif(F.regexp_extract(part, count, 1), F.lit("")).try_cast("int")
         state = F.when(part.isNull(), "running").when(F.contains(part, F.lit("✅")), "done").when(F.contains(part, F.lit("⏭️")), "skipped").when(F.contains(part, F.lit("❌")), "error").when(F.contains(part, F.lit("⏳")), "running")
@@ -76,4 +76,7 @@ def step_parts(step: Column) -> Column:
         said = F.when(part.isNull(), "Preparing…").when(items.isNotNull(), F.concat(items.cast("string"), F.lit(" items"))).otherwise(words)
         return F.struct(F.lit(source).alias("source"), state.alias("state"), items.alias("items"), said.alias("said"))
 
-    return F.array(*map(told, SOURCES))
+    def found(ps: Column, source: str) -> Column:
+        return let(F.try_element_at(F.filter(ps, lambda p: F.contains(F.lower(p), F.lit(source.lower()))), F.lit(1)), lambda part: told(source, part))
+
+    return let(parts, lambda ps: F.array(*[found(ps, s) for s in SOURCES]))
