@@ -25,18 +25,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def exact_medians(rows: DataFrame, by: list[str], value: str, rounding: str = "none", weight: str | None = None) -> DataFrame:
+def exact_medians(rows: DataFrame, by: list[str], value: str, rounding: str = "none", weight: str | None = None, width: float | None = None) -> DataFrame:
     """(by, median): the exact median of a group's values, nulls left out, with no group in one task.
 
     Equal values are counted first, then counts are summed over ranges, some thousands for the whole spread of values;
     the middle of a group lies in one or two of them, and only those are sorted. Groups without a value are left out.
-    rounding: as of compat.median(). weight: how often a row counts; rows are then taken as counted by value already.
+    rounding: as of compat.median(). weight: how often a row counts; rows are then taken as counted by value already. width: of a range, where the
+    values' spread is known; None for one that follows it.
     """
     rows = rows.where(F.col(value).isNotNull())
     counts = rows.select(*by, F.col(value).cast("double").alias("value_"), F.col(weight).alias("n_")) if weight else rows.groupBy(*by, F.col(value).cast("double").alias("value_")).agg(F.count(F.lit(1)).alias("n_"))
     # ranges of one unit, wider where values spread far, narrower where all lie within a few units
-    spread = counts.agg(F.max("value_") - F.min("value_")).first()[0] if weight else None
-    width = 1.0 if spread is None or 16 <= spread <= 65_536 else 2.0 ** math.ceil(math.log2(max(spread, 1e-9) / 4096))
+    spread = counts.agg(F.max("value_") - F.min("value_")).first()[0] if weight and width is None else None
+    width = width or 1.0 if spread is None or 16 <= spread <= 65_536 else 2.0 ** math.ceil(math.log2(max(spread, 1e-9) / 4096))
     counts = counts.withColumn("range_", F.floor(F.col("value_") / width))
     ranges = counts.groupBy(*by, "range_").agg(F.sum("n_").alias("n_"))
     ordered = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,7 +91,7 @@ def market_preview(offers: DataFrame) -> DataFrame:
     sides = counted.select("euros", "n", F.explode(F.array(F.col("platform"), side)).alias("source")).groupBy("source", "euros").agg(F.sum("n").alias("n"))
     mean = F.sum(F.col("euros") * F.col("n")) / F.nullif(F.sum(F.when(F.col("euros").isNotNull(), F.col("n"))), F.lit(0))
     facts = sides.groupBy("source").agg(F.sum("n").alias("n"), js_round(mean).alias("mean"), F.min("euros").alias("least"), F.max("euros").alias("most"))
-    medians = exact_medians(sides, ["source"], "euros", "even", weight="n").withColumnRenamed("source", "source_")
+    medians = exact_medians(sides, ["source"], "euros", "even", weight="n", width=1.0).withColumnRenamed("source", "source_")
     return facts.join(medians, F.col("source").eqNullSafe(F.col("source_")), "left").select("source", "n", "mean", "median", "least", "most")
 
 
