@@ -33,33 +33,51 @@ def with_want(rows: DataFrame) -> DataFrame:
     return rows.withColumn("want", F.when(product.isNotNull(), named))
 
 
-def scored_titles(rows: DataFrame, facts: DataFrame, least_score: int = 40) -> DataFrame:
+def _sliced(wanted: DataFrame, facts: DataFrame, slice_titles: int) -> tuple[DataFrame, DataFrame]:
+    """Both with slice: titles of a scan and tier are cut into slices of about slice_titles by hash, and products go to each slice.
+
+    Only scans with more titles than that are listed, so the list is short beside the titles; all others are slice 0.
+    """
+    many = facts.groupBy("task", "tier").agg(F.ceil(F.count(F.lit(1)) / slice_titles).cast("int").alias("slices")).where("slices > 1")
+    of_title = F.pmod(F.xxhash64(F.lit(53), "title"), F.coalesce("slices", F.lit(1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))
+    split = lambda df, slice_: df.join(many, ["task", "tier"], "left").withColumn("slice", slice_).drop("slices")
+    return split(wanted, every), split(facts, of_title)
+
+
+def scored_titles(rows: DataFrame, facts: DataFrame, least_score: int = 40, slice_titles: int = 10_000) -> DataFrame:
     """(task, want, gb, title, offer_gb, score): the titles of a scan's offers that match a product wanted there.
 
     Scores depend on product and title alone, so each product of a scan meets each title of its tier there once,
-    however many listings and offers have them. Offers of another tier never match.
+    however many listings and offers have them. Offers of another tier never match. Words may be any part of a title,
+    so they are no key; a scan with many titles is split into slices of about slice_titles instead.
     """
     product = F.col("product")
     query = F.split("want", "\n")[0]
     wanted = rows.where("want is not null").select("task", "want", product["family"].alias("family"), product["storage_gb"].alias("gb")).distinct()
     wanted = wanted.select("task", "want", "gb", matching.query_words(query).alias("words"), F.lower("family").alias("low_family"), matching.tier(F.col("family")).alias("tier"))
     score = matching.score(F.col("words"), F.col("low_family"), F.col("gb"), F.col("low_title"), F.col("offer_gb"))
-    return wanted.join(facts, ["task", "tier"]).select("task", "want", "gb", "title", "offer_gb", score.alias("score")).where(F.col("score") >= least_score)
+    wanted, facts = _sliced(wanted, facts, slice_titles)
+    return wanted.join(facts, ["task", "tier", "slice"]).select("task", "want", "gb", "title", "offer_gb", score.alias("score")).where(F.col("score") >= least_score)
 
 
-def matches(listings: DataFrame, offers: DataFrame, least_score: int = 40) -> DataFrame:
+def matches(listings: DataFrame, offers: DataFrame, least_score: int = 40, unknown: bool = False) -> DataFrame:
     """(id, task, product, offer, platform, euros, offer_gb, score): offers of a listing's own scan that match its product.
 
-    Listings that are no known product get all offers of their scan, with a null score.
+    unknown: whether listings that are no known product are paired with all offers of their scan, too, with a null
+    score. There are as many pairs as such listings times offers; with_value() gives these listings their value
+    without them.
     """
     rows, facts = with_want(listings), title_facts(offers)
     narrow = rows.select("id", "task", "product", "want")
     priced = offers.select("task", "title", "offer", "platform", "euros")
     found = narrow.join(scored_titles(rows, facts, least_score), ["task", "want"]).join(priced, ["task", "title"])
-    of_title = facts.select("task", "title", "offer_gb")
-    unknown = narrow.where("want is null").join(of_title, "task").join(priced, ["task", "title"]).withColumn("score", F.lit(None).cast("int"))
     columns = ["id", "task", "product", "offer", "platform", "euros", "offer_gb", "score"]
-    return found.select(*columns).unionByName(unknown.select(*columns))
+    if not unknown:
+        return found.select(*columns)
+    with_gb = priced.join(facts.select("task", "title", "offer_gb"), ["task", "title"])
+    others = narrow.where("want is null").join(with_gb, "task").withColumn("score", F.lit(None).cast("int"))
+    return found.select(*columns).unionByName(others.select(*columns))
 
 
 def _values(matched: DataFrame, keys: list[str], gb: Column, config: Config) -> DataFrame:
