@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 The toxic and clean labelled documents that hold a token are counted, all of them, and tokens get log-odds with a Dirichlet prior in
-proportion to their total counts. What is certain of a token's log-odds, a lower confidence bound, is its score;
-all other tokens cost a little. One linear scan finds every maximal segment of positive sum. Segments of random
+proportion to their total counts. The same is counted of stems, the first bytes of longer words, as many languages
+make words by endings. What is certain of a word's log-odds, the greatest lower confidence bound of its own and its
+stems', is its score; all other tokens cost a little. One linear scan finds every maximal segment of positive sum. Segments of random
 clean text follow an extreme-value law, so a segment's score turns into the number of such segments expected by
 chance; significant ones are the toxic passages, and a logistic curve on the expected numbers gives a document's
 probability.
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,38 @@ from pyspark.sql import types as T
 from parcelmint.llm.common import crc_mod, durable, table, text_batches, unit_hash
 from parcelmint.llm.langid import texts_in
 from parcelmint.llm.quality import labelled
-from parcelmint.llm.shingles import NOT_LETTERS, words_in
+from parcelmint.llm.shingles import NOT_LETTERS, mixed, words_in
 
 _BYTES = 500_000
+#: Bytes of the shortest and the longest stem.
+STEMS = (6, 8)
+
+
+def stems_in(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A row for each length of STEMS: the hashes of the words' first bytes, A-Z lower-cased; 0 for words that are not longer."""
+    low = np.arange(256, dtype=np.uint64)
+    low[65:91] += np.uint64(32)
+    hashed, out = np.zeros(len(start), np.uint64), []
+    for k in range(STEMS[1]):
+        at = np.minimum(start + k, len(data) - 1)
+        hashed = mixed(hashed * np.uint64(257) + low[data[at]] + np.uint64(1))
+        if k + 1 >= STEMS[0]:
+            out.append(np.where(end - start > k + 1, hashed, np.uint64(0)))
+    return np.stack(out)
+
+
+def _tokens_in(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As words_in(), and the words' stems."""
+    if not len(data):
+        none = np.zeros(len(size), np.int64)
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, none, none, np.zeros((STEMS[1] - STEMS[0] + 1, 0), np.uint64))
+    found = words_in(data, first, size, NOT_LETTERS)
+    return *found, stems_in(data, found[1], found[2])
 
 
 @dataclass
 class SegmentModel:
-    """Scores of the tokens that speak for toxicity, by hash; what other tokens cost; the extreme-value law; the curve."""
+    """Scores of the tokens and the stems that speak for toxicity, by hash; what other tokens cost; the extreme-value law; the curve."""
 
     tokens: np.ndarray
     scores: np.ndarray
@@ -39,21 +64,32 @@ class SegmentModel:
     scale: float
     curve: np.ndarray
     expected: float = 0.05
+    stems: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    stem_scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def segments(self, word: np.ndarray) -> list[tuple[int, int, float]]:
-        """Every maximal-scoring segment (from, to, score) of a text's tokens.
+    def word_scores(self, word: np.ndarray, stems: np.ndarray) -> np.ndarray:
+        """The greatest score of each word and its stems; 0 for those without one."""
+        best = np.zeros(len(word))
+        for names, known, scores in [(word, self.tokens, self.scores), *((x, self.stems, self.stem_scores) for x in stems)]:
+            if len(known) and len(word):
+                at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+                best = np.maximum(best, np.where(known[at] == names, scores[at], 0.0))
+        return best
+
+    def segments(self, word: np.ndarray, stems: np.ndarray = np.zeros((0, 0), np.uint64)) -> list[tuple[int, int, float]]:
+        """Every maximal-scoring segment (from, to, score) of a text's tokens; stems: a row for each length, as of stems_in().
 
         Between tokens with positive scores only costs add up, so the scan visits those tokens alone. A token right
         after itself is no new evidence and costs like any other. The list
         keeps, for each segment, the sums before and after it; a new one joins those that it dominates.
         """
-        if not len(self.tokens) or not len(word):
+        if not len(word):
             return []
-        at = np.minimum(np.searchsorted(self.tokens, word), len(self.tokens) - 1)
-        hits = np.flatnonzero((self.tokens[at] == word) & np.concatenate([[True], word[1:] != word[:-1]]))
+        scores = self.word_scores(word, stems)
+        hits = np.flatnonzero((scores > 0) & np.concatenate([[True], word[1:] != word[:-1]]))
         found: list[list] = []
         total, behind = 0.0, 0
-        for i, s in zip(hits.tolist(), self.scores[at[hits]].tolist()):
+        for i, s in zip(hits.tolist(), scores[hits].tolist()):
             total -= self.cost * (i - behind)
             behind = i + 1
             new = [i, i + 1, total, total + s]
@@ -73,9 +109,9 @@ class SegmentModel:
         """Minus the logarithm of how many segments of this score or more a clean text of n tokens is expected to have."""
         return self.rate * score - math.log(self.scale * max(n, 1))
 
-    def features(self, word: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    def features(self, word: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
         """(1, the logarithm of 1 + the evidence of all passages rarer than one by chance), and the significant passages."""
-        rare = [(a, b, e) for a, b, s in self.segments(word) if (e := self.evidence(s, len(word))) > 0]
+        rare = [(a, b, e) for a, b, s in self.segments(word, stems) if (e := self.evidence(s, len(word))) > 0]
         kept = [(a, b, math.exp(-e)) for a, b, e in rare if e > -math.log(self.expected)]
         return np.array([1.0, self.total_evidence([e for *_, e in rare])]), kept
 
@@ -97,13 +133,16 @@ def _counter() -> Callable:
             for a, b, data, first, size in texts_in(batch.column(0), _BYTES):
                 if not len(data):
                     continue
-                word, _, _, lo, hi = words_in(data, first, size, NOT_LETTERS)
-                held = [np.unique(word[i:j]) for i, j in zip(lo, hi)]
+                word, _, _, lo, hi, stems = _tokens_in(data, first, size)
                 y, fold = (batch.column(c).slice(a, b - a).to_numpy() for c in (1, 2))
-                kind = np.repeat(2 * fold + y, [len(x) for x in held])
-                tokens, place = np.unique(np.concatenate(held), return_inverse=True)
-                counts = [np.bincount(place[kind == k], minlength=len(tokens)) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (tokens, *counts)], ["token", *_COUNTS])
+                # words, then the stems of each length; a stem's hash is that of one length, so nothing is counted twice
+                for names in (word, *stems):
+                    held = [np.unique(names[i:j]) for i, j in zip(lo, hi)]
+                    kind = np.repeat(2 * fold + y, [len(x) for x in held])
+                    tokens, place = np.unique(np.concatenate(held), return_inverse=True)
+                    counts = [np.bincount(place[kind == k], minlength=len(tokens)) for k in range(4)]
+                    columns = [pa.array(x[tokens != 0].view(np.int64)) for x in (tokens, *counts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), names is not word)), *columns], ["stem", "token", *_COUNTS])
 
     return run
 
@@ -137,9 +176,9 @@ def _segmenter(models: list[SegmentModel]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, first, size in texts_in(batch.column(0), _BYTES):
-                word, _, _, lo, hi = words_in(data, first, size, NOT_LETTERS) if len(data) else (np.zeros(0, np.uint64),) * 3 + (np.zeros(b - a, np.int64),) * 2
+                word, _, _, lo, hi, stems = _tokens_in(data, first, size)
                 y, fold = (batch.column(c).slice(a, b - a) for c in (1, 2))
-                scores = [[s for *_, s in models[f].segments(word[i:j])] for f, i, j in zip(fold.to_pylist(), lo, hi)]
+                scores = [[s for *_, s in models[f].segments(word[i:j], stems[:, i:j])] for f, i, j in zip(fold.to_pylist(), lo, hi)]
                 tokens = pa.array((np.asarray(hi) - np.asarray(lo)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([y, fold, tokens, pa.array(scores, pa.list_(pa.float64()))], ["y", "fold", "tokens", "scores"])
 
@@ -159,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, name: str, learn: Column, prior: f
     """A model of the labelled rows that `learn` keeps; None unless both labels occur.
 
     prior: the prior's total count as a share of all counts. deviations: how many of its deviations a token's log-odds
-    are lowered by before they count; the model has every token that is then above 0. curve_rows bounds the sample of
+    are lowered by before they count; the model has every token and every stem that is then above 0. curve_rows bounds the sample of
     texts that the law's scale and the logistic curve are fitted on; the counts cover all rows.
 
     The sample is scored by models that have not seen it: rows are dealt to two folds by their ids, and each fold is
@@ -167,24 +206,30 @@ def train(docs: DataFrame, labels: DataFrame, name: str, learn: Column, prior: f
     """
     text_batches(docs.sparkSession)
     rows = labelled(docs, labels, name, learn).withColumn("fold", F.pmod(F.xxhash64(F.lit(37), "doc_id"), F.lit(2)).cast("int"))
-    counts = rows.select("text", "y", "fold").mapInArrow(_counter(), ", ".join(f"{c} long" for c in ["token", *_COUNTS]))
-    counts = durable(counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in _COUNTS]))
-    n = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS]).first()
+    counts = rows.select("text", "y", "fold").mapInArrow(_counter(), ", ".join(["stem boolean", *(f"{c} long" for c in ["token", *_COUNTS])]))
+    counts = durable(counts.groupBy("stem", "token").agg(*[F.sum(c).alias(c) for c in _COUNTS]))
+    n = counts.where("not stem").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS]).first()
     if not n["toxic_0"] + n["toxic_1"] or not n["clean_0"] + n["clean_1"]:
         return None
 
-    def of(folds: tuple[int, ...]) -> SegmentModel:
+    def bounds(folds: tuple[int, ...], stem: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words or stems with a bound above 0: hashes in order, bounds, and the shares of clean counts, all against the counts of words."""
         toxic, clean = (sum(F.col(f"{c}_{k}") for k in folds) for c in ("toxic", "clean"))
         all_toxic, all_clean = (float(sum(n[f"{c}_{k}"] for k in folds)) for c in ("toxic", "clean"))
         a = F.lit(prior) * (toxic + clean)
-        odds = lambda k, total: F.log((k + a) / (F.lit(total + prior * (all_toxic + all_clean)) - k - a))
+        # null where a class holds nothing else: such a word tells nothing
+        odds = lambda k, total: F.log(F.try_divide(k + a, F.lit(total + prior * (all_toxic + all_clean)) - k - a))
         bound = odds(toxic, all_toxic) - odds(clean, all_clean) - F.lit(deviations) * F.sqrt(1 / (toxic + a) + 1 / (clean + a))
-        top = counts.where((toxic + clean) > 0).select("token", bound.alias("score"), clean.alias("clean")).where("score > 0").toArrow()
+        top = counts.where(F.col("stem") == stem).where((toxic + clean) > 0).select("token", bound.alias("score"), clean.alias("clean")).where("score > 0").toArrow()
         tokens = top["token"].to_numpy().view(np.uint64)
         order = np.argsort(tokens)
-        scores = top["score"].to_numpy()[order]
-        chance = (top["clean"].to_numpy()[order] + 0.5) / all_clean
-        return SegmentModel(tokens[order], scores, cost, _rate(scores, chance, cost) if len(scores) else 1.0, 1.0, np.zeros(2))
+        return tokens[order], top["score"].to_numpy()[order], (top["clean"].to_numpy()[order] + 0.5) / all_clean
+
+    def of(folds: tuple[int, ...]) -> SegmentModel:
+        (tokens, scores, chance), (stems, stem_scores, stem_chance) = bounds(folds, False), bounds(folds, True)
+        both, chances = np.concatenate([scores, stem_scores]), np.concatenate([chance, stem_chance])
+        rate = _rate(both, chances, cost) if len(both) else 1.0
+        return SegmentModel(tokens, scores, cost, rate, 1.0, np.zeros(2), stems=stems, stem_scores=stem_scores)
 
     model = of((0, 1))
     split = all(n[c] for c in _COUNTS)
@@ -207,9 +252,9 @@ def _scorer(model: SegmentModel | None, schema: pa.Schema) -> Callable:
             score, passages = np.full(batch.num_rows, 0.5), [[] for _ in range(batch.num_rows)]
             if model is not None:
                 for a, b, data, first, size in texts_in(batch.column(batch.num_columns - 1), _BYTES):
-                    word, start, end, lo, hi = words_in(data, first, size, NOT_LETTERS) if len(data) else (np.zeros(0, np.uint64),) * 3 + (np.zeros(b - a, np.int64),) * 2
+                    word, start, end, lo, hi, stems = _tokens_in(data, first, size)
                     for k, (i, j) in enumerate(zip(lo.tolist(), hi.tolist()), a):
-                        x, kept = model.features(word[i:j])
+                        x, kept = model.features(word[i:j], stems[:, i:j])
                         score[k] = model.probability(x)
                         passages[k] = [{"start": int(start[i + p] - first[k - a]), "end": int(end[i + q - 1] - first[k - a]), "by_chance": e} for p, q, e in kept]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array(passages, schema.field("passages").type)], schema=schema)
