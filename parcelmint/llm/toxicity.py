@@ -177,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, name: str, learn: Column, prior: f
         toxic, clean = (sum(F.col(f"{c}_{k}") for k in folds) for c in ("toxic", "clean"))
         all_toxic, all_clean = (float(sum(n[f"{c}_{k}"] for k in folds)) for c in ("toxic", "clean"))
         a = F.lit(prior) * (toxic + clean)
-        odds = lambda k, total: F.log((k + a) / (F.lit(total + prior * (all_toxic + all_clean)) - k - a))
+        # null where a class holds nothing else: such a token tells nothing
+        odds = lambda k, total: F.log(F.try_divide(k + a, F.lit(total + prior * (all_toxic + all_clean)) - k - a))
         bound = odds(toxic, all_toxic) - odds(clean, all_clean) - F.lit(deviations) * F.sqrt(1 / (toxic + a) + 1 / (clean + a))
         top = counts.where((toxic + clean) > 0).select("token", bound.alias("score"), clean.alias("clean")).where("score > 0").toArrow()
         tokens = top["token"].to_numpy().view(np.uint64)
