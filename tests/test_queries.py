@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from parcelmint.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-#: Those whose SQL or plan is the whole evaluation again; C20, A01 and A05 stand for them.
-LIKE_C20 = {"P10", "P11", "P12", "P13", "P14", "ST8", "A10", "A11", "A17", "L01", "L01k", "L07", "P16", "S20", "C11", "P17", "A03"}
-QUICK = [n for n in catalog.ORACLE_SQL if n not in LIKE_C20]
 
 
 def rows(found, columns):
@@ -29,7 +26,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", catalog.ORACLE_SQL)
 def test_query_equals_sql(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     answer = duck.execute(catalog.ORACLE_SQL[name])
