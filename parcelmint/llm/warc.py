@@ -11,7 +11,7 @@ and a lost task's half-written file is never seen. A task holds one archive, pac
 
 from __future__ import annotations
 
-import base64
+import functools
 import gzip
 import hashlib
 import io
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelmint.llm.common import durable, lean, shared_dir, table
+from parcelmint.llm.common import durable, lean, shared_dir, small, table
 
 #: The fields of a record's line in each version of ARC.
 FIELDS = {
@@ -38,18 +38,27 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_URL = "urn:nil"
 #: Bytes of records that go from Python to Spark at a time.
 BATCH_BYTES = 4 << 20
+#: Two characters of base32 for each number of ten bits.
+_PAIRS = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
 
 
-def base32_sha1(data: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+def base32_sha1(data: bytes, more: bytes = b"") -> str:
+    """SHA-1 of data followed by more, in base32; a plain lookup, as base64's own encoder takes longer than the hash of a short page."""
+    hashed = hashlib.sha1(data)
+    if more:
+        hashed.update(more)
+    number = int.from_bytes(hashed.digest())
+    return "".join([_PAIRS[number >> k & 1023] for k in range(150, -1, -10)])
 
 
+@functools.lru_cache(4096)
 def iso_date(said: str) -> str | None:
     """The 14 digits of an archive's date (or the first 8, 10 or 12) as WARC writes dates; None if they are no date."""
-    if not re.fullmatch(r"\d{8}(\d\d){0,3}", said):
+    if not re.fullmatch(r"[0-9]{8}([0-9]{2}){0,3}", said):
         return None
+    said = said.ljust(14, "0")
     try:
-        return datetime.strptime(said.ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+        return datetime(int(said[:4]), *(int(said[k : k + 2]) for k in range(4, 14, 2))).isoformat() + "Z"
     except ValueError:
         return None
 
@@ -58,13 +67,15 @@ def split_head(block: bytes) -> int:
     """Where the payload begins: after the blank line of an HTTP response's head, 0 if the block is none."""
     if not block.startswith(b"HTTP/"):
         return 0
-    ends = [m.end() for m in (re.search(rb"\r\n\r\n", block), re.search(rb"\n\n", block)) if m]
-    return min(ends) if ends else len(block)
+    long = block.find(b"\r\n\r\n")
+    # a shorter blank line counts only before the other: the payload behind it is not searched
+    short = block.find(b"\n\n", 0, len(block) if long < 0 else long + 4)
+    return short + 2 if short >= 0 else long + 4 if long >= 0 else len(block)
 
 
 def _opened(content: bytes) -> io.BufferedIOBase:
     """The bytes of an archive, unpacked as they are read; of one packed whole or record by record."""
-    return gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 17) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
 
 
 def _line(file: io.BufferedIOBase) -> bytes | None:
@@ -225,7 +236,8 @@ def convert(records: DataFrame, keep: Column, least_bytes: int = 0) -> DataFrame
     first = first.where("copies > 1").select("payload_digest", "payload_bytes", "first")
     revisits = facts.join(first, ["payload_digest", "payload_bytes"]).where("record_id <> first.record_id")
     revisits = revisits.select("path", "position", F.col("first.record_id").alias("refers_to"), F.col("first.url").alias("refers_to_uri"), F.col("first.date").alias("refers_to_date"))
-    out = told.join(revisits, ["path", "position"], "left")
+    # few revisits are sent to where the records are read; many are dealt out by place, with the payloads
+    out = told.join(small(durable(revisits)), ["path", "position"], "left")
     again = F.col("refers_to").isNotNull()
     info = F.concat(F.lit("software: parcelmint\r\nformat: WARC File Format 1.1\r\nconverted-from: "), F.substring("url", F.lit(12), F.length("url")), F.lit("\r\n")).cast("binary")
     block = F.when(F.col("kind") == "warcinfo", info).when(again, F.col("head")).otherwise(F.concat("head", "payload"))
@@ -307,7 +319,7 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
             payload = None if kind == "revisit" else row["payload"]
             digest = (said.get("warc-payload-digest") or "").removeprefix("sha1:") or None
             block = (said.get("warc-block-digest") or "").removeprefix("sha1:") or None
-            intact = (digest is None or payload is None or base32_sha1(payload) == digest) and (block is None or base32_sha1(row["head"] + row["payload"]) == block)
+            intact = (digest is None or payload is None or base32_sha1(payload) == digest) and (block is None or base32_sha1(row["head"], row["payload"]) == block)
             named = {k: (said.get(f"warc-{v}") or "").strip("<>") or None for k, v in (("record_id", "record-id"), ("refers_to", "refers-to"))}
             yield {
                 "position": row["position"], "type": kind, "date": said.get("warc-date"), "url": said.get("warc-target-uri"), "payload_digest": digest, "head": row["head"],

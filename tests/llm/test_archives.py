@@ -1,13 +1,16 @@
 """Archives: lines of both versions, declared lengths, what is synthesised, revisits, and pages through all of it."""
 
 import base64
+import cProfile
 import gzip
 import hashlib
+import itertools
+import re
 import uuid
 
 import pytest
 
-from parcelmint.llm import registry, warc
+from parcelmint.llm import common, registry, warc
 
 SF = "/root/testdata/sf0.001"
 HTTP = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n"
@@ -57,6 +60,34 @@ def test_dates():
     assert [warc.iso_date(x) for x in ("20010203040506", "2001020304", "20011301", "2001", "x", "")] == ["2001-02-03T04:05:06Z", "2001-02-03T04:00:00Z", None, None, None, None]
 
 
+def test_years_of_three_digits():
+    assert warc.iso_date("09990203") == "0999-02-03T00:00:00Z" and warc.iso_date("00000203") is None
+
+
+def test_heads_and_digests():
+    blocks = [b"HTTP/" + bytes(k) for n in range(7) for k in itertools.product(b"\r\na", repeat=n)]
+    for block in [*blocks, b"HTTP", b"x\r\n\r\n", HTTP + b"\n\n", b"HTTP/1\n\r\n\n\r\n\r\n"]:
+        ends = [m.end() for m in (re.search(b"\r\n\r\n", block), re.search(b"\n\n", block)) if m]
+        assert warc.split_head(block) == (min([*ends, len(block)]) if block.startswith(b"HTTP/") else 0)
+        for k in range(len(block) + 1):
+            assert warc.base32_sha1(block[:k], block[k:]) == warc.base32_sha1(block) == sha(block)
+
+
+def calls(run):
+    """How many functions run() calls, built-in ones too."""
+    profile = cProfile.Profile()
+    profile.runcall(run)
+    return sum(entry.callcount for entry in profile.getstats())
+
+
+def test_work_of_a_record():
+    # most pages are short, so what is done once a record is most of the work; the dates differ
+    docs = [(f"http://a/{k} 1.2.3.4 {19970912000000 + k // 60 * 100 + k % 60} text/html", HTTP + b"<p>\n%d" % k) for k in range(600)]
+    packed = gzip.compress(arc(1, *docs))
+    found = []
+    assert calls(lambda: found.extend(warc.arc_records(packed))) < 80 * len(docs) and [r["payload"] for r in found[1:]] == [d[len(HTTP) :] for _, d in docs]
+
+
 def test_conversion(spark, tmp_path):
     body = b"\xff\xfe binary \x00\r\n\r\nWARC/1.1\r\n"
     one = arc(1, ("http://a/1 1.2.3.4 19970912121110 text/html", HTTP + body), ("http://a/2 1.2.3.4 19970913121110 text/html", HTTP + b"other"), ("dns:a 9.9.9.9 19970912 text/dns", body))
@@ -110,6 +141,26 @@ def test_least_bytes_and_empty(spark, tmp_path):
     assert warc.through_archives(empty, "page_id", "url", "html", str(tmp_path / "none")).collect() == []
 
 
+def test_few_and_many_revisits(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        docs = [(f"http://{name}/{k} 1.2.3.4 199709121211{k:02d} text/html", HTTP + b"%d" % (k % 7)) for k in range(20)]
+        (tmp_path / "in" / f"{name}.arc").write_bytes(arc(1, *docs, name=f"{name}.arc"))
+    made, dealt = [], []
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for rows in (common.BROADCAST_ROWS, 25):
+            monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+            found = warc.convert(warc.read_arc(spark, str(tmp_path / "in")), warc.F.col("date"))
+            dealt.append("hashpartitioning(path" in found._jdf.queryExecution().executedPlan().toString())
+            made.append(sorted((r.asDict() for r in found.collect()), key=lambda r: (r["path"], r["position"])))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    # 33 revisits: none of the payloads moves unless they are more than what may be broadcast
+    assert dealt == [False, True] and made[0] == made[1] and sum(r["type"] == "revisit" for r in made[0]) == 33
+
+
 def test_query(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
     found = {r.page_id: r for r in registry.QUERIES["op12_warc"](spark, SF).collect()}
