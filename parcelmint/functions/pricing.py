@@ -55,6 +55,16 @@ def platform_fee(platform: Column, config: Config) -> Column:
     return F.when(platform == "olx", config.fee_olx).when(platform == "vinted", config.fee_vinted).when(platform == "kuantokusta", config.fee_kuantokusta).when(platform == "amazon", config.fee_amazon).otherwise(0.0)
 
 
+def blended_fee(platform: Column, config: Config) -> Column:
+    """The mean of a group's platform fees, from the share that each platform has of it.
+
+    The last digits of a sum over rows depend on the order in which rows come; shares do not, so groups of the same
+    offers have the same fee, and profits that are equal tie.
+    """
+    parts = [F.count_if(platform == name) / F.count(F.lit(1)) * platform_fee(F.lit(name), config) for name in ("olx", "vinted", "kuantokusta", "amazon")]
+    return sum(parts[1:], parts[0])
+
+
 def tier_price(condition: Column, prices: dict[str, Column]) -> Column:
     """The reference price for a condition; prices: new, excellent, very_good, good, fair."""
     fair = F.coalesce(prices["fair"], js_round(prices["good"] * 0.75).cast("double"))

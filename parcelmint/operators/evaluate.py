@@ -80,8 +80,8 @@ def matches(listings: DataFrame, offers: DataFrame, least_score: int = 40, unkno
     return found.select(*columns).unionByName(others.select(*columns))
 
 
-def _values(matched: DataFrame, keys: list[str], gb: Column, config: Config) -> DataFrame:
-    """(keys, offers, exact, resale, fee_rate): exact medians by the storage rule, and the blended fee."""
+def _values(matched: DataFrame, keys: list[str], gb: Column, blended: Column, config: Config) -> DataFrame:
+    """(keys, offers, exact, resale, fee_rate): exact medians by the storage rule, and the blended fee, an aggregate."""
     real = F.col("euros") >= LEAST_OFFER
     exact = real & (F.col("offer_gb") == gb)
     adjusted = pricing.storage_adjusted(F.col("euros"), F.col("offer_gb"), gb)
@@ -90,7 +90,7 @@ def _values(matched: DataFrame, keys: list[str], gb: Column, config: Config) ->
         F.count_if(exact).alias("exact"),
         F.median(F.when(exact, F.col("euros"))).alias("exact_median"),
         F.median(F.when(real, adjusted)).alias("adjusted_median"),
-        F.avg(pricing.platform_fee(F.col("platform"), config)).alias("blended"),
+        blended.alias("blended"),
     )
     resale = F.when(F.col("exact") >= 2, F.col("exact_median")).otherwise(F.col("adjusted_median"))
     fee = F.when(F.col("offers") > 0, F.col("blended")).otherwise(config.fee_default)
@@ -101,9 +101,11 @@ def resale_values(matched: DataFrame, config: Config) -> DataFrame:
     """(id, offers, exact, resale, fee_rate) of matches().
 
     Two offers with the listing's own storage are enough to use those alone; otherwise all are adjusted to it. Offers
-    under 100 euros count for the fee only, unless there are no others.
+    under 100 euros count for the fee only, unless there are no others. The fee is a mean over rows, whose last digits
+    depend on their order; with_value() has one that does not.
     """
-    return _values(matched, ["id"], F.col("product.storage_gb"), config)
+    mean = F.avg(pricing.platform_fee(F.col("platform"), config))
+    return _values(matched, ["id"], F.col("product.storage_gb"), mean, config)
 
 
 def with_value(rows: DataFrame, offers: DataFrame, config: Config) -> DataFrame:
@@ -111,7 +113,7 @@ def with_value(rows: DataFrame, offers: DataFrame, config: Config) -> DataFrame:
 
     A product's value in a scan is worked out once, for all listings of it; offers are matched by title, so the
     pairs of listings and offers are never made. Listings that are no known product share the value of all offers
-    of their scan.
+    of their scan. Scans with the same offers have the same values to the last digit, so profits can be ranked.
     """
     rows = with_want(rows)
     priced = offers.select("task", "title", "platform", "euros")
@@ -119,7 +121,7 @@ def with_value(rows: DataFrame, offers: DataFrame, config: Config) -> DataFrame:
     some = rows.where("want is null").select("task").distinct()
     none = F.lit(None).cast("int")
     unknown = priced.join(some, "task", "left_semi").withColumns({"want": F.lit(""), "gb": none, "offer_gb": none})
-    value = _values(known.unionByName(unknown.select(*known.columns)), ["task", "want", "gb"], F.col("gb"), config).drop("gb")
+    value = _values(known.unionByName(unknown.select(*known.columns)), ["task", "want", "gb"], F.col("gb"), pricing.blended_fee(F.col("platform"), config), config).drop("gb")
     value = value.withColumnsRenamed({"task": "task_", "want": "want_"})
     same = (F.col("task") == F.col("task_")) & (F.coalesce("want", F.lit("")) == F.col("want_"))
     return rows.join(value, same, "left").drop("task_", "want_", "want")
